@@ -23,9 +23,11 @@ def explode_references(
     def entry(slot: str, ordinal: Column, ref: Column) -> Column:
         return F.struct(F.lit(slot).alias("slot"), ordinal.cast("long").alias("ordinal"), ref.alias("ref"))
 
+    def entries_of(slot: str, refs: Column) -> Column:
+        return F.transform(refs, lambda ref, i: entry(slot, i, ref))
+
     parts = [F.array(*[entry(slot, F.lit(0), ref) for slot, ref in single.items()])]
-    for slot, refs in repeated.items():
-        parts.append(F.transform(refs, lambda ref, i, slot=slot: entry(slot, i, ref)))
+    parts += [entries_of(slot, refs) for slot, refs in repeated.items()]
     entries = F.explode(F.concat(*parts)).alias("e")
     return (
         manifests.select(*keys, entries)
