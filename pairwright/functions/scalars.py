@@ -109,3 +109,8 @@ def parameters_out_of_order(text: Column, separator: str) -> Column:
     """``name=value`` parameters must have unique names sorted by name."""
     names = F.transform(F.split(text, separator), lambda part: F.substring_index(part, "=", 1))
     return (F.array_distinct(F.array_sort(names)) != names) & (text != "")
+
+
+def epoch_micros(column: str) -> Column:
+    """Microseconds since 1970 of a zone-less timestamp column, whatever the session time zone."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {column})")
