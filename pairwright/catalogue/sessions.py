@@ -75,4 +75,4 @@ def asset_reuse(spark, sf):
 )
 def perf_report(spark, sf):
     rows = table(spark, sf, "events").select("event_type", F.rint(F.col("value") * 100).cast("long").alias("cents"))
-    return audit.percentile_report(rows, ["event_type"], "cents", [50, 95], F.expr("cents div 1024"))
+    return audit.percentile_report(rows, ["event_type"], "cents", {"p50": 500, "p95": 950}, F.expr("cents div 1024"))

@@ -66,7 +66,8 @@ def contrast_milli(foreground: Column, background: Column) -> Column:
     """WCAG contrast ratio in thousandths, halves rounded up."""
     first, second = _luminance(foreground), _luminance(background)
     ratio = (F.greatest(first, second) + 0.05) / (F.least(first, second) + 0.05)
-    return F.floor(ratio * 1000 + 0.5).cast("long")
+    # greatest and least skip nulls, so an unparsed colour must be kept null here
+    return F.when(first.isNotNull() & second.isNotNull(), F.floor(ratio * 1000 + 0.5).cast("long"))
 
 
 OPACITY_PATTERN = r"^(?:0(?:\.\d+)?|1(?:\.0+)?)$"

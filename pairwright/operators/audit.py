@@ -71,9 +71,9 @@ def asset_reuse(assets: DataFrame, digest: str, owner: str, allowed: DataFrame)
 
 
 def percentile_report(
-    rows: DataFrame, keys: Sequence[str], value: str, percents: Sequence[int], block: Column
+    rows: DataFrame, keys: Sequence[str], value: str, permilles: Mapping[str, int], block: Column
 ) -> DataFrame:
-    """Exact nearest-rank percentiles, count, maximum and sum per key.
+    """Exact nearest-rank percentiles, count, maximum and sum per key; ``permilles`` maps names to ranks.
 
     Equal values are counted before the shuffle and the cumulative counts run in blocks, so no key's
     values meet in one task. ``block`` must not decrease with ``value``.
@@ -87,10 +87,10 @@ def percentile_report(
     )
     joined = running.join(totals, list(keys))
     picked = []
-    for percent in percents:
-        rank = F.ceil(F.col("n_rows") * percent / 100)
+    for name, permille in permilles.items():
+        rank = F.ceil(F.col("n_rows") * permille / 1000)
         here = (F.col("_upto") >= rank) & (F.col("_upto") - F.col("_n") < rank)
-        picked.append(F.max(F.when(here, F.col(value))).alias(f"p{percent}"))
+        picked.append(F.max(F.when(here, F.col(value))).alias(name))
     return joined.groupBy(*keys).agg(
         *[F.first(name).alias(name) for name in ("n_rows", "max_value", "sum_value")], *picked
     )

@@ -51,14 +51,17 @@ def attach(
     keys: Sequence[str],
     how: str = "inner",
     spread: Sequence[str] | None = None,
+    hot_from: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``rows`` to ``side``, which has at most one row per key.
 
     Rows of a hot key are spread over ``SALTS`` values hashed from ``spread``; only the hot rows of
-    ``side`` are repeated, so the repeated part is bounded by SALTS / HOT_SHARE rows.
+    ``side`` are repeated, so the repeated part is bounded by SALTS / HOT_SHARE rows. The hot keys are
+    sketched from ``hot_from`` when given: a cheaper table with the same key columns, for rows that
+    are costly to make twice.
     """
     keys = list(keys)
-    hot = _hot_hashes(rows, keys)
+    hot = _hot_hashes(rows if hot_from is None else hot_from, keys)
     is_hot = F.array_contains(hot, _key_hash(keys))
     spread_by = [F.col(name) for name in (spread or [c for c in rows.columns if c not in keys])]
     salt = F.when(is_hot, F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
@@ -73,11 +76,12 @@ def over_groups(
     keys: Sequence[str],
     spread: Sequence[str] | None = None,
     how: str = "inner",
+    hot_from: DataFrame | None = None,
     **values: Column,
 ) -> DataFrame:
     """Add aggregate ``values`` of each key group to every row of the group."""
     groups = rows.groupBy(*keys).agg(*[value.alias(name) for name, value in values.items()])
-    return attach(rows, groups, keys, how=how, spread=spread)
+    return attach(rows, groups, keys, how=how, spread=spread, hot_from=hot_from)
 
 
 def blocked_window(

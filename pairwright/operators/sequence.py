@@ -58,7 +58,7 @@ def schedule_issues(
     )
     bounds = schedule.groupBy(plan).agg(F.min(ordinal).alias("_first"), F.max(ordinal).alias("_last"))
     side = actions.select(plan, "n_actions").join(bounds, plan)
-    rows = attach(lagged, side, [plan], spread=[ordinal])
+    rows = attach(lagged, side, [plan], spread=[ordinal], hot_from=schedule)
     boundary = F.col(after)
     return violations(
         rows,
