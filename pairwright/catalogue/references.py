@@ -222,12 +222,13 @@ def set_difference(spark, sf):
 )
 def dict_decode(spark, sf):
     lines = F.split("text", "\n")
-    strings, indexes = dictionary.encode(lines)
     long_at = F.filter(
         F.transform(lines, lambda line, i: F.when(F.length(line) > 100, i)), lambda i: i.isNotNull()
     )
-    encoded = table(spark, sf, "documents").select(
-        "doc_id", strings.alias("strings"), indexes.alias("line"), long_at.alias("long_line")
+    encoded = (
+        table(spark, sf, "documents")
+        .select("doc_id", dictionary.encode(lines).alias("e"), long_at.alias("long_line"))
+        .select("doc_id", "e.strings", F.col("e.indexes").alias("line"), "long_line")
     )
     rows = dictionary.decode(encoded, ["doc_id"], "strings", ["line"], ["long_line"])
     return rows.select("doc_id", "ordinal", sha256_hex(F.col("line")).alias("line_sha256"), "long_line")

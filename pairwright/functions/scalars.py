@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pairwright.functions.binding import let
+
 # Fixed-point scale and coordinate range.
 Q64_SCALE = 64
 Q64_LIMIT = 16_777_216
@@ -101,9 +103,12 @@ def unsafe_path(path: Column, strict: bool = False) -> Column:
 
 def path_ancestors(path: Column) -> Column:
     """Every proper ancestor directory of a relative path."""
-    parts = F.split(path, "/")
-    depths = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: n > 0)
-    return F.transform(depths, lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+
+    def prefixes(parts: Column) -> Column:
+        depths = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: n > 0)
+        return F.transform(depths, lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+
+    return let(F.split(path, "/"), prefixes)
 
 
 def parameters_out_of_order(text: Column, separator: str) -> Column:

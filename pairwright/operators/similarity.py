@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairwright.functions.binding import let
+
 # Shingle width, similarity thresholds for review flags.
 SHINGLE_TOKENS = 5
 AGGREGATE_THRESHOLD = 0.55
@@ -18,12 +20,14 @@ ALL_LANGUAGES = "all"
 
 
 def shingles(text: Column, width: int = SHINGLE_TOKENS) -> Column:
-    """Distinct digests of every run of ``width`` tokens of the whole text."""
-    tokens = F.filter(F.split(text, r"[ \t\r\n]+"), lambda token: token != "")
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(tokens) - width, F.lit(0))), lambda i: i + width <= F.size(tokens))
-    return F.array_distinct(
-        F.transform(starts, lambda i: F.unhex(F.md5(F.array_join(F.slice(tokens, i + 1, width), " "))))
-    )
+    """Digests of every run of ``width`` tokens of the whole text, repeats included."""
+
+    def runs(tokens: Column) -> Column:
+        count = F.size(tokens) - width + 1
+        starts = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.unhex(F.md5(F.array_join(F.slice(tokens, i, width), " "))))
+
+    return let(F.filter(F.split(text, r"[ \t\r\n]+"), lambda token: token != ""), runs)
 
 
 def shingle_similarity(
@@ -44,11 +48,11 @@ def shingle_similarity(
     applications = documents.select(application).distinct()
     if applications.limit(MAXIMUM_APPLICATIONS + 1).count() > MAXIMUM_APPLICATIONS:
         raise ValueError(f"more than {MAXIMUM_APPLICATIONS} applications")
-    held = documents.select(
-        F.col(application).alias("_app"),
-        F.explode(F.array(F.lit(ALL_LANGUAGES), F.col(language))).alias("language"),
-        shingles(F.col(text)).alias("_set"),
-    ).select("_app", "language", F.explode("_set").alias("_shingle"))
+    held = (
+        documents.select(F.col(application).alias("_app"), language, F.explode(shingles(F.col(text))).alias("_shingle"))
+        .distinct()
+        .select("_app", "_shingle", F.explode(F.array(F.lit(ALL_LANGUAGES), F.col(language))).alias("language"))
+    )
     owners = held.groupBy("language", "_shingle").agg(F.array_sort(F.collect_set("_app")).alias("_owners"))
     signatures = owners.groupBy("language", "_owners").agg(F.count(F.lit(1)).alias("_n"))
     sizes = (

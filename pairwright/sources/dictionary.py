@@ -7,13 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairwright.functions.binding import let
 
-def encode(values: Column) -> tuple[Column, Column]:
-    """String table and zero-based index array of an array of strings."""
-    strings = F.array_distinct(values)
-    # positions come from one map per row, so long arrays stay linear
-    lookup = F.map_from_arrays(strings, F.sequence(F.lit(0), F.size(strings) - 1))
-    return strings, F.transform(values, lambda v: F.element_at(lookup, v))
+
+def encode(values: Column) -> Column:
+    """``{strings, indexes}`` of an array of strings: string table and zero-based index array."""
+
+    def indexed(strings: Column) -> Column:
+        positions = F.map_from_arrays(strings, F.sequence(F.lit(0), F.size(strings) - 1))
+        indexes = let(positions, lambda lookup: F.transform(values, lambda v: F.element_at(lookup, v)))
+        return F.struct(strings.alias("strings"), indexes.alias("indexes"))
+
+    return let(F.array_distinct(values), indexed)
 
 
 def decode(
@@ -23,12 +28,16 @@ def decode(
 
     Index -1 decodes to null; a sparse column lists the positions where its flag holds.
     """
-    packed = documents.withColumn("_z", F.arrays_zip(*columns))
-    carried = [*keys, strings, *sparse]
-    rows = packed.select(*carried, F.posexplode("_z").alias("ordinal", "_row"))
-    values = [
-        F.when(F.col(f"_row.{c}") >= 0, F.try_element_at(F.col(strings), F.col(f"_row.{c}") + 1)).alias(c)
-        for c in columns
-    ]
-    flags = [F.array_contains(F.col(s), F.col("ordinal")).alias(s) for s in sparse]
-    return rows.select(*keys, F.col("ordinal").cast("long").alias("ordinal"), *values, *flags)
+    def rows_of(table: Column) -> Column:
+        def row(index: Column, at: Column) -> Column:
+            values = [
+                F.when(index[c] >= 0, F.try_element_at(table, index[c] + 1)).alias(c) for c in columns
+            ]
+            flags = [F.array_contains(F.col(s), at).alias(s) for s in sparse]
+            return F.struct(at.cast("long").alias("ordinal"), *values, *flags)
+
+        return F.transform(F.arrays_zip(*columns), row)
+
+    # decoded before the explode, so the string table is not copied to every row
+    decoded = documents.select(*keys, F.explode(let(F.col(strings), rows_of)).alias("_row"))
+    return decoded.select(*keys, "_row.*")
