@@ -20,9 +20,7 @@ MODULES = (
     "scoring",
     "sessions",
 )
-import importlib.util as _u
 for _module in MODULES:
-    if _u.find_spec(f"pairwright.catalogue.{_module}") is None: continue
     import_module(f"pairwright.catalogue.{_module}")
 
 __all__ = ["QUERIES", "TWINS"]

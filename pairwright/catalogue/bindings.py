@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairwright.catalogue.identities import (
-    STALE,
+    stale,
     STALE_SQL,
     TOTAL_SQL,
     cents,
@@ -48,7 +48,7 @@ def pair_binding(spark, sf):
     customer = F.when(F.col("o_orderpriority") == "5-LOW", F.col("o_custkey") + 1).otherwise(F.col("o_custkey"))
     sealed = orders.select(
         "o_orderkey",
-        sha256_hex(canonical_json(order_fields(F.when(STALE, total + 1).otherwise(total)))).alias("bound_manifest"),
+        sha256_hex(canonical_json(order_fields(F.when(stale(), total + 1).otherwise(total)))).alias("bound_manifest"),
         group(customer).alias("bound_group"),
     )
     bound = {"pair.manifest_digest": ("manifest", "bound_manifest"), "pair.group": ("group", "bound_group")}
@@ -95,7 +95,7 @@ def order_versions(spark, sf):
     right = orders.select(
         "o_orderkey",
         "o_custkey",
-        F.when(STALE, total + 1).otherwise(total).alias("total_cents"),
+        F.when(stale(), total + 1).otherwise(total).alias("total_cents"),
         status.alias("o_orderstatus"),
         "o_orderpriority",
     )

@@ -49,7 +49,10 @@ def order_id_sql(total: str = TOTAL_SQL) -> str:
 
 
 # stored identities of urgent, finished orders were computed before the total changed
-STALE = (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "F")
+def stale() -> Column:
+    return (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "F")
+
+
 STALE_SQL = "o_orderpriority = '1-URGENT' and o_orderstatus = 'F'"
 
 
@@ -130,7 +133,7 @@ def domain_identity(spark, sf):
 )
 def identity_audit(spark, sf):
     total = cents(F.col("o_totalprice"))
-    stored = F.when(STALE, order_id(total + 1)).otherwise(order_id())
+    stored = F.when(stale(), order_id(total + 1)).otherwise(order_id())
     both = table(spark, sf, "orders").select("o_orderkey", stored.alias("stored_id"), order_id().alias("derived_id"))
     return both.where("stored_id <> derived_id")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pairwright.catalogue.identities import STALE, STALE_SQL, TOTAL_SQL, cents, order_id, order_id_sql
+from pairwright.catalogue.identities import stale, STALE_SQL, TOTAL_SQL, cents, order_id, order_id_sql
 from pairwright.catalogue.registry import query
 from pairwright.functions.canonical import byte_length, reference, sha256_hex
 from pairwright.operators import bindings, refs
@@ -244,7 +244,7 @@ def dict_decode(spark, sf):
 def publish_delta(spark, sf):
     orders = table(spark, sf, "orders")
     stored = orders.where("o_orderstatus <> 'O'").select("o_orderkey", order_id().alias("publication_id"))
-    changed = F.when(STALE, order_id(cents(F.col("o_totalprice")) + 1)).otherwise(order_id())
+    changed = F.when(stale(), order_id(cents(F.col("o_totalprice")) + 1)).otherwise(order_id())
     incoming = orders.select("o_orderkey", changed.alias("publication_id"))
     decided = publish.decide(stored, incoming, "o_orderkey", "publication_id", "o_orderkey")
     return decided.select("o_orderkey", "action")

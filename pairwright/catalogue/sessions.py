@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
+from pairwright.catalogue.identities import stale, cents, order_id, order_id_sql
 from pairwright.catalogue.registry import query
 from pairwright.functions.canonical import byte_length, sha256_hex
+from pairwright.functions.scalars import epoch_micros
 from pairwright.operators import audit
+from pairwright.session import shared_folder
 from pairwright.sources.tables import table
+from pairwright.streaming import sessions
+from pairwright.streaming.publish import publish_stream
 
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 EVENT_CAP = 70
@@ -76,3 +83,69 @@ def asset_reuse(spark, sf):
 def perf_report(spark, sf):
     rows = table(spark, sf, "events").select("event_type", F.rint(F.col("value") * 100).cast("long").alias("cents"))
     return audit.percentile_report(rows, ["event_type"], "cents", {"p50": 500, "p95": 950}, F.expr("cents div 1024"))
+
+
+def stream_of(spark, sf, name):
+    """The given table, one file or a folder of files, as a stream of its files."""
+    schema = table(spark, sf, name).schema
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parquet*")
+
+
+def scratch(spark) -> str:
+    return f"{shared_folder(spark)}/stream-{uuid4().hex}"
+
+
+@query(
+    "stream_publish",
+    f"select o_orderkey, {order_id_sql()} as publication_id from orders",
+)
+def stream_publish(spark, sf):
+    """Orders arrive twice, the second copy of finished urgent orders altered: the first copy wins."""
+    folder = scratch(spark)
+    total = cents(F.col("o_totalprice"))
+    copies = F.array(
+        F.struct((F.col("o_orderkey") * 2).alias("ordinal"), order_id().alias("publication_id")),
+        F.struct((F.col("o_orderkey") * 2 + 1).alias("ordinal"), F.when(stale(), order_id(total + 1)).otherwise(order_id()).alias("publication_id")),
+    )
+    incoming = stream_of(spark, sf, "orders").select("o_orderkey", F.explode(copies).alias("c")).select("o_orderkey", "c.*")
+    publish_stream(
+        incoming, f"{folder}/store", f"{folder}/checkpoint", "o_orderkey", "publication_id", "ordinal"
+    ).awaitTermination()
+    return spark.read.parquet(f"{folder}/store").select("o_orderkey", "publication_id")
+
+
+@query(
+    "stream_session_counts",
+    "select user_id, event_type, (epoch_us(ts) // 86400000000)::bigint as day, count(*) as n from events group by 1, 2, 3",
+)
+def stream_session_counts(spark, sf):
+    folder = scratch(spark)
+    events = stream_of(spark, sf, "events").withColumn("at", F.timestamp_micros(epoch_micros("ts")))
+    counts = sessions.session_counts(events, "user_id", "event_type", "at")
+    sessions.log_updates(counts, f"{folder}/updates", f"{folder}/checkpoint").awaitTermination()
+    updates = spark.read.parquet(f"{folder}/updates")
+    day = F.floor(F.unix_micros("span_start") / 86_400_000_000).cast("long").alias("day")
+    return sessions.latest_counts(updates.select("user_id", "event_type", day, "n"), ["user_id", "event_type", "day"])
+
+
+@query(
+    "stream_late_activity",
+    """with f as (select user_id, min(ts) as f from events where event_type = 'purchase' group by 1)
+       select event_id, e.user_id, event_type from events e join f on e.user_id = f.user_id where ts > f""",
+)
+def stream_late_activity(spark, sf):
+    folder = scratch(spark)
+    done = (
+        table(spark, sf, "events").where("event_type = 'purchase'").groupBy("user_id").agg(F.min("ts").alias("completed"))
+    )
+    late = sessions.late_activity(stream_of(spark, sf, "events"), done, "user_id", "ts", "completed")
+    (
+        late.select("event_id", "user_id", "event_type")
+        .writeStream.format("parquet")
+        .option("path", f"{folder}/late")
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+        .awaitTermination()
+    )
+    return spark.read.parquet(f"{folder}/late")
