@@ -18,6 +18,7 @@ from pairwright.operators.rules import (
     violations,
 )
 from pairwright.operators.keyed import attach
+from pairwright.session import spread_small
 from pairwright.sources import codecs, dictionary, files, publish
 from pairwright.sources.tables import table
 
@@ -137,7 +138,8 @@ def manifest_digest(spark, sf):
         *[F.col(c).cast("string") for c in ("l_linenumber", "l_partkey", "l_suppkey")],
         cents(F.col("l_extendedprice")).cast("string"),
     )
-    return refs.manifest_digests(table(spark, sf, "lineitem"), ["l_orderkey"], sha256_hex(line))
+    lines = spread_small(table(spark, sf, "lineitem"))
+    return refs.manifest_digests(lines, ["l_orderkey"], sha256_hex(line))
 
 
 @query(

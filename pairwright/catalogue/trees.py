@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pairwright.catalogue.registry import query
 from pairwright.operators import trees
-from pairwright.session import cut_lineage
+from pairwright.session import cut_lineage, spread_small
 from pairwright.sources.tables import table
 
 
@@ -219,6 +219,7 @@ def state_set(spark, sf):
         prop("invalid", F.when(F.col("l_tax") > 0.07, "spelling").otherwise("false")),
         prop("level", F.col("l_linenumber").cast("string")),
     )
-    properties = table(spark, sf, "lineitem").select("l_orderkey", F.explode(entries).alias("p"))
+    lines = spread_small(table(spark, sf, "lineitem"))
+    properties = lines.select("l_orderkey", F.explode(entries).alias("p"))
     sets = trees.state_sets(properties.select("l_orderkey", "p.*"), ["l_orderkey"], "name", "value")
     return sets.select("l_orderkey", F.array_join("states", ",").alias("states"))

@@ -132,15 +132,15 @@ def checkpoint_alignment(
     def held(name: str) -> Column:
         return F.max(F.when(F.col(role) == name, F.col(identity)))
 
-    slots = checkpoints.groupBy(record, ordinal).agg(held(baseline).alias("b"), held(candidate).alias("c"))
-    identities = violations(slots, [record, ordinal], {"checkpoint.identity": F.col("b") != F.col("c")})
+    slots = checkpoints.groupBy(record, ordinal).agg(held(baseline).alias("_b"), held(candidate).alias("_c"))
+    identities = violations(slots, [record, ordinal], {"checkpoint.identity": F.col("_b") != F.col("_c")})
     counts = checkpoints.groupBy(record).agg(
-        F.count_if(F.col(role) == baseline).alias("b"), F.count_if(F.col(role) == candidate).alias("c")
+        F.count_if(F.col(role) == baseline).alias("_b"), F.count_if(F.col(role) == candidate).alias("_c")
     )
     uneven = violations(
         counts.withColumn(ordinal, F.lit(-1).cast("long")),
         [record, ordinal],
-        {"checkpoint.count": F.col("b") != F.col("c")},
+        {"checkpoint.count": F.col("_b") != F.col("_c")},
     )
     return identities.unionByName(uneven)
 
@@ -151,17 +151,17 @@ def link_cardinality(
     """Exactly one target node per snapshot, exactly one linked node, and that node has the role."""
     marks = nodes.select(
         key,
-        is_target.cast("long").alias("t"),
-        (is_target & is_linked).cast("long").alias("k"),
-        (is_target & is_linked & ~has_role).cast("long").alias("w"),
+        is_target.cast("long").alias("_t"),
+        (is_target & is_linked).cast("long").alias("_k"),
+        (is_target & is_linked & ~has_role).cast("long").alias("_w"),
     )
     zero = F.lit(0).cast("long")
-    every = snapshots.select(key, zero.alias("t"), zero.alias("k"), zero.alias("w"))
-    counts = every.unionByName(marks).groupBy(key).agg(F.sum("t").alias("t"), F.sum("k").alias("k"), F.sum("w").alias("w"))
+    every = snapshots.select(key, zero.alias("_t"), zero.alias("_k"), zero.alias("_w"))
+    counts = every.unionByName(marks).groupBy(key).agg(F.sum("_t").alias("_t"), F.sum("_k").alias("_k"), F.sum("_w").alias("_w"))
     return violations(
         counts,
         [key],
-        {"link.target_count": F.col("t") != 1, "link.linked_count": F.col("k") != 1, "link.role": F.col("w") > 0},
+        {"link.target_count": F.col("_t") != 1, "link.linked_count": F.col("_k") != 1, "link.role": F.col("_w") > 0},
     )
 
 

@@ -108,15 +108,15 @@ def class_recall(counts: DataFrame, keys: Sequence[str], threshold: int = SCALE
     hit = F.col("score") >= threshold
     negatives = F.col("n") - F.col("pos")
     facts = counts.groupBy(*keys).agg(
-        F.sum("pos").alias("p"),
-        F.sum(negatives).alias("q"),
-        F.sum(F.when(hit, F.col("pos")).otherwise(0)).alias("tp"),
-        F.sum(F.when(~hit, negatives).otherwise(0)).alias("tn"),
+        F.sum("pos").alias("_p"),
+        F.sum(negatives).alias("_q"),
+        F.sum(F.when(hit, F.col("pos")).otherwise(0)).alias("_tp"),
+        F.sum(F.when(~hit, negatives).otherwise(0)).alias("_tn"),
     )
     return facts.select(
         *keys,
-        F.when(F.col("p") > 0, F.col("tp") / F.col("p")).alias("regression_recall"),
-        F.when(F.col("q") > 0, F.col("tn") / F.col("q")).alias("non_regression_recall"),
+        F.when(F.col("_p") > 0, F.col("_tp") / F.col("_p")).alias("regression_recall"),
+        F.when(F.col("_q") > 0, F.col("_tn") / F.col("_q")).alias("non_regression_recall"),
     )
 
 

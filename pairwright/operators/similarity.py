@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.functions.binding import let
+from pairwright.plans.factorial import dimension
+from pairwright.session import cut_lineage, spread_small
 
 # Shingle width, similarity thresholds for review flags.
 SHINGLE_TOKENS = 5
@@ -16,6 +18,7 @@ LANGUAGE_THRESHOLD = 0.70
 LAYOUT_THRESHOLD = 0.90
 STRUCTURE_THRESHOLD = 0.92
 MAXIMUM_APPLICATIONS = 4096
+WORD_BITS = 64
 ALL_LANGUAGES = "all"
 
 
@@ -41,34 +44,52 @@ def shingle_similarity(
     """Jaccard similarity of application pairs, over all languages and per language.
 
     ``(language, left, right, n_left, n_right, n_both, jaccard_ppm, flagged)`` for pairs that share a
-    shingle. Each shingle is reduced to the set of applications that hold it, and equal sets are
-    counted before pairs are formed: boilerplate held by every application costs one row. Applications
-    are a bounded catalogue and the bound is checked.
+    shingle. Applications are a bounded catalogue (the bound is checked) and are numbered, so the
+    owners of a shingle are bits that combine before the shuffle. Equal owner sets are counted before
+    pairs are formed: boilerplate held by every application costs one row.
     """
-    applications = documents.select(application).distinct()
-    if applications.limit(MAXIMUM_APPLICATIONS + 1).count() > MAXIMUM_APPLICATIONS:
-        raise ValueError(f"more than {MAXIMUM_APPLICATIONS} applications")
-    held = (
-        documents.select(F.col(application).alias("_app"), language, F.explode(shingles(F.col(text))).alias("_shingle"))
-        .distinct()
-        .select("_app", "_shingle", F.explode(F.array(F.lit(ALL_LANGUAGES), F.col(language))).alias("language"))
+    applications = cut_lineage(dimension(documents, application))
+    n_applications = applications.count()
+    if n_applications > MAXIMUM_APPLICATIONS:
+        raise ValueError(f"{n_applications} applications, at most {MAXIMUM_APPLICATIONS} are supported")
+    numbered = spread_small(documents.select(application, language, text)).join(F.broadcast(applications), application)
+    bit = F.expr(f"shiftleft(1L, cast(_at % {WORD_BITS} as int))")
+    held = numbered.select(
+        F.col(language).alias("language"),
+        F.expr(f"_at div {WORD_BITS}").alias("_word"),
+        bit.alias("_bits"),
+        F.explode(shingles(F.col(text))).alias("_shingle"),
     )
-    owners = held.groupBy("language", "_shingle").agg(F.array_sort(F.collect_set("_app")).alias("_owners"))
-    signatures = owners.groupBy("language", "_owners").agg(F.count(F.lit(1)).alias("_n"))
+    per_language = held.groupBy("language", "_shingle", "_word").agg(F.bit_or("_bits").alias("_bits"))
+    overall = per_language.groupBy("_shingle", "_word").agg(F.bit_or("_bits").alias("_bits"))
+    owners = per_language.unionByName(overall.withColumn("language", F.lit(ALL_LANGUAGES)))
+    word = F.struct("_word", "_bits")
+    if n_applications > WORD_BITS:
+        # at most MAXIMUM_APPLICATIONS / WORD_BITS words per shingle
+        owners = owners.groupBy("language", "_shingle").agg(F.array_sort(F.collect_list(word)).alias("_words"))
+    else:
+        owners = owners.select("language", F.array(word).alias("_words"))
+    signatures = owners.groupBy("language", "_words").agg(F.count(F.lit(1)).alias("_n"))
+    sets = cut_lineage(signatures.select("language", "_n", _members(F.col("_words")).alias("_owners")))
     sizes = (
-        signatures.select("language", "_n", F.explode("_owners").alias("_app"))
-        .groupBy("language", "_app")
+        sets.select("language", "_n", F.explode("_owners").alias("_at"))
+        .groupBy("language", "_at")
         .agg(F.sum("_n").alias("_size"))
+        .join(F.broadcast(applications), "_at")
     )
-    lefts = signatures.where(F.size("_owners") > 1).select(
-        "language", "_n", "_owners", F.posexplode("_owners").alias("_at", "left")
+    lefts = sets.where(F.size("_owners") > 1).select(
+        "language", "_n", "_owners", F.posexplode("_owners").alias("_pos", "_left")
     )
-    rest = F.slice(F.col("_owners"), F.col("_at") + 2, F.size("_owners"))
-    pairs = lefts.select("language", "_n", "left", F.explode(rest).alias("right"))
-    shared = pairs.groupBy("language", "left", "right").agg(F.sum("_n").alias("n_both"))
-    sized = shared.join(
-        sizes.select("language", F.col("_app").alias("left"), F.col("_size").alias("n_left")), ["language", "left"]
-    ).join(sizes.select("language", F.col("_app").alias("right"), F.col("_size").alias("n_right")), ["language", "right"])
+    rest = F.slice(F.col("_owners"), F.col("_pos") + 2, F.size("_owners"))
+    pairs = lefts.select("language", "_n", "_left", F.explode(rest).alias("_right"))
+    shared = pairs.groupBy("language", "_left", "_right").agg(F.sum("_n").alias("n_both"))
+
+    def side(at: str, name: str):
+        return sizes.select(
+            "language", F.col("_at").alias(at), F.col(application).alias(name), F.col("_size").alias(f"n_{name}")
+        )
+
+    sized = shared.join(side("_left", "left"), ["language", "_left"]).join(side("_right", "right"), ["language", "_right"])
     union = F.col("n_left") + F.col("n_right") - F.col("n_both")
     ppm = F.floor(F.col("n_both") * 1_000_000 / union).cast("long")
     threshold = F.when(F.col("language") == ALL_LANGUAGES, aggregate_threshold).otherwise(language_threshold)
@@ -78,6 +99,17 @@ def shingle_similarity(
     )
 
 
+def _members(words: Column) -> Column:
+    """Application numbers, ascending, of an owner set kept as (word, bits) pairs."""
+
+    def of_word(word: Column) -> Column:
+        offsets = F.sequence(F.lit(0), F.lit(WORD_BITS - 1))
+        present = F.filter(offsets, lambda i: F.getbit(word["_bits"], i) == 1)
+        return F.transform(present, lambda i: word["_word"] * WORD_BITS + i)
+
+    return F.flatten(F.transform(words, of_word))
+
+
 def matched_vectors(vectors: DataFrame, pair: Column, is_baseline: Column, vector: str) -> DataFrame:
     """``(pair, before, after)``: the two members of each pair by an equi-join on the pair id."""
     values = F.transform(vector, lambda v: v.cast("double"))

@@ -291,8 +291,23 @@ def property_state(name: Column, value: Column) -> Column:
     )
 
 
+# The closed vocabulary of states, sorted.
+STATES = tuple(
+    sorted([*BOOLEAN_STATES, *TRISTATE, *[f"{name}:mixed" for name in TRISTATE], "collapsed", "editable", "expanded", "invalid"])
+)
+
+
 def state_sets(properties: DataFrame, keys: Sequence[str], name: str, value: str) -> DataFrame:
-    """Sorted state set per node. Properties outside the closed vocabulary are ignored, so a set holds
-    at most as many states as the vocabulary has."""
+    """Sorted state set per node; properties outside the closed vocabulary are ignored.
+
+    States are numbered bits of one integer per node, so nothing is collected.
+    """
+    vocabulary = F.array(*[F.lit(state) for state in STATES])
     state = property_state(F.col(name), F.col(value))
-    return properties.groupBy(*keys).agg(F.array_sort(F.collect_set(state)).alias("states"))
+    at = F.array_position(vocabulary, state).cast("int") - 1
+    bit = F.when(at >= 0, F.call_function("shiftleft", F.lit(1).cast("long"), at))
+    masks = properties.select(*keys, bit.alias("_bit")).groupBy(*keys).agg(
+        F.coalesce(F.bit_or("_bit"), F.lit(0).cast("long")).alias("_mask")
+    )
+    present = F.filter(vocabulary, lambda state, i: F.getbit(F.col("_mask"), i) == 1)
+    return masks.select(*keys, present.alias("states"))

@@ -35,18 +35,18 @@ def vector_issues(rows: DataFrame, definition: Sequence[str], role: str, state:
     """
     kind, value = F.col(role), F.col(state)
     facts = rows.groupBy(*definition).agg(
-        F.count_if(kind == DESIGNATED).alias("d"),
-        F.count_if((kind == PRESERVED) & (value != "pass")).alias("p"),
-        F.count_if((kind == CORRELATED) & (value != "fail")).alias("c"),
-        F.count_if(control & ((kind == CORRELATED) | (value != "pass"))).alias("k"),
+        F.count_if(kind == DESIGNATED).alias("_d"),
+        F.count_if((kind == PRESERVED) & (value != "pass")).alias("_p"),
+        F.count_if((kind == CORRELATED) & (value != "fail")).alias("_c"),
+        F.count_if(control & ((kind == CORRELATED) | (value != "pass"))).alias("_k"),
     )
     return violations(
         facts,
         definition,
         {
-            "policy.designated": F.col("d") != 1,
-            "policy.preserved": F.col("p") > 0,
-            "policy.correlated": F.col("c") > 0,
-            "policy.control": F.col("k") > 0,
+            "policy.designated": F.col("_d") != 1,
+            "policy.preserved": F.col("_p") > 0,
+            "policy.correlated": F.col("_c") > 0,
+            "policy.control": F.col("_k") > 0,
         },
     )
