@@ -211,7 +211,7 @@ def policy_vector(spark, sf):
     expected = events.select("user_id").distinct().select("user_id", F.explode(vector).alias("e"))
     state = F.when(F.max("value") > 120, "fail").otherwise("pass")
     seen = events.groupBy("user_id", F.col("event_type").alias("predicate")).agg(state.alias("state"))
-    observed = blocked_window(seen, ["user_id"], ["predicate"], F.lit(0), position="ordinal")
+    observed = blocked_window(seen, ["user_id"], ["predicate"], None, position="ordinal")
     return bindings.ordinal_conformance(
         ["user_id", "ordinal"], expected.select("user_id", "e.*"), observed, ["predicate", "state"]
     )

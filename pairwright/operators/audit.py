@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.operators.keyed import blocked_window
+from pairwright.operators.keyed import attach, blocked_window
 
 
 def session_counts(events: DataFrame, session: str, categories: Mapping[str, Column]) -> DataFrame:
@@ -85,7 +85,7 @@ def percentile_report(
         F.max(value).alias("max_value"),
         F.sum(F.col("_n") * F.col(value)).cast("long").alias("sum_value"),
     )
-    joined = running.join(totals, list(keys))
+    joined = attach(running, totals, keys, spread=[value], hot_from=rows)
     picked = []
     for name, permille in permilles.items():
         rank = F.ceil(F.col("n_rows") * permille / 1000)

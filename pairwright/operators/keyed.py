@@ -88,7 +88,7 @@ def blocked_window(
     rows: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    block: Column,
+    block: Column | None,
     *,
     position: str | None = None,
     running: Mapping[str, Column] | None = None,
@@ -98,11 +98,13 @@ def blocked_window(
 
     ``block`` must not decrease along ``order`` inside a group. ``position`` is zero-based,
     ``running`` sums include the current row, ``previous`` is the value one row earlier. Keys must
-    not be null.
+    not be null. ``block`` None means one block per group, for groups bounded by a closed vocabulary.
     """
     running = dict(running or {})
     previous = dict(previous or {})
     keys = list(keys)
+    if block is None:
+        return _whole_window(rows, keys, order, position, running, previous)
     cut = [*keys, _BLOCK]
     rows = rows.withColumn(_BLOCK, block)
     inside = Window.partitionBy(*cut).orderBy(*order)
@@ -142,6 +144,15 @@ def blocked_window(
     return joined.select(*kept, *[value.alias(name) for name, value in out.items()])
 
 
+def _whole_window(rows, keys, order, position, running, previous) -> DataFrame:
+    window = Window.partitionBy(*keys).orderBy(*order)
+    upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = {} if position is None else {position: (F.row_number().over(window) - 1).cast("long")}
+    out.update({name: F.sum(value).over(upto).cast("long") for name, value in running.items()})
+    out.update({name: F.lag(value).over(window) for name, value in previous.items()})
+    return rows.withColumns(out)
+
+
 def tally_sides(keys: Sequence[str], **sides: DataFrame) -> DataFrame:
     """Rows per key on each side, as ``n_<side>``: the shuffle-once form of a full outer join."""
     names = list(sides)

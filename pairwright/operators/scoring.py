@@ -220,13 +220,12 @@ def bootstrap_intervals(resampled: DataFrame, subject: str, comparators: Sequenc
 
 def claim_gate(intervals: DataFrame, gates: DataFrame) -> DataFrame:
     """One row: every lower bound above zero, nothing undefined, every eligibility gate passed."""
+    gates_passed = gates.agg(F.coalesce(F.bool_and("passed"), F.lit(False))).scalar()
     bounds = intervals.agg(
         F.coalesce(F.bool_and(F.coalesce(F.col("lower_ppm") > 0, F.lit(False))), F.lit(False)).alias("bounds_positive"),
         F.coalesce(F.bool_and(F.col("n_undefined") == 0), F.lit(False)).alias("all_defined"),
-    ).withColumn("k", F.lit(1))
-    passed = gates.agg(F.coalesce(F.bool_and("passed"), F.lit(False)).alias("gates_passed")).withColumn("k", F.lit(1))
-    both = bounds.join(passed, "k").drop("k")
-    return both.withColumn("claim", F.col("bounds_positive") & F.col("all_defined") & F.col("gates_passed"))
+    ).withColumn("gates_passed", gates_passed)
+    return bounds.withColumn("claim", F.col("bounds_positive") & F.col("all_defined") & F.col("gates_passed"))
 
 
 def score_parity(

@@ -13,9 +13,12 @@ from pairwright.operators.rules import violations
 
 
 def dimension(rows: DataFrame, key: str, block: Column | None = None) -> DataFrame:
-    """Distinct keys with a dense zero-based ordinal in key order."""
+    """Distinct keys with a dense zero-based ordinal in key order.
+
+    Give a ``block`` that does not decrease with the key when there can be many distinct keys.
+    """
     unique = rows.select(key).distinct()
-    return blocked_window(unique, [], [key], F.lit(0) if block is None else block, position="_at")
+    return blocked_window(unique, [], [key], block, position="_at")
 
 
 def factorial_plan(spark: SparkSession, dimensions: Mapping[str, DataFrame]) -> DataFrame:

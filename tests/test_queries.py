@@ -47,7 +47,11 @@ def test_runs_without_twin(spark, name):
     assert QUERIES[name](spark, FOLDER).count() > 0
 
 
-def test_no_cross_join_or_row_cap_in_plans(spark):
-    for name in ("factorial_plan", "split_leakage", "matrix_audit", "policy_vector", "fold_roles"):
-        plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
-        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+# the two entries that run many eager rounds before their final plan
+EAGER = {"crossfit_stacker", "preorder_audit"}
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - EAGER))
+def test_plan_has_no_cross_join(spark, name):
+    plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
