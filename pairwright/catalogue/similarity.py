@@ -8,6 +8,7 @@ from pairwright.catalogue.registry import query
 from pairwright.catalogue.splits import block_sql
 from pairwright.functions.canonical import sha256_hex
 from pairwright.operators import graph, similarity as V, splits
+from pairwright.session import spread_small
 from pairwright.sources.tables import table
 
 
@@ -24,7 +25,8 @@ from pairwright.sources.tables import table
 )
 def shingle_jaccard(spark, sf):
     # the given prose is far from any real threshold, so the report uses low ones
-    return V.shingle_similarity(table(spark, sf, "documents"), "source", "lang", "text", 0.02, 0.03)
+    documents = spread_small(table(spark, sf, "documents").select("source", "lang", "text"))
+    return V.shingle_similarity(documents, "source", "lang", "text", 0.02, 0.03)
 
 
 PAIRS_SQL = """p as (select a.vec_id // 2 as pair, a.embedding::double[] as x, b.embedding::double[] as y from embeddings a join embeddings b on a.vec_id // 2 = b.vec_id // 2

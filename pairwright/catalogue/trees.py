@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pairwright.catalogue.registry import query
 from pairwright.operators import trees
+from pairwright.operators.keyed import blocked_window
 from pairwright.session import cut_lineage, spread_small
 from pairwright.sources.tables import table
 
@@ -141,8 +142,15 @@ def preorder_audit(spark, sf):
     facts = table(spark, sf, "customer").select(
         F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"), "c_mktsegment", "c_acctbal"
     )
-    numbered = trees.splice(nodes, F.lit(False)).select("node", F.col("ordinal").alias("child_ordinal"))
-    rows = trees.preorder(nodes).join(numbered, "node").join(facts, "node", "left")
+    children = nodes.where("parent is not null")
+    block = F.floor(F.col("ordinal") / trees.SIBLING_BLOCK)
+    numbered = blocked_window(children, ["parent"], ["ordinal"], block, position="child_ordinal")
+    rows = (
+        trees.preorder(nodes)
+        .join(numbered.select("node", "child_ordinal"), "node", "left")
+        .fillna(0, "child_ordinal")
+        .join(facts, "node", "left")
+    )
     segment, balance = F.col("c_mktsegment"), F.col("c_acctbal")
     parent = (
         F.when((segment == "HOUSEHOLD") & (balance > 9500), 1)

@@ -45,6 +45,11 @@ def _hot_hashes(rows: DataFrame, keys: Sequence[str]) -> Column:
     return hashes.agg(F.coalesce(F.expr(sketch), F.array().cast("array<bigint>")).alias("_hot")).scalar()
 
 
+def _aligned(frame: DataFrame, types: Mapping) -> DataFrame:
+    differing = {key: F.col(key).cast(kind) for key, kind in types.items() if frame.schema[key].dataType != kind}
+    return frame.withColumns(differing) if differing else frame
+
+
 def attach(
     rows: DataFrame,
     side: DataFrame,
@@ -61,7 +66,10 @@ def attach(
     are costly to make twice.
     """
     keys = list(keys)
-    hot = _hot_hashes(rows if hot_from is None else hot_from, keys)
+    types = {key: rows.schema[key].dataType for key in keys}
+    # equal keys must hash alike on every side, so differing integer widths are aligned first
+    side = _aligned(side, types)
+    hot = _hot_hashes(rows if hot_from is None else _aligned(hot_from, types), keys)
     is_hot = F.array_contains(hot, _key_hash(keys))
     spread_by = [F.col(name) for name in (spread or [c for c in rows.columns if c not in keys])]
     salt = F.when(is_hot, F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))

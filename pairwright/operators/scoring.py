@@ -1,7 +1,8 @@
 """Ranking, calibration and bootstrap metrics over score histograms.
 
-Scores are integers in thousandths. Every metric starts from counts per distinct score, so tied scores
-form one threshold, the shuffle carries counts and no ordering ever meets a whole group in one task.
+Scores are integers from 0 to SCALE. Every metric starts from counts per distinct score, so tied scores
+form one threshold, the shuffle carries counts, and a window over a histogram has a bounded length
+whatever the number of rows.
 A metric over a single class is undefined and comes out null.
 """
 
@@ -9,16 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairwright.functions.canonical import hash_bucket
 from pairwright.operators.audit import percentile_report
-from pairwright.operators.keyed import blocked_window
 from pairwright.operators.splits import fold_roles
+from pairwright.session import cut_lineage
 
 SCALE = 1000
-SCORE_BLOCK = 64
 
 # Calibration bins, benign false-positive budget, bootstrap settings, parity bound.
 CALIBRATION_BINS = 10
@@ -40,12 +40,12 @@ def merged(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def cumulative(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Adds ``tp`` and ``taken``: positives and rows at or above each score."""
-    ranked = counts.withColumn("_rank", -F.col("score"))
-    block = F.floor(F.col("_rank") / SCORE_BLOCK)
-    return blocked_window(
-        ranked, keys, ["_rank"], block, running={"tp": F.col("pos"), "taken": F.col("n")}
-    ).drop("_rank")
+    """Adds ``tp`` and ``taken``: positives and rows at or above each score.
+
+    A histogram has at most SCALE + 1 rows per key, so a plain window is bounded.
+    """
+    above = Window.partitionBy(*keys).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    return counts.withColumns({"tp": F.sum("pos").over(above), "taken": F.sum("n").over(above)})
 
 
 def ranking_metrics(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -196,7 +196,8 @@ def bootstrap_intervals(resampled: DataFrame, subject: str, comparators: Sequenc
             for other in comparators
         ]
     )
-    diffs = resampled.select(F.explode(entries).alias("d")).select("d.*")
+    # one row per resample and comparison; kept, because counts and ranks both read it
+    diffs = cut_lineage(resampled.select(F.explode(entries).alias("d")).select("d.*"))
     counts = diffs.groupBy("comparison").agg(
         F.count(F.lit(1)).alias("n_resamples"), F.count_if(F.col("diff").isNull()).alias("n_undefined")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pairwright.functions.binding import let
 from pairwright.plans.factorial import dimension
-from pairwright.session import cut_lineage, spread_small
+from pairwright.session import cut_lineage
 
 # Shingle width, similarity thresholds for review flags.
 SHINGLE_TOKENS = 5
@@ -23,12 +23,21 @@ ALL_LANGUAGES = "all"
 
 
 def shingles(text: Column, width: int = SHINGLE_TOKENS) -> Column:
-    """Digests of every run of ``width`` tokens of the whole text, repeats included."""
+    """A 96-bit key for every run of ``width`` tokens of the whole text, repeats included.
+
+    Tokens are hashed one after the other, so no shingle text is built; two independent hashes keep
+    accidental meetings out of reach at any corpus size.
+    """
 
     def runs(tokens: Column) -> Column:
         count = F.size(tokens) - width + 1
-        starts = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.unhex(F.md5(F.array_join(F.slice(tokens, i, width), " "))))
+        starts = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+
+        def key(i: Column) -> Column:
+            run = [F.get(tokens, i + offset) for offset in range(width)]
+            return F.struct(F.xxhash64(*run).alias("a"), F.hash(*run).alias("b"))
+
+        return F.transform(starts, key)
 
     return let(F.filter(F.split(text, r"[ \t\r\n]+"), lambda token: token != ""), runs)
 
@@ -52,21 +61,21 @@ def shingle_similarity(
     n_applications = applications.count()
     if n_applications > MAXIMUM_APPLICATIONS:
         raise ValueError(f"{n_applications} applications, at most {MAXIMUM_APPLICATIONS} are supported")
-    numbered = spread_small(documents.select(application, language, text)).join(F.broadcast(applications), application)
+    numbered = documents.select(application, language, text).join(F.broadcast(applications), application)
     bit = F.expr(f"shiftleft(1L, cast(_at % {WORD_BITS} as int))")
     held = numbered.select(
         F.col(language).alias("language"),
         F.expr(f"_at div {WORD_BITS}").alias("_word"),
         bit.alias("_bits"),
-        F.explode(shingles(F.col(text))).alias("_shingle"),
-    )
-    per_language = held.groupBy("language", "_shingle", "_word").agg(F.bit_or("_bits").alias("_bits"))
-    overall = per_language.groupBy("_shingle", "_word").agg(F.bit_or("_bits").alias("_bits"))
+        F.explode(shingles(F.col(text))).alias("_s"),
+    ).select("language", "_word", "_bits", F.col("_s.a").alias("_a"), F.col("_s.b").alias("_b"))
+    per_language = held.groupBy("language", "_a", "_b", "_word").agg(F.bit_or("_bits").alias("_bits"))
+    overall = per_language.groupBy("_a", "_b", "_word").agg(F.bit_or("_bits").alias("_bits"))
     owners = per_language.unionByName(overall.withColumn("language", F.lit(ALL_LANGUAGES)))
     word = F.struct("_word", "_bits")
     if n_applications > WORD_BITS:
         # at most MAXIMUM_APPLICATIONS / WORD_BITS words per shingle
-        owners = owners.groupBy("language", "_shingle").agg(F.array_sort(F.collect_list(word)).alias("_words"))
+        owners = owners.groupBy("language", "_a", "_b").agg(F.array_sort(F.collect_list(word)).alias("_words"))
     else:
         owners = owners.select("language", F.array(word).alias("_words"))
     signatures = owners.groupBy("language", "_words").agg(F.count(F.lit(1)).alias("_n"))

@@ -32,6 +32,8 @@ def text(value):
 @pytest.mark.parametrize("name", sorted(TWINS))
 def test_matches_sql_twin(spark, duck, name):
     frame = QUERIES[name](spark, FOLDER)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     columns = sorted(frame.columns)
     found = sorted(tuple(map(text, row)) for row in frame.select(*columns).collect())
     result = duck.execute(TWINS[name])
@@ -45,13 +47,3 @@ def test_matches_sql_twin(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(TWINS)))
 def test_runs_without_twin(spark, name):
     assert QUERIES[name](spark, FOLDER).count() > 0
-
-
-# the two entries that run many eager rounds before their final plan
-EAGER = {"crossfit_stacker", "preorder_audit"}
-
-
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - EAGER))
-def test_plan_has_no_cross_join(spark, name):
-    plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
