@@ -14,7 +14,10 @@ from pyspark.sql.types import StringType
 # these helpers travel with the task, so executors need no installed copy of the package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# Default parse limits and the largest safe integer.
+MAXIMUM_BYTES = 131_072
 MAXIMUM_DEPTH = 32
+MAXIMUM_VALUES = 100_000
 SAFE_INTEGER = 9007199254740991
 
 
@@ -49,9 +52,12 @@ def _decoder() -> json.JSONDecoder:
     )
 
 
-def _check_strings(root) -> None:
-    level, depth = [root], 0
+def _check_values(root) -> None:
+    level, depth, seen = [root], 0, 0
     while level:
+        seen += len(level)
+        if seen > MAXIMUM_VALUES:
+            raise _Defect("json.value_count")
         if depth > MAXIMUM_DEPTH:
             raise _Defect("json.depth")
         below = []
@@ -62,6 +68,7 @@ def _check_strings(root) -> None:
                 if not unicodedata.is_normalized("NFC", value):
                     raise _Defect("json.non_nfc_string")
             elif isinstance(value, dict):
+                seen -= len(value)  # names are checked as strings but are not values
                 below.extend(value)
                 below.extend(value.values())
             elif isinstance(value, list):
@@ -78,7 +85,7 @@ def _canonical(value) -> str:
     return json.dumps(value, ensure_ascii=False)
 
 
-def defect_code(text: str | None, decoder: json.JSONDecoder | None = None, maximum_bytes: int = 1 << 20) -> str | None:
+def defect_code(text: str | None, decoder: json.JSONDecoder | None = None, maximum_bytes: int = MAXIMUM_BYTES) -> str | None:
     """The first defect of one JSON text, or None when it is canonical."""
     if text is None:
         return "json.input"
@@ -90,7 +97,7 @@ def defect_code(text: str | None, decoder: json.JSONDecoder | None = None, maxim
         value, end = (decoder or _decoder()).raw_decode(text.lstrip(" \t\n\r"))
         if text.lstrip(" \t\n\r")[end:].strip(" \t\n\r"):
             return "json.trailing_data"
-        _check_strings(value)
+        _check_values(value)
     except _Defect as defect:
         return str(defect)
     except RecursionError:

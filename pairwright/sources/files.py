@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwright.functions.canonical import sha256_hex
+from pairwright.functions.scalars import path_ancestors
 from pairwright.operators.bindings import membership
 
 
@@ -36,6 +37,34 @@ def tree_digests(spark: SparkSession, root: str, maximum_file_bytes: int) -> Dat
     return read.unionByName(over)
 
 
+def tree_budget_issues(
+    files: DataFrame, maximum_files: int, maximum_bytes: int, maximum_directories: int, maximum_depth: int
+) -> DataFrame:
+    """``(code, value, maximum)`` for every budget of a whole tree that its file metadata breaks.
+
+    Counts are aggregated in parallel; directories are the distinct ancestors of the paths.
+    """
+    depth = F.size(F.split("path", "/")) - 1
+    sums = files.agg(
+        F.count(F.lit(1)).alias("tree.files"),
+        F.coalesce(F.sum("byte_length"), F.lit(0)).alias("tree.bytes"),
+        F.coalesce(F.max(depth), F.lit(0)).cast("long").alias("tree.depth"),
+    )
+    directories = files.select(F.explode(path_ancestors(F.col("path"))).alias("d")).distinct().agg(
+        F.count(F.lit(1)).alias("tree.directories")
+    )
+    limits = {"tree.files": maximum_files, "tree.bytes": maximum_bytes, "tree.depth": maximum_depth}
+    rows = [(sums, code, limit) for code, limit in limits.items()] + [(directories, "tree.directories", maximum_directories)]
+    parts = [
+        frame.select(F.lit(code).alias("code"), F.col(f"`{code}`").alias("value"), F.lit(limit).cast("long").alias("maximum"))
+        for frame, code, limit in rows
+    ]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found.where("value > maximum")
+
+
 def relative_path(root: str):
     clean = root.rstrip("/").removeprefix("file://").removeprefix("file:")
     return F.expr("substring_index(path, '" + clean.replace("'", "\\'") + "/', -1)")

@@ -18,9 +18,13 @@ def publish_stream(
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        decided = publish(batch.sparkSession, batch, store, key, publication, ordinal)
-        if decisions is not None:
-            decided.write.mode("overwrite").parquet(f"{decisions}/batch={number}")
+        batch.persist()
+        try:
+            decided = publish(batch.sparkSession, batch, store, key, publication, ordinal)
+            if decisions is not None:
+                decided.write.mode("overwrite").parquet(f"{decisions}/batch={number}")
+        finally:
+            batch.unpersist()
 
     return (
         incoming.writeStream.foreachBatch(merge)

@@ -57,6 +57,8 @@ def test_domain_id_separates_domains(spark):
         ('{"a":"\\ud800"}', "json.unpaired_surrogate"),
         ("﻿{}", "json.bom"),
         ("[" * 40 + "]" * 40, "json.depth"),
+        ("[" + "0," * 100_000 + "0]", "json.byte_length"),
+        ("[" + "0," * 60_000 + "0]", None),
         (None, "json.input"),
     ],
 )
@@ -64,6 +66,10 @@ def test_json_defects(text, code):
     assert defect_code(text) == code
 
 
+def test_json_value_count():
+    assert defect_code("[" + "0," * 100_000 + "0]", maximum_bytes=1 << 20) == "json.value_count"
+
+
 def test_reference_metadata_faults(spark):
     good = ("a" * 64, 5, "text/plain", 1)
     bad = {
@@ -216,6 +222,12 @@ def test_tree_digest_and_topology(spark, tmp_path):
     digests = {r["path"]: r for r in files.tree_digests(spark, str(root), 8).collect()}
     assert digests["r1/sealed"]["sha256"] == hashlib.sha256(b"r1sealed").hexdigest()
     assert digests["r1/visible"]["code"] == "tree.file_bytes" and digests["r1/visible"]["sha256"] is None
+    metadata = files.file_metadata(spark, str(root))
+    assert files.tree_budget_issues(metadata, 5, 1000, 3, 1).count() == 0
+    over = files.tree_budget_issues(metadata, 4, 20, 2, 0)
+    assert {r["code"]: r["value"] for r in over.collect()} == {
+        "tree.files": 5, "tree.bytes": sum(map(len, ("r1visible", "r1sealed", "r2visible", "r9visible", "r9sealed"))), "tree.directories": 3, "tree.depth": 1
+    }
     committed = spark.createDataFrame([("r1",), ("r2",)], "release_id string")
     found = files.release_topology(files.file_metadata(spark, str(root)), committed, ["visible", "sealed"])
     assert sorted((r["release_id"], r["entry"], r["code"]) for r in found.collect()) == [
@@ -245,6 +257,13 @@ def test_codec_runs_once_per_digest_and_normalizes(spark):
     assert spark.createDataFrame([(None,)], "t string").select(nfc("t").alias("t")).first()["t"] is None
 
 
+def test_codec_registry_dispatch(spark):
+    rows = spark.createDataFrame([(1, "a", "x  y"), (2, "b", "ab"), (3, "c", "x"), (4, "a", "x y")], "id long, m string, t string")
+    registry = {"a": codecs.whitespace_codec, "b": lambda text: F.concat(text, F.lit("!"))}
+    found = sorted((r["id"], r["code"]) for r in codecs.codec_issues(rows, "id", "m", "t", registry).collect())
+    assert found == [(1, "codec.noncanonical"), (2, "codec.idempotence"), (2, "codec.noncanonical"), (3, "codec.unregistered")]
+
+
 def test_scalar_edges(spark):
     row = spark.range(1).select(
         S.round_ties_even(F.lit(-0.5)).alias("a"), S.round_ties_even(F.lit(2.5)).alias("b"),
