@@ -34,8 +34,10 @@ from pairwright.sources.tables import table
 
 CAPACITY = 2048
 END_ID = 0
-CACHE_WORDS = 400_000
-MISSING_AT_ONCE = 20_000
+CACHE_WORDS = 200_000
+CACHE_PARTS = 250_000
+TOGETHER = 5_000
+PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _LOADED: dict[str, WordCodec] = {}
 
@@ -44,7 +46,9 @@ class WordCodec:
     """Token ids of whole texts, with the ids of white-space-separated words kept in a bounded cache.
 
     The tokenizer drops white space and its normalizer never joins characters across it, so the ids of a text are the
-    ids of its words one after the other.
+    ids of its words one after the other. A word of letters with punctuation behind it is two such parts; parts are kept
+    in lower case in a second cache, and missing parts of letters go to the tokenizer in one text, whose ids fall apart
+    after every token that ends a part.
     """
 
     def __init__(self, config: str) -> None:
@@ -52,23 +56,58 @@ class WordCodec:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(config)
-        self.cache = BoundedCache(CACHE_WORDS)
+        suffix = json.loads(config)["model"].get("end_of_word_suffix") or ""
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+        self.words = BoundedCache(CACHE_WORDS)
+        self.parts = BoundedCache(CACHE_PARTS)
 
     def ids(self, text: bytes | None) -> bytes:
         """Ids of a text in UTF-8, as little-endian unsigned 32-bit numbers."""
         words = words_of(text)
-        found = list(map(self.cache.get, words))
+        found = list(map(self.words.get, words))
         if None not in found:
             return b"".join(found)
-        missing = list({word for word, ids in zip(words, found, strict=True) if ids is None})
-        self.cache.room(len(missing))
-        for at in range(0, len(missing), MISSING_AT_ONCE):
-            some = missing[at : at + MISSING_AT_ONCE]
-            texts = [word.decode("utf-8", "replace") for word in some]
-            encodings = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-            for word, encoding in zip(some, encodings, strict=True):
-                self.cache[word] = np.array(encoding.ids, "<u4").tobytes()
-        return b"".join([self.cache[word] if ids is None else ids for word, ids in zip(words, found, strict=True)])
+        missing = {word: self._cut(word) for word, ids in zip(words, found, strict=True) if ids is None}
+        self.parts.room(2 * len(missing))
+        self._learn([part for parts in missing.values() for part in parts if part not in self.parts])
+        self.words.room(len(missing))
+        for word, parts in missing.items():
+            self.words[word] = b"".join([self.parts[part] for part in parts])
+        return b"".join([self.words[word] if ids is None else ids for word, ids in zip(words, found, strict=True)])
+
+    def _cut(self, word: bytes) -> tuple[bytes, ...]:
+        core = word.rstrip(PUNCTUATION)
+        if core == word:
+            return (word.lower(),) if word.isalpha() else (word,)
+        if core[-1:].isalpha() and b"<|" not in word:
+            return (core.lower() if core.isalpha() else core, word[len(core) :])
+        return (word,)
+
+    def _learn(self, parts: list[bytes]) -> None:
+        parts = list(dict.fromkeys(parts))
+        plain = [part for part in parts if part.decode("utf-8", "replace").isalpha()]
+        for at in range(0, len(plain), TOGETHER):
+            some = plain[at : at + TOGETHER]
+            text = b" ".join(some).decode("utf-8", "replace")
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(cuts) != len(some):
+                self._one_by_one(some)
+                continue
+            raw, before = ids.tobytes(), 0
+            for part, cut in zip(some, cuts.tolist(), strict=True):
+                self.parts[part] = raw[before:cut]
+                before = cut
+        self._one_by_one([part for part in parts if part not in self.parts])
+
+    def _one_by_one(self, parts: list[bytes]) -> None:
+        texts = [part.decode("utf-8", "replace") for part in parts]
+        for at in range(0, len(parts), TOGETHER):
+            encodings = self.tokenizer.encode_batch_fast(texts[at : at + TOGETHER], add_special_tokens=False)
+            for part, encoding in zip(parts[at : at + TOGETHER], encodings, strict=True):
+                self.parts[part] = np.array(encoding.ids, "<u4").tobytes()
 
 
 def _codec(config: str) -> WordCodec:
@@ -144,7 +183,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = pieces.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col(name) for name in ("length", "doc_id", "piece", "ids_crc32")]
-    ranged = pieces.repartitionByRange(width, *order).sortWithinPartitions("length")
+    # range bounds are sampled, which would tokenise twice
+    ranged = cut_lineage(pieces).repartitionByRange(width, *order).sortWithinPartitions("length")
     ranged = cut_lineage(ranged.withColumn("_part", F.spark_partition_id()))
     # one row per length, and one more for each partition in which a length goes on
     counted = ranged.groupBy("length", "_part").count().collect()
