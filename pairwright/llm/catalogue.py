@@ -6,7 +6,7 @@ from importlib import import_module
 
 from pairwright.llm.registry import QUERIES, TWINS
 
-MODULES = ("quality", "toxicity", "lattice", "jaccard_join", "suffix_dedup", "sentencepiece_bpe", "warc", "packing")
+MODULES = ("quality", "neighbours", "toxicity", "lattice", "jaccard_join", "suffix_dedup", "sentencepiece_bpe", "warc", "packing")
 for _module in MODULES:
     import_module(f"pairwright.llm.{_module}")
 
