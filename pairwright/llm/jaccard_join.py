@@ -351,6 +351,17 @@ def join_components(documents: DataFrame) -> DataFrame:
     return joined.select("doc_id", "n_shingles", mine.cast("long").alias("component_id"))
 
 
+def one_of_each(documents: DataFrame) -> DataFrame:
+    """The documents with the smallest id of their component, with all their columns.
+
+    Rows without an id stay. Rows that share an id stay or go together, but of equal texts with one id one row stays.
+    """
+    found = join_components(documents)
+    kept = found.where("doc_id = component_id").select("doc_id").distinct()
+    named = documents.where("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn("__text", F.md5(F.col("text").cast("binary")))
+    return named.dropDuplicates(["doc_id", "__text"]).select(*documents.columns).unionByName(documents.where("doc_id is null"))
+
+
 @query("op5_jaccard_join")
 def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return join_components(table(spark, folder, "documents"))

@@ -31,6 +31,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from pairwright.llm.registry import query
 from pairwright.llm.text import map_rows
@@ -339,6 +340,29 @@ def _concat(column: str):
     return F.unhex(F.concat_ws("", F.collect_list(F.hex(column)))).alias(column)
 
 
+def without_repeats(documents: DataFrame) -> DataFrame:
+    """The documents with all repeats cut out of ``text``; ``n_chars``, where there, follows the text.
+
+    A character that a cut leaves incomplete goes with it. Null texts stay null.
+    """
+    found = dedup_texts(documents).select(F.col("key").alias("__key"), F.col("kept").alias("__kept"))
+    key = F.unhex(F.md5(F.col("text").cast("binary")))
+    keyed = documents.withColumn("__key", key).drop("text")
+    joined = attach(keyed, found, ["__key"], how="left", spread=["doc_id"], hot_from=documents.select(key.alias("__key")))
+    texts = {"text": F.col("__text"), "n_chars": F.length("__text").cast("long")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [value if value is None else value.decode("utf-8", "ignore") for value in batch.column("__kept").to_pylist()]
+            at = batch.schema.get_field_index("__kept")
+            yield batch.set_column(at, "__text", pa.array(kept, pa.string()))
+
+    kept = joined.drop("__key")
+    schema = StructType([StructField("__text", StringType()) if field.name == "__kept" else field for field in kept.schema])
+    whole = kept.mapInArrow(run, schema)
+    return whole.select(*[texts[c].alias(c) if c in texts else F.col(c) for c in documents.columns])
+
+
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 

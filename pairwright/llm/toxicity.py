@@ -218,6 +218,27 @@ def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return map_rows(documents, columns, "doc_id long, held_out boolean, score double, predicted int, evidence array<long>", run)
 
 
+def without_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that are not predicted to be toxic, with all their columns."""
+    terms, index, _ = fit_index(documents, labels)
+
+    def run(batches):
+        import pyarrow as pa
+
+        cache: BoundedCache = BoundedCache(100_000)
+        for batch in batches:
+            kept = []
+            for text in batch.column("text").cast(pa.binary()).to_pylist():
+                key = tuple(_known(text, terms).items())
+                if key not in cache:
+                    cache.room()
+                    cache[key] = index.score(index.vote(index.nearest(index.vector(dict(key))))) < THRESHOLD
+                kept.append(cache[key])
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 @query("op3_toxicity")
 def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
