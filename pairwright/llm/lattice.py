@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
@@ -216,133 +217,134 @@ def score_documents(documents: DataFrame, model_path: str) -> DataFrame:
         for row in rated.join(counts.where(F.col("n") > max(1.0, FREQUENT * tokens)).select("word"), "word", "left_semi").collect()
     }
     shared = spark.sparkContext.broadcast(frequent)
-    partial = _partials(documents, rated, shared)
-    ends = {"known": int(n_train > 0), "base": math.log10((n_train + 0.5) / spread) if spread else 0.0, "score": end / math.log(10)}
-    return (
-        partial.groupBy("row")
-        .agg(
-            F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"),
-            (F.sum("n_tokens") + 1).alias("n_tokens"), (F.sum("n_known") + ends["known"]).alias("n_known"),
-            F.lit(tokens).cast("long").alias("train_tokens"),
-            (F.sum("base") + ends["base"]).alias("base_score"), (F.sum("score") + ends["score"]).alias("score"),
-        )
-        .drop("row")
-    )
+    end_base = math.log10((n_train + 0.5) / spread)
+    ends = np.array([(int(n_train > 0), end_base, end / math.log(10))], _SUMS)[0]
+    return _per_document(documents, rated, shared, ends).withColumn("train_tokens", F.lit(tokens).cast("long"))
 
 
-_PARTIAL = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+_SUMS = np.dtype([("known", "f8"), ("base", "f8"), ("score", "f8")])
+_DOCUMENT = np.dtype([("doc_id", "i8"), ("has_id", "?"), ("held_out", "?"), ("words", "i8"), *_SUMS.descr])
+_PLACED = np.dtype([("place", "u4"), *_SUMS.descr])
+_RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _partials(documents: DataFrame, rated: DataFrame, shared) -> DataFrame:
-    """Rows to be added up per document: one with its frequent words, and one for every task that held some of the others."""
+def _per_document(documents: DataFrame, rated: DataFrame, shared, ends: np.void) -> DataFrame:
+    """Documents stay in the blocks they were read in; what a task adds up for a block travels back as one packed row."""
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = shared.value
-        block = _Block()
+        frequent, block = shared.value, None
         for batch in batches:
-            rows = zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True)
-            for row, doc_id, held, text in rows:
-                block.add(row, doc_id, held, text, frequent)
-                if block.words_held > BLOCK_WORDS:
+            for row, doc_id, held, text in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+                block = block or _Block(row)
+                block.add(doc_id, held, text, frequent)
+                if block.held > BLOCK_WORDS:
                     yield from block.flush()
-                    block = _Block()
-        yield from block.flush()
+                    block = None
+        if block:
+            yield from block.flush()
 
     columns = [
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
         (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), utf8(),
     ]
-    posted = documents.select(*columns).mapInArrow(postings, f"word binary, posts binary, {_PARTIAL}")
-    met = posted.join(rated.select("word", "known", F.col("base").alias("w_base"), F.col("score").alias("w_score")), "word", "left")
+    posted = documents.select(*columns).mapInArrow(postings, "word binary, block long, posts binary")
+    met = posted.join(rated, "word", "left").select("word", "block", "posts", "known", "base", "score")
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [field.split()[0] for field in _PARTIAL.split(", ")]
-        parts: list[np.ndarray] = []
+        parts: list[tuple[np.ndarray, ...]] = []
         held = 0
         for batch in batches:
-            own = batch.filter(pa.compute.is_null(batch.column("posts")))
+            known = batch.column("known").is_valid()
+            own = batch.filter(pa.compute.invert(known))
             if own.num_rows:
-                yield own.select(names)
-            rest = batch.filter(pa.compute.is_valid(batch.column("posts")))
-            if not rest.num_rows:
-                continue
-            posts = rest.column("posts").to_pylist()
-            flat = np.frombuffer(b"".join(posts), "<u8")
-            each = np.array([len(p) // 16 for p in posts])
-            rows, n = flat[0::2].astype("i8"), flat[1::2].astype("f8")
-            values = [np.repeat(rest.column(c).to_numpy(zero_copy_only=False).astype("f8"), each) for c in ("known", "w_base", "w_score")]
-            parts.append(_sums(rows, *[n * v for v in values]))
-            held += len(parts[-1])
-            if held > 2_000_000:
-                yield _batch(_sums(*np.concatenate(parts).T), names)
-                parts, held = [], 0
+                yield _packed(own.column("block"), pa.array([True] * own.num_rows), own.column("posts"))
+            rest = batch.filter(known)
+            if rest.num_rows:
+                posts = rest.column("posts").to_pylist()
+                each = np.array([len(post) // 8 for post in posts])
+                flat = np.frombuffer(b"".join(posts), "<u4").reshape(-1, 2)
+                block = np.repeat(rest.column("block").to_numpy(), each)
+                values = [np.repeat(rest.column(c).to_numpy().astype("f8"), each) * flat[:, 1] for c in _SUMS.names]
+                parts.append(_sums(block, flat[:, 0], *values))
+                held += len(parts[-1][0])
+            if held > BLOCK_WORDS:
+                parts = [_sums(*map(np.concatenate, zip(*parts, strict=True)))]
+                held = 0
         if parts:
-            yield _batch(_sums(*np.concatenate(parts).T), names)
+            yield from _by_block(*_sums(*map(np.concatenate, zip(*parts, strict=True))))
 
-    return met.select("word", "posts", *[f.split()[0] for f in _PARTIAL.split(", ")], "known", "w_base", "w_score").mapInArrow(add_up, _PARTIAL)
+    def close(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = np.frombuffer(b"".join(pdf["posts"][pdf["own"]]), _DOCUMENT)
+        rest = np.frombuffer(b"".join(pdf["posts"][~pdf["own"]]), _PLACED)
+        total = {c: own[c] + np.bincount(rest["place"], rest[c], len(own)) + ends[c] for c in _SUMS.names}
+        ids = pd.Series(own["doc_id"], dtype="Int64").where(pd.Series(own["has_id"]))
+        return pd.DataFrame(
+            {
+                "doc_id": ids, "held_out": own["held_out"], "n_tokens": own["words"] + 1,
+                "n_known": np.rint(total["known"]).astype("i8"), "base_score": total["base"], "score": total["score"],
+            }
+        )
 
+    return met.mapInArrow(add_up, "block long, own boolean, posts binary").groupBy("block").applyInPandas(close, _RESULT)
 
-def _sums(rows: np.ndarray, *values: np.ndarray) -> np.ndarray:
-    """Row numbers below 2^53 as floats, beside the sums of the values."""
-    keys, at = np.unique(rows.astype("i8"), return_inverse=True)
-    return np.column_stack([keys.astype("f8"), *[np.bincount(at, value, len(keys)) for value in values]])
 
+def _sums(block: np.ndarray, place: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    order = np.lexsort((place, block))
+    block, place = block[order], place[order]
+    at = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (place[1:] != place[:-1])])
+    return block[at], place[at], *[np.add.reduceat(value[order], at) for value in values]
 
-def _batch(sums: np.ndarray, names: list[str]) -> pa.RecordBatch:
-    size = len(sums)
-    columns = [
-        pa.array(sums[:, 0].astype("i8")), pa.nulls(size, pa.int64()), pa.nulls(size, pa.bool_()), pa.array(np.zeros(size, "i8")),
-        pa.array(np.rint(sums[:, 1]).astype("i8")), pa.array(sums[:, 2]), pa.array(sums[:, 3]),
-    ]
-    return pa.RecordBatch.from_arrays(columns, names=names)
+
+def _by_block(block: np.ndarray, place: np.ndarray, *values: np.ndarray) -> Iterator[pa.RecordBatch]:
+    rows = np.empty(len(place), _PLACED)
+    for name, value in zip(_PLACED.names, (place, *values), strict=True):
+        rows[name] = value
+    at = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+    for lo, hi in zip(at, np.r_[at[1:], len(block)], strict=True):
+        yield _packed(pa.array(block[lo : lo + 1]), pa.array([False]), pa.array([rows[lo:hi].tobytes()], pa.binary()))
+
+
+def _packed(block, own, posts) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([block, own, posts], names=["block", "own", "posts"])
 
 
 class _Block:
-    """Documents of one task: what is known of them already, and the other words with the rows that hold them."""
+    """Documents of one task: their sums over frequent words, and every other word with the documents that hold it."""
 
-    def __init__(self) -> None:
-        self.rows: list[tuple] = []
+    def __init__(self, row: int) -> None:
+        self.row = row
+        self.documents: list[tuple] = []
         self.ids: dict[bytes, int] = {}
         self.words: list[np.ndarray] = []
-        self.owners: list[tuple[int, int]] = []
-        self.words_held = 0
+        self.held = 0
 
-    def add(self, row: int, doc_id: int | None, held: bool, text: bytes | None, frequent: dict) -> None:
+    def add(self, doc_id: int | None, held: bool, text: bytes | None, frequent: dict) -> None:
         words = text.lower().split() if text else []
         found = list(map(frequent.get, words))
-        known = [f for f in found if f is not None]
-        rest = [word for word, f in zip(words, found, strict=True) if f is None]
-        sums = [sum(column) for column in zip(*known, strict=True)] or [0, 0.0, 0.0]
-        self.rows.append((row, doc_id, held, len(words), *sums))
+        sums = [sum(column) for column in zip(*[f for f in found if f is not None], strict=True)] or [0, 0.0, 0.0]
+        self.documents.append((doc_id or 0, doc_id is not None, held, len(words), *sums))
         ids = self.ids
-        self.words.append(np.array([ids.setdefault(word, len(ids)) for word in rest], "i8"))
-        self.owners.append((row, len(rest)))
-        self.words_held += len(rest)
+        self.words.append(np.array([ids.setdefault(w, len(ids)) for w, f in zip(words, found, strict=True) if f is None], "i8"))
+        self.held += len(self.words[-1]) + 1
 
     def flush(self) -> Iterator[pa.RecordBatch]:
-        names = ["word", "posts", *[field.split()[0] for field in _PARTIAL.split(", ")]]
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        if self.rows:
-            size = len(self.rows)
-            # a key with a space is no word, and its own for every row, so these rows spread evenly
-            keys = pa.array([b" %d" % row[0] for row in self.rows], pa.binary())
-            columns = [pa.array(list(column), kind) for column, kind in zip(zip(*self.rows, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([keys, pa.nulls(size, pa.binary()), *columns], names=names)
-        if not self.ids:
-            return
+        names = ["word", "block", "posts"]
+        # a key with a space is no word, and its own for every block
+        own = [pa.array([b" %d" % self.row], pa.binary()), pa.array([self.row]), pa.array([np.array(self.documents, _DOCUMENT).tobytes()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(own, names=names)
         words = np.concatenate(self.words)
-        place = np.repeat(np.arange(len(self.owners)), [n for _, n in self.owners])
+        place = np.repeat(np.arange(len(self.words)), [len(w) for w in self.words])
         pairs, counts = np.unique(words << 32 | place, return_counts=True)
-        rows = np.array([row for row, _ in self.owners], "u8")[pairs & 0xFFFFFFFF]
-        posts = np.column_stack([rows, counts.astype("u8")]).tobytes()
-        cuts = np.searchsorted(pairs >> 32, np.arange(len(self.ids) + 1)) * 16
+        posts = np.column_stack([pairs & 0xFFFFFFFF, counts]).astype("<u4").tobytes()
+        cuts = np.searchsorted(pairs >> 32, np.arange(len(self.ids) + 1)) * 8
         texts = list(self.ids)
         for at in range(0, len(texts), 10_000):
             upto = min(at + 10_000, len(texts))
             offsets = (cuts[at : upto + 1] - cuts[at]).astype("i4")
-            body = pa.BinaryArray.from_buffers(pa.binary(), upto - at, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(posts[cuts[at] : cuts[upto]])])
-            empty = [pa.nulls(upto - at, kind) for kind in kinds]
-            yield pa.RecordBatch.from_arrays([pa.array(texts[at:upto], pa.binary()), body, *empty], names=names)
+            buffers = [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(posts[cuts[at] : cuts[upto]])]
+            body = pa.BinaryArray.from_buffers(pa.binary(), upto - at, buffers)
+            blocks = pa.array(np.full(upto - at, self.row, "i8"))
+            yield pa.RecordBatch.from_arrays([pa.array(texts[at:upto], pa.binary()), blocks, body], names=names)
 
 
 @query("op4_lattice_scores")
