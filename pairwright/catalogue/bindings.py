@@ -61,7 +61,8 @@ def pair_binding(spark, sf):
                   'idck1_' || sha256('pairwright:checkpoint:v1' || chr(0) || '{"conv_id":' || conv_id || ',"step":' || (turn // 2) || '}') as id
                   from conversations where role in ('user', 'assistant')),
             u as (select * from p where role = 'user'), a as (select * from p where role = 'assistant')
-       select u.conv_id, u.ordinal, 'checkpoint.identity' as code from u join a on u.conv_id = a.conv_id and u.ordinal = a.ordinal where u.id <> a.id
+       select coalesce(u.conv_id, a.conv_id) as conv_id, coalesce(u.ordinal, a.ordinal) as ordinal, 'checkpoint.identity' as code
+       from u full join a on u.conv_id = a.conv_id and u.ordinal = a.ordinal where u.id is distinct from a.id
        union all select conv_id, -1, 'checkpoint.count' from p group by 1 having count_if(role = 'user') <> count_if(role = 'assistant')""",
 )
 def checkpoint_align(spark, sf):
@@ -122,12 +123,13 @@ def field_binding(spark, sf):
     f"""with l as (select o_orderkey, {TOTAL_SQL} as t, o_orderstatus as s from orders), r as ({ALTERED_SQL}),
              d as (select l.o_orderkey, 'total_cents' as field, t::varchar as left_value, total_cents::varchar as right_value
                    from l join r on l.o_orderkey = r.o_orderkey where t is distinct from total_cents
-                   union all select l.o_orderkey, 'o_orderstatus', s, o_orderstatus from l join r on l.o_orderkey = r.o_orderkey where s is distinct from o_orderstatus)
-        select * from d order by o_orderkey, field limit 1""",
+                   union all select l.o_orderkey, 'o_orderstatus', s, o_orderstatus from l join r on l.o_orderkey = r.o_orderkey where s is distinct from o_orderstatus),
+             k as (select * from d where o_orderkey % 5 <> 1 union all select o_orderkey, '', 'present', null from l where o_orderkey % 5 = 1)
+        select * from k order by o_orderkey, field limit 1""",
 )
 def first_mismatch(spark, sf):
     left, right = order_versions(spark, sf)
-    return bindings.first_mismatch(["o_orderkey"], left, right, ORDER_FIELDS, "o_orderkey")
+    return bindings.first_mismatch(["o_orderkey"], left, right.where("o_orderkey % 5 <> 1"), ORDER_FIELDS, "o_orderkey")
 
 
 @query(
@@ -221,10 +223,12 @@ def policy_vector(spark, sf):
     "catalog_conformance",
     """with e as (select p_partkey, p_name, p_brand, p_type from part),
             a as (select p_partkey, p_name, case when p_type = 'SMALL' then 'Brand#0' else p_brand end as p_brand, p_type from part where p_type <> 'PROMO'
-                  union all select -1 - p_partkey, p_name, p_brand, p_type from part where p_size = 50)
+                  union all select -1 - p_partkey, p_name, p_brand, p_type from part where p_size = 50),
+            r as (select p_partkey from part where p_size = 49 and p_type not in ('PROMO', 'SMALL'))
        select coalesce(e.p_partkey, a.p_partkey) as p_partkey, case when a.p_partkey is null then 'conformance.missing'
               when e.p_partkey is null then 'conformance.unexpected' else 'conformance.value' end as code
-       from e full join a on e.p_partkey = a.p_partkey where a.p_partkey is null or e.p_partkey is null or e.p_brand <> a.p_brand""",
+       from e full join a on e.p_partkey = a.p_partkey where a.p_partkey is null or e.p_partkey is null or e.p_brand <> a.p_brand
+       union all select p_partkey, 'conformance.duplicate' from r""",
 )
 def catalog_conformance(spark, sf):
     values = ["p_name", "p_brand", "p_type"]
@@ -232,7 +236,9 @@ def catalog_conformance(spark, sf):
     renamed = F.when(F.col("p_type") == "SMALL", "Brand#0").otherwise(F.col("p_brand")).alias("p_brand")
     kept = expected.where("p_type <> 'PROMO'").select("p_partkey", "p_name", renamed, "p_type")
     extra = table(spark, sf, "part").where("p_size = 50").select((-1 - F.col("p_partkey")).alias("p_partkey"), *values)
-    return bindings.ordinal_conformance(["p_partkey"], expected, kept.unionByName(extra), values)
+    # an upper-case copy sorts below its original, so only the count shows that the row is there twice
+    repeated = expected.where("p_size = 49 and p_type not in ('PROMO', 'SMALL')").withColumn("p_name", F.upper("p_name"))
+    return bindings.ordinal_conformance(["p_partkey"], expected, kept.unionByName(extra).unionByName(repeated), values)
 
 
 @query(

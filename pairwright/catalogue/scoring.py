@@ -15,16 +15,16 @@ MODELS = ("fused", "pixel", "structured")
 
 
 def model_scores(quality, n_chars, doc_id):
-    """Deterministic scores in thousandths: two experts and a fused score that knows a little more."""
-    pixel = (n_chars * 7919 + doc_id * 31) % 1001
-    structured = (n_chars * 104729 + doc_id * 17) % 1001
-    fused = F.floor((pixel + structured + (1 - quality) * 700) / 3)
+    """Deterministic scores in millionths: two experts and a fused score that knows a little more."""
+    pixel = (n_chars * 7919 + doc_id * 31) % 1000001
+    structured = (n_chars * 104729 + doc_id * 17) % 1000001
+    fused = F.floor((pixel + structured + (1 - quality) * 700000) / 3)
     return {"fused": fused, "pixel": pixel, "structured": structured}
 
 
 SCORED_SQL = f"""d as (select l.doc_id, quality, toxic, source, lang, {block_sql("source")} as block, quality = 0 as y,
-      (n_chars * 7919 + l.doc_id * 31) % 1001 as pixel, (n_chars * 104729 + l.doc_id * 17) % 1001 as structured from labels l join documents d on l.doc_id = d.doc_id),
-   s as (select *, floor((pixel + structured + (1 - quality) * 700) / 3)::bigint as fused from d where toxic = 0)"""
+      (n_chars * 7919 + l.doc_id * 31) % 1000001 as pixel, (n_chars * 104729 + l.doc_id * 17) % 1000001 as structured from labels l join documents d on l.doc_id = d.doc_id),
+   s as (select *, floor((pixel + structured + (1 - quality) * 700000) / 3)::bigint as fused from d where toxic = 0)"""
 
 
 def labelled(spark, sf):
@@ -90,7 +90,7 @@ def recall_at_fpr(spark, sf):
 
 @query(
     "brier",
-    f"with {SCORED_SQL} select count(*) as n_rows, round(avg(pow(fused / 1000 - y::int, 2)), 9) as brier from s",
+    f"with {SCORED_SQL} select count(*) as n_rows, round(avg(pow(fused / 1000000 - y::int, 2)), 9) as brier from s",
 )
 def brier(spark, sf):
     return scoring.brier(fused_counts(spark, sf), []).select("n_rows", F.round("brier", 9).alias("brier"))
@@ -98,7 +98,7 @@ def brier(spark, sf):
 
 @query(
     "ece",
-    f"""with {SCORED_SQL}, b as (select least(fused // 100, 9) as bin, count(*) as n, avg(fused / 1000) as p, avg(y::int) as r from s group by 1)
+    f"""with {SCORED_SQL}, b as (select least(fused // 100000, 9) as bin, count(*) as n, avg(fused / 1000000) as p, avg(y::int) as r from s group by 1)
         select sum(n)::bigint as n_rows, round(sum(n * abs(p - r)) / sum(n), 9) as ece from b""",
 )
 def ece(spark, sf):
@@ -108,8 +108,8 @@ def ece(spark, sf):
 
 @query(
     "class_recall",
-    f"""with {SCORED_SQL} select round(count_if(y and fused >= 500)::double / count_if(y), 9) as regression_recall,
-           round(count_if(not y and fused < 500)::double / count_if(not y), 9) as non_regression_recall, (select count_if(toxic = 1)::bigint from d) as n_invalid from s""",
+    f"""with {SCORED_SQL} select round(count_if(y and fused >= 500000)::double / count_if(y), 9) as regression_recall,
+           round(count_if(not y and fused < 500000)::double / count_if(not y), 9) as non_regression_recall, (select count_if(toxic = 1)::bigint from d) as n_invalid from s""",
 )
 def class_recall(spark, sf):
     recalls = scoring.class_recall(fused_counts(spark, sf), [])
@@ -129,7 +129,7 @@ def class_recall(spark, sf):
         select l as level, v as value, sum(n)::bigint as n_rows, sum(pos)::bigint as n_positive,
                case when sum(pos) > 0 and sum(pos) < sum(n) then round(sum(pos * tp / taken) / sum(pos), 9) end as average_precision,
                case when sum(pos) > 0 and sum(pos) < sum(n) then round(sum((n - pos) * (2 * (tp - pos) + pos)) / (2 * sum(pos) * (sum(n) - sum(pos))), 9) end as auroc,
-               round(sum(pos * pow(1 - score / 1000, 2) + (n - pos) * pow(score / 1000, 2)) / sum(n), 9) as brier
+               round(sum(pos * pow(1 - score / 1000000, 2) + (n - pos) * pow(score / 1000000, 2)) / sum(n), 9) as brier
         from c group by 1, 2""",
 )
 def metrics_by_group(spark, sf):
@@ -151,8 +151,6 @@ def metrics_by_group(spark, sf):
     )
 
 
-# The published protocol uses scoring.RESAMPLES; the registered query draws fewer.
-QUERY_RESAMPLES = 200
 
 
 def resampled(spark, sf):
@@ -163,12 +161,12 @@ def resampled(spark, sf):
         rows.select("source", "quality", "m.*"), ["source", "model"], "score", F.col("quality") == 0
     )
     numbered = counts.join(clusters, "source").drop("source")
-    return scoring.bootstrap_precision(numbered, MODELS, QUERY_RESAMPLES)
+    return scoring.bootstrap_precision(numbered, MODELS)
 
 
 BOOTSTRAP_SQL = f"""{SCORED_SQL}, k as (select source, row_number() over (order by source) - 1 as cluster, count(*) over () as k from (select distinct source from s)),
    w as (select b.b as resample, ('0x' || substr(md5('20260715:' || b.b || ':' || j.j), 1, 8))::bigint % (select max(k) from k) as cluster, count(*) as weight
-         from range({QUERY_RESAMPLES}) b(b), range((select max(k) from k)) j(j) group by 1, 2),
+         from range({scoring.RESAMPLES}) b(b), range((select max(k) from k)) j(j) group by 1, 2),
    h as (select cluster, model, score, count_if(y) as pos, count(*) as n from (unpivot (select source, y, pixel, structured, fused from s) on pixel, structured, fused into name model value score) u
          join k on u.source = k.source group by all),
    r as (select resample, model, score, sum(pos * weight) as pos, sum(n * weight) as n from h join w on h.cluster = w.cluster group by all),
@@ -177,8 +175,8 @@ BOOTSTRAP_SQL = f"""{SCORED_SQL}, k as (select source, row_number() over (order
    x as (select f.resample, o.model, round_even((f.ap - o.ap) * 1000000, 0)::bigint as diff from a f join a o on f.resample = o.resample and f.model = 'fused' and o.model <> 'fused'),
    q as (select *, row_number() over (partition by model order by diff) as rn from x),
    i as (select 'fused-' || model as comparison, count(*) as n_resamples, count_if(diff is null)::bigint as n_undefined,
-          case when count_if(diff is null) = 0 then max(diff) filter (where rn = ceil({QUERY_RESAMPLES} * 25 / 1000)) end as lower_ppm,
-          case when count_if(diff is null) = 0 then max(diff) filter (where rn = ceil({QUERY_RESAMPLES} * 975 / 1000)) end as upper_ppm from q group by 1)"""
+          case when count_if(diff is null) = 0 then max(diff) filter (where rn = ceil({scoring.RESAMPLES} * 25 / 1000)) end as lower_ppm,
+          case when count_if(diff is null) = 0 then max(diff) filter (where rn = ceil({scoring.RESAMPLES} * 975 / 1000)) end as upper_ppm from q group by 1)"""
 
 
 @query("cluster_bootstrap", f"with {BOOTSTRAP_SQL} select * from i")

@@ -77,13 +77,15 @@ def schedule_audit(spark, sf):
 
 @query(
     "trace_status",
-    """with f as (select user_id, min({'t': ts, 'e': event_id}) filter (where event_type = 'error') as f from events group by 1)
+    """with v as (select event_id, ts, event_type, case when user_id % 9 <> 4 then user_id end as user_id from events),
+            f as (select user_id, min({'t': ts, 'e': event_id}) filter (where event_type = 'error') as f from v group by 1)
        select event_id, e.user_id, case when f is null or {'t': ts, 'e': event_id} < f then 'satisfied'
               when {'t': ts, 'e': event_id} = f then 'unsatisfied' else 'not_reached' end as status
-       from events e join f on e.user_id = f.user_id""",
+       from v e join f on e.user_id is not distinct from f.user_id""",
 )
 def trace_status(spark, sf):
-    events = table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type")
+    user = F.when(F.col("user_id") % 9 != 4, F.col("user_id")).alias("user_id")
+    events = table(spark, sf, "events").select(user, "ts", "event_id", "event_type")
     traced = sequence.step_statuses(events, "user_id", ["ts", "event_id"], F.col("event_type") == "error")
     return traced.select("event_id", "user_id", "status")
 
@@ -121,10 +123,11 @@ def stored_statuses(spark, sf):
 
 @query(
     "dense_rank",
-    "select p_partkey, p_brand, dense_rank() over (partition by p_brand order by p_size) - 1 as dense_rank from part",
+    "select p_partkey, p_brand, dense_rank() over (partition by p_brand order by case when p_size % 6 <> 1 then p_size end nulls first) - 1 as dense_rank from part",
 )
 def dense_rank(spark, sf):
-    parts = table(spark, sf, "part").select("p_partkey", "p_brand", "p_size")
+    size = F.when(F.col("p_size") % 6 != 1, F.col("p_size")).alias("p_size")
+    parts = table(spark, sf, "part").select("p_partkey", "p_brand", size)
     ranked = sequence.dense_ranks(parts, ["p_brand"], "p_size", F.expr("p_size div 1024"), ["p_partkey"])
     return ranked.select("p_partkey", "p_brand", "dense_rank")
 

@@ -75,13 +75,13 @@ def asset_reuse(spark, sf):
 
 @query(
     "perf_report",
-    """with v as (select event_type, round_even(value * 100, 0)::bigint as cents from events),
-            r as (select *, row_number() over (partition by event_type order by cents) as rn, count(*) over (partition by event_type) as n from v)
-       select event_type, count(*) as n_rows, max(cents) as max_value, sum(cents)::bigint as sum_value,
+    """with v as (select event_type, case when event_id % 13 <> 0 then round_even(value * 100, 0)::bigint end as cents from events),
+            r as (select *, row_number() over (partition by event_type order by cents nulls last) as rn, count(cents) over (partition by event_type) as n from v)
+       select event_type, count(cents) as n_rows, count(*) - count(cents) as n_null, max(cents) as max_value, sum(cents)::bigint as sum_value,
               max(cents) filter (where rn = ceil(n * 50 / 100)) as p50, max(cents) filter (where rn = ceil(n * 95 / 100)) as p95 from r group by 1""",
 )
 def perf_report(spark, sf):
-    rows = table(spark, sf, "events").select("event_type", F.rint(F.col("value") * 100).cast("long").alias("cents"))
+    rows = table(spark, sf, "events").select("event_type", F.when(F.col("event_id") % 13 != 0, F.rint(F.col("value") * 100)).cast("long").alias("cents"))
     return audit.percentile_report(rows, ["event_type"], "cents", {"p50": 500, "p95": 950}, F.expr("cents div 1024"))
 
 

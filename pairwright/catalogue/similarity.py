@@ -8,7 +8,7 @@ from pairwright.catalogue.registry import query
 from pairwright.catalogue.splits import block_sql
 from pairwright.functions.canonical import sha256_hex
 from pairwright.operators import graph, similarity as V, splits
-from pairwright.session import spread_small
+from pairwright.session import cut_lineage
 from pairwright.sources.tables import table
 
 
@@ -25,7 +25,7 @@ from pairwright.sources.tables import table
 )
 def shingle_jaccard(spark, sf):
     # the given prose is far from any real threshold, so the report uses low ones
-    documents = spread_small(table(spark, sf, "documents").select("source", "lang", "text"))
+    documents = table(spark, sf, "documents").select("source", "lang", "text")
     return V.shingle_similarity(documents, "source", "lang", "text", 0.02, 0.03)
 
 
@@ -82,15 +82,15 @@ def dual_similarity(spark, sf):
     )
 
 
-RELATION_SQL = """m as (select distinct doc_id, h from (select doc_id, sha256(unnest(string_split(text, chr(10)))) as h, unnest(string_split(text, chr(10))) as line from documents) where length(line) >= 60),
+RELATION_SQL = """m as (select distinct doc_id, h from (select doc_id, sha256(unnest(string_split(text, chr(10)))) as h, unnest(string_split(text, chr(10))) as line from documents) where line <> ''),
    e as (select doc_id as u, first_value(doc_id) over (partition by h order by doc_id) as v from m)"""
 
 
 def shared_line_edges(spark, sf):
-    """Documents related by sharing a whole line of at least sixty characters."""
+    """Documents related by sharing a whole line."""
     lines = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    members = lines.where(F.length("line") >= 60).select("doc_id", sha256_hex(F.col("line")).alias("digest")).distinct()
-    return graph.star_edges(members, "digest", "doc_id")
+    members = lines.where("line <> ''").select("doc_id", sha256_hex(F.col("line")).alias("digest")).distinct()
+    return graph.star_edges(cut_lineage(members), "digest", "doc_id")
 
 
 @query(

@@ -23,7 +23,7 @@ def partition_sql(key: str) -> str:
 
 @query(
     "split_leakage",
-    f"""with d as (select doc_id, {partition_sql("doc_id")} as partition, lang, source, sha256(text) as text_digest from documents),
+    f"""with d as (select doc_id, {partition_sql("doc_id")} as partition, case when doc_id % 7 <> 3 then lang end as lang, source, sha256(text) as text_digest from documents),
              g as (select doc_id, partition, 'lang' as group_key, lang as group_value from d
                    union all select doc_id, partition, 'source', source from d union all select doc_id, partition, 'text_digest', text_digest from d),
              o as (select *, first_value(partition) over (partition by group_key, group_value order by doc_id) as owner from g)
@@ -31,7 +31,9 @@ def partition_sql(key: str) -> str:
 )
 def split_leakage(spark, sf):
     items = table(spark, sf, "documents").withColumn("partition", splits.hashed_partition(F.col("doc_id")))
-    groups = {"lang": F.col("lang"), "source": F.col("source"), "text_digest": sha256_hex(F.col("text"))}
+    # a missing language is a group too
+    lang = F.when(F.col("doc_id") % 7 != 3, F.col("lang"))
+    groups = {"lang": lang, "source": F.col("source"), "text_digest": sha256_hex(F.col("text"))}
     return splits.leaking_items(
         splits.unpivot_groups(items, "doc_id", groups), ["group_key", "group_value"], "doc_id"
     )
@@ -52,11 +54,13 @@ def observation_overlap(spark, sf):
 
 @query(
     "uniformity",
-    """with o as (select o_orderkey, o_custkey, o_orderstatus, first_value(o_orderstatus) over (partition by o_custkey order by o_orderkey) as first_value from orders)
+    """with k as (select o_orderkey, case when o_custkey % 10 <> 3 then o_custkey end as o_custkey, o_orderstatus from orders),
+            o as (select *, first_value(o_orderstatus) over (partition by o_custkey order by o_orderkey) as first_value from k)
        select * from o where o_orderstatus <> first_value""",
 )
 def uniformity(spark, sf):
-    rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    customer = F.when(F.col("o_custkey") % 10 != 3, F.col("o_custkey")).alias("o_custkey")
+    rows = table(spark, sf, "orders").select("o_orderkey", customer, "o_orderstatus")
     return splits.not_uniform(rows, ["o_custkey"], "o_orderstatus", "o_orderkey")
 
 

@@ -73,24 +73,28 @@ def asset_reuse(assets: DataFrame, digest: str, owner: str, allowed: DataFrame)
 def percentile_report(
     rows: DataFrame, keys: Sequence[str], value: str, permilles: Mapping[str, int], block: Column
 ) -> DataFrame:
-    """Exact nearest-rank percentiles, count, maximum and sum per key; ``permilles`` maps names to ranks.
+    """Exact nearest-rank percentiles, counts, maximum and sum per key; ``permilles`` maps names to ranks.
 
-    Equal values are counted before the shuffle and the cumulative counts run in blocks, so no key's
+    Null values have no rank: ``n_rows`` counts the others and ``n_null`` the nulls. Equal values are counted before the shuffle and the cumulative counts run in blocks, so no key's
     values meet in one task. ``block`` must not decrease with ``value``.
     """
     counted = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    running = blocked_window(counted, keys, [value], block, running={"_upto": F.col("_n")})
+    ranked = counted.where(F.col(value).isNotNull())
+    running = blocked_window(ranked, keys, [value], block, running={"_upto": F.col("_n")})
     totals = counted.groupBy(*keys).agg(
-        F.sum("_n").alias("n_rows"),
+        F.sum(F.when(F.col(value).isNotNull(), F.col("_n")).otherwise(0)).alias("n_rows"),
+        F.sum(F.when(F.col(value).isNull(), F.col("_n")).otherwise(0)).alias("n_null"),
         F.max(value).alias("max_value"),
         F.sum(F.col("_n") * F.col(value)).cast("long").alias("sum_value"),
     )
-    joined = attach(running, totals, keys, spread=[value], hot_from=rows)
+    # keys whose values are all null have no ranks and keep their row
+    bare = totals.where("n_rows = 0").select(*keys, F.lit(None).cast(ranked.schema[value].dataType).alias(value), F.lit(0).cast("long").alias("_n"), F.lit(0).cast("long").alias("_upto"))
+    joined = attach(running.select(*keys, value, "_n", "_upto").unionByName(bare), totals, keys, spread=[value], hot_from=rows)
     picked = []
     for name, permille in permilles.items():
         rank = F.ceil(F.col("n_rows") * permille / 1000)
         here = (F.col("_upto") >= rank) & (F.col("_upto") - F.col("_n") < rank)
         picked.append(F.max(F.when(here, F.col(value))).alias(name))
     return joined.groupBy(*keys).agg(
-        *[F.first(name).alias(name) for name in ("n_rows", "max_value", "sum_value")], *picked
+        *[F.first(name).alias(name) for name in ("n_rows", "n_null", "max_value", "sum_value")], *picked
     )

@@ -73,10 +73,33 @@ def facet_equality(keys: Sequence[str], before: DataFrame, after: DataFrame, fac
 def first_mismatch(
     keys: Sequence[str], left: DataFrame, right: DataFrame, fields: Sequence[str], order: str
 ) -> DataFrame:
-    """Only the first differing row in key order, as a reader that stops early reports it."""
-    differing = field_differences(keys, left, right, fields)
+    """Only the first differing row in key order, as a reader that stops early reports it.
+
+    A row that one side lacks differs too: its field is empty and the value of the side that has it is ``present``. Equal sides
+    give no row.
+    """
+    both = merge_sides(keys, fields, left, right)
+    absent = F.lit(None).cast("string")
+    row = F.when(F.col("l").isNull() | F.col("r").isNull(), F.struct(
+        F.lit("").alias("field"),
+        F.when(F.col("l").isNotNull(), F.lit("present")).alias("left_value"),
+        F.when(F.col("r").isNotNull(), F.lit("present")).alias("right_value"),
+    ))
+    cells = [
+        F.when(
+            F.col("l").isNotNull() & F.col("r").isNotNull() & ~F.col(f"l.{field}").eqNullSafe(F.col(f"r.{field}")),
+            F.struct(
+                F.lit(field).alias("field"),
+                F.coalesce(F.col(f"l.{field}").cast("string"), absent).alias("left_value"),
+                F.coalesce(F.col(f"r.{field}").cast("string"), absent).alias("right_value"),
+            ),
+        )
+        for field in fields
+    ]
+    differing = both.select(*keys, F.explode(F.array_compact(F.array(row, *cells))).alias("d")).select(*keys, "d.*")
     ranked = F.struct(order, "field")
-    return differing.agg(F.min_by(F.struct(*keys, "field", "left_value", "right_value"), ranked).alias("m")).select("m.*")
+    found = differing.agg(F.min_by(F.struct(*keys, "field", "left_value", "right_value"), ranked).alias("m"))
+    return found.where("m is not null").select("m.*")
 
 
 def pair_binding(
@@ -107,7 +130,7 @@ def replay_differences(derived: DataFrame, stored: DataFrame, keys: Sequence[str
 def ordinal_conformance(
     keys: Sequence[str], expected: DataFrame, actual: DataFrame, values: Sequence[str]
 ) -> DataFrame:
-    """Catalogue or vector conformance: same positions, same values, nothing missing or extra."""
+    """Catalogue or vector conformance: same positions, same values, nothing missing, extra or repeated."""
     both = merge_sides(keys, values, expected, actual)
     return violations(
         both,
@@ -116,6 +139,7 @@ def ordinal_conformance(
             "conformance.missing": F.col("r").isNull(),
             "conformance.unexpected": F.col("l").isNull(),
             "conformance.value": F.col("l") != F.col("r"),
+            "conformance.duplicate": (F.col("n_l") > 1) | (F.col("n_r") > 1),
         },
     )
 
@@ -125,7 +149,7 @@ def checkpoint_alignment(
 ) -> DataFrame:
     """Two ordered checkpoint lists of one record: same count, same identity at each ordinal.
 
-    ``(record, ordinal, code)``; the count violation uses ordinal -1. One aggregation per shape, no
+    A slot that one role lacks has no identity there and is reported. ``(record, ordinal, code)``; the count violation uses ordinal -1. One aggregation per shape, no
     join: both roles of an ordinal meet in the same group.
     """
 
@@ -133,7 +157,7 @@ def checkpoint_alignment(
         return F.max(F.when(F.col(role) == name, F.col(identity)))
 
     slots = checkpoints.groupBy(record, ordinal).agg(held(baseline).alias("_b"), held(candidate).alias("_c"))
-    identities = violations(slots, [record, ordinal], {"checkpoint.identity": F.col("_b") != F.col("_c")})
+    identities = violations(slots, [record, ordinal], {"checkpoint.identity": ~F.col("_b").eqNullSafe(F.col("_c"))})
     counts = checkpoints.groupBy(record).agg(
         F.count_if(F.col(role) == baseline).alias("_b"), F.count_if(F.col(role) == candidate).alias("_c")
     )

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from pairwright.operators.keyed import attach
 from pairwright.session import cut_lineage
 
-MAXIMUM_ROUNDS = 60
-
 
 def star_edges(members: DataFrame, group: str, node: str) -> DataFrame:
     """Edges from every member of a group to its smallest member: n - 1 edges and never all pairs."""
@@ -26,15 +24,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     shuffle and hot centres are salted. Rounds are checkpointed; it stops when a round changes nothing.
     """
     stars = cut_lineage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    state = _fingerprint(stars)
-    for _ in range(MAXIMUM_ROUNDS):
+    size = stars.count()
+    while True:
+        before, before_size = stars, size
         stars = cut_lineage(_small_star(_large_star(stars)))
-        seen = _fingerprint(stars)
-        if seen == state:
+        size = stars.count()
+        # edges are distinct, so equal counts and no new edge mean that nothing changed
+        if size == before_size and stars.join(before, ["u", "v"], "left_anti").isEmpty():
             roots = stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
-        state = seen
-    raise RuntimeError(f"components did not settle in {MAXIMUM_ROUNDS} rounds")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -51,12 +49,6 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return smaller.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    value = F.xxhash64("u", "v").cast("decimal(38,0)")
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("s")).first()
-    return row["n"], row["s"]
-
-
 def crossing_components(labels: DataFrame, blocks: DataFrame, node: str, block: str) -> DataFrame:
     """Components with their size and how many outer blocks they touch."""
     joined = labels.withColumnRenamed("node", node).join(blocks.select(node, block), node)

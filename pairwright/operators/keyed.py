@@ -18,13 +18,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_SHARE = 1 / 50
-SALTS = 64
-SKETCH_KEYS = 64
-SKETCH_WIDTH = 1024
+HOT_SHARE = 1 / 256
+SKETCH_KEYS = 512
+SKETCH_WIDTH = 8192
+SPLITS_PER_PARTITION = 2
 
 _SALT = "_salt"
 _BLOCK = "_block"
+_SIDE = "_side_"
 
 
 def _key_hash(keys: Sequence[str]) -> Column:
@@ -45,11 +46,31 @@ def _hot_hashes(rows: DataFrame, keys: Sequence[str]) -> Column:
     return hashes.agg(F.coalesce(F.expr(sketch), F.array().cast("array<bigint>")).alias("_hot")).scalar()
 
 
+def _counted_hot_hashes(groups: DataFrame, keys: Sequence[str], size: str) -> Column:
+    """The same from exact group sizes: no more than 1 / HOT_SHARE groups pass the filter."""
+    total = groups.agg(F.sum(size)).scalar()
+    large = groups.where(F.col(size) > HOT_SHARE * total)
+    return large.agg(F.coalesce(F.collect_list(_key_hash(keys)), F.array().cast("array<bigint>"))).scalar()
+
+
 def _aligned(frame: DataFrame, types: Mapping) -> DataFrame:
     differing = {key: F.col(key).cast(kind) for key, kind in types.items() if frame.schema[key].dataType != kind}
     return frame.withColumns(differing) if differing else frame
 
 
+def null_safe_join(rows: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """An equi-join on ``keys`` in which null equals null; the keys come from ``rows``."""
+    renamed = side.withColumnsRenamed({key: f"{_SIDE}{key}" for key in keys})
+    on = [F.col(key).eqNullSafe(F.col(f"{_SIDE}{key}")) for key in keys]
+    joined = rows.join(renamed, on, how)
+    return joined.select(*keys, *[c for c in joined.columns if c not in keys and not c.startswith(_SIDE)])
+
+
+def salts(frame: DataFrame) -> int:
+    """Into how many parts a hot key is split: twice the shuffle partitions, so that even a third of all rows spreads over every task."""
+    return SPLITS_PER_PARTITION * int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def attach(
     rows: DataFrame,
     side: DataFrame,
@@ -57,26 +78,29 @@ def attach(
     how: str = "inner",
     spread: Sequence[str] | None = None,
     hot_from: DataFrame | None = None,
+    hot: Column | None = None,
 ) -> DataFrame:
-    """Join ``rows`` to ``side``, which has at most one row per key.
+    """Join ``rows`` to ``side``, which has at most one row per key; a null key meets a null key.
 
-    Rows of a hot key are spread over ``SALTS`` values hashed from ``spread``; only the hot rows of
-    ``side`` are repeated, so the repeated part is bounded by SALTS / HOT_SHARE rows. The hot keys are
-    sketched from ``hot_from`` when given: a cheaper table with the same key columns, for rows that
-    are costly to make twice.
+    Rows of a hot key are spread over ``salts`` values hashed from ``spread``; only the hot rows of
+    ``side`` are repeated, so the repeated part is bounded by salts / HOT_SHARE rows. The hot keys are
+    ``hot`` when given, else sketched from ``hot_from``: a cheaper table with the same key columns, for rows
+    that are costly to make twice.
     """
     keys = list(keys)
     types = {key: rows.schema[key].dataType for key in keys}
     # equal keys must hash alike on every side, so differing integer widths are aligned first
     side = _aligned(side, types)
-    hot = _hot_hashes(rows if hot_from is None else _aligned(hot_from, types), keys)
+    if hot is None:
+        hot = _hot_hashes(rows if hot_from is None else _aligned(hot_from, types), keys)
     is_hot = F.array_contains(hot, _key_hash(keys))
+    parts = salts(rows)
     spread_by = [F.col(name) for name in (spread or [c for c in rows.columns if c not in keys])]
-    salt = F.when(is_hot, F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salt = F.when(is_hot, F.pmod(F.xxhash64(*spread_by), F.lit(parts)).cast("int")).otherwise(F.lit(0))
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
     salted = rows.withColumn(_SALT, salt)
     repeated = side.withColumn(_SALT, F.explode(copies))
-    return salted.join(repeated, [*keys, _SALT], how).drop(_SALT)
+    return null_safe_join(salted, repeated, [*keys, _SALT], how).drop(_SALT)
 
 
 def over_groups(
@@ -84,12 +108,15 @@ def over_groups(
     keys: Sequence[str],
     spread: Sequence[str] | None = None,
     how: str = "inner",
-    hot_from: DataFrame | None = None,
     **values: Column,
 ) -> DataFrame:
-    """Add aggregate ``values`` of each key group to every row of the group."""
-    groups = rows.groupBy(*keys).agg(*[value.alias(name) for name, value in values.items()])
-    return attach(rows, groups, keys, how=how, spread=spread, hot_from=hot_from)
+    """Add aggregate ``values`` of each key group, null keys included, to every row of the group.
+
+    The aggregate counts its groups, so hot keys are known without reading the rows again.
+    """
+    groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"), *[value.alias(name) for name, value in values.items()])
+    hot = _counted_hot_hashes(groups, keys, "_size")
+    return attach(rows, groups.drop("_size"), keys, how=how, spread=spread, hot=hot)
 
 
 def blocked_window(
@@ -105,8 +132,8 @@ def blocked_window(
     """Ordered window values without holding a whole key group in one task.
 
     ``block`` must not decrease along ``order`` inside a group. ``position`` is zero-based,
-    ``running`` sums include the current row, ``previous`` is the value one row earlier. Keys must
-    not be null. ``block`` None means one block per group, for groups bounded by a closed vocabulary.
+    ``running`` sums include the current row, ``previous`` is the value one row earlier. Null keys and
+    null blocks are values like any other. ``block`` None means one block per group, for groups bounded by a closed vocabulary.
     """
     running = dict(running or {})
     previous = dict(previous or {})
@@ -138,7 +165,7 @@ def blocked_window(
         local[f"_run_{name}"] = F.sum(value).over(upto)
     for name, value in previous.items():
         local[f"_lag_{name}"] = F.lag(F.struct(value.alias("v"))).over(inside)
-    joined = rows.withColumns(local).join(carry, cut)
+    joined = null_safe_join(rows.withColumns(local), carry, cut)
 
     out = {}
     if position:
@@ -175,14 +202,18 @@ def tally_sides(keys: Sequence[str], **sides: DataFrame) -> DataFrame:
 
 
 def merge_sides(keys: Sequence[str], values: Sequence[str], left: DataFrame, right: DataFrame) -> DataFrame:
-    """One row per key with structs ``l`` and ``r`` (null when absent); keys are unique per side."""
+    """One row per key with structs ``l`` and ``r`` (null when absent) and how many rows each side has.
+
+    Of repeated keys the largest row is shown; ``n_l`` and ``n_r`` tell that there are more.
+    """
 
     def side(frame: DataFrame, mine: str, other: str) -> DataFrame:
         body = F.struct(*values)
         return frame.select(*keys, body.alias(mine)).withColumn(other, F.lit(None).cast(_struct_type(frame, values)))
 
     both = side(left, "l", "r").unionByName(side(right, "r", "l"))
-    return both.groupBy(*keys).agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    sides = [F.max("l").alias("l"), F.max("r").alias("r"), F.count("l").alias("n_l"), F.count("r").alias("n_r")]
+    return both.groupBy(*keys).agg(*sides)
 
 
 def _struct_type(frame: DataFrame, values: Sequence[str]):

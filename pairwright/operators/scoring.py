@@ -8,17 +8,23 @@ A metric over a single class is undefined and comes out null.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.functions.canonical import hash_bucket
 from pairwright.operators.audit import percentile_report
+from pairwright.operators.keyed import blocked_window
 from pairwright.operators.splits import fold_roles
 from pairwright.session import cut_lineage
 
-SCALE = 1000
+SCALE = 1_000_000
+
+SCORE_BLOCK = 16_384
+RESAMPLE_CHUNK = 250
 
 # Calibration bins, benign false-positive budget, bootstrap settings, parity bound.
 CALIBRATION_BINS = 10
@@ -40,12 +46,11 @@ def merged(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def cumulative(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Adds ``tp`` and ``taken``: positives and rows at or above each score.
-
-    A histogram has at most SCALE + 1 rows per key, so a plain window is bounded.
-    """
-    above = Window.partitionBy(*keys).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.withColumns({"tp": F.sum("pos").over(above), "taken": F.sum("n").over(above)})
+    """Adds ``tp`` and ``taken``: positives and rows at or above each score, in blocks of neighbouring scores."""
+    falling = counts.withColumn("_falling", -F.col("score"))
+    block = F.floor(F.col("_falling") / SCORE_BLOCK)
+    running = {"tp": F.col("pos"), "taken": F.col("n")}
+    return blocked_window(falling, keys, ["_falling"], block, running=running).drop("_falling")
 
 
 def ranking_metrics(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -150,14 +155,10 @@ def recall_at_fpr(counts: DataFrame, block: str, budget: float = BENIGN_FPR) ->
     )
 
 
-def resample_weights(spark: SparkSession, clusters: int, resamples: int, seed: int) -> DataFrame:
-    """``(resample, cluster, weight)``: hash draws with replacement, the same for every comparison."""
-    draws = spark.range(resamples * clusters).select(
-        F.expr(f"id div {clusters}").alias("resample"), F.expr(f"id % {clusters}").alias("draw")
-    )
-    key = F.concat_ws(":", F.lit(str(seed)), F.col("resample").cast("string"), F.col("draw").cast("string"))
-    picked = draws.select("resample", hash_bucket(key, clusters).cast("long").alias("cluster"))
-    return picked.groupBy("resample", "cluster").agg(F.count(F.lit(1)).alias("weight"))
+def draws(resample: int, clusters: int, seed: int) -> np.ndarray:
+    """How often each cluster is drawn: md5 draws with replacement, the same for every comparison."""
+    picked = [int(hashlib.md5(f"{seed}:{resample}:{draw}".encode()).hexdigest()[:8], 16) % clusters for draw in range(clusters)]
+    return np.bincount(picked, minlength=clusters)
 
 
 def bootstrap_precision(
@@ -165,20 +166,35 @@ def bootstrap_precision(
 ) -> DataFrame:
     """``(resample, <model>...)``: average precision of each model on each cluster resample.
 
-    ``counts`` holds ``(cluster, model, score, pos, n)`` with clusters numbered from zero. Clusters are
-    drawn as weights on histograms: no row is ever copied for a resample, and one aggregation rebuilds
-    all histograms.
+    ``counts`` holds ``(cluster, model, score, pos, n)`` with clusters numbered from zero. Resamples are cut into chunks; a
+    task takes one model's histograms (clusters x scores, not rows) and weighs them by each resample's draws.
     """
     clusters = counts.agg(F.max("cluster") + 1).first()[0]
-    weights = resample_weights(counts.sparkSession, clusters, resamples, seed)
-    drawn = counts.join(weights, "cluster")
-    rebuilt = drawn.groupBy("resample", "model", "score").agg(
-        F.sum(F.col("pos") * F.col("weight")).alias("pos"), F.sum(F.col("n") * F.col("weight")).alias("n")
-    )
-    scored = ranking_metrics(rebuilt, ["resample", "model"])
-    return scored.groupBy("resample").agg(
-        *[F.max(F.when(F.col("model") == m, F.col("average_precision"))).alias(m) for m in models]
-    )
+    chunks = -(-resamples // RESAMPLE_CHUNK)
+    spread = counts.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+
+    def weigh(pdf: pd.DataFrame) -> pd.DataFrame:
+        scores, at = np.unique(-pdf["score"].to_numpy(), return_inverse=True)
+        pos, n = np.zeros((2, clusters, len(scores)), "i8")
+        np.add.at(pos, (pdf["cluster"], at), pdf["pos"])
+        np.add.at(n, (pdf["cluster"], at), pdf["n"])
+        first = int(pdf["chunk"].iloc[0]) * RESAMPLE_CHUNK
+        out = []
+        for resample in range(first, min(first + RESAMPLE_CHUNK, resamples)):
+            weight = draws(resample, clusters, seed)
+            hits, rows = weight @ pos, weight @ n
+            taken = np.cumsum(rows)
+            positives = hits.sum()
+            if 0 < positives < taken[-1]:
+                gain = (hits * (np.cumsum(hits) / np.maximum(taken, 1))).sum()
+                out.append((resample, gain / positives))
+            else:
+                out.append((resample, None))
+        found = pd.DataFrame(out, columns=["resample", "value"])
+        return found.assign(model=pdf["model"].iloc[0])
+
+    scored = spread.groupBy("chunk", "model").applyInPandas(weigh, "resample long, value double, model string")
+    return scored.groupBy("resample").agg(*[F.max(F.when(F.col("model") == m, F.col("value"))).alias(m) for m in models])
 
 
 def bootstrap_intervals(resampled: DataFrame, subject: str, comparators: Sequence[str]) -> DataFrame:

@@ -57,12 +57,3 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
         context.setCheckpointDir(shared_folder(spark))
     return frame.checkpoint(eager=True)
 
-
-def spread_small(frame: DataFrame) -> DataFrame:
-    """Rebalance an input that has too few splits to occupy the cores before heavy per-row work.
-
-    For table scans only. Large tables already have more splits than cores and are returned unchanged,
-    without a shuffle.
-    """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores)

@@ -290,4 +290,36 @@ def test_checkpoint_alignment_codes(spark):
         "r int, role string, o long, i string",
     )
     found = bindings.checkpoint_alignment(rows, "r", "role", "o", "i", "b", "c")
-    assert sorted(map(tuple, found.collect())) == [(2, 0, "checkpoint.identity"), (3, -1, "checkpoint.count")]
+    expected = [(2, 0, "checkpoint.identity"), (3, -1, "checkpoint.count"), (3, 1, "checkpoint.identity")]
+    assert sorted(map(tuple, found.collect())) == expected
+
+
+def test_checkpoint_alignment_sees_a_slot_of_one_side_with_equal_counts(spark):
+    rows = spark.createDataFrame(
+        [(1, "b", 0, "x"), (1, "b", 0, "x"), (1, "b", 1, "y"), (1, "c", 0, "x"), (1, "c", 1, "y"), (1, "c", 2, "z")],
+        "r int, role string, o long, i string",
+    )
+    found = bindings.checkpoint_alignment(rows, "r", "role", "o", "i", "b", "c")
+    assert list(map(tuple, found.collect())) == [(1, 2, "checkpoint.identity")]
+
+
+def test_first_mismatch_sees_missing_rows_and_equal_sides(spark):
+    left = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    gone = bindings.first_mismatch(["k"], left, left.where("k = 1"), ["v"], "k").collect()
+    assert list(map(tuple, gone)) == [(2, "", "present", None)]
+    extra = bindings.first_mismatch(["k"], left.where("k = 2"), left, ["v"], "k").collect()
+    assert list(map(tuple, extra)) == [(1, "", None, "present")]
+    assert bindings.first_mismatch(["k"], left, left, ["v"], "k").isEmpty()
+
+
+def test_conformance_sees_a_repeated_ordinal(spark):
+    expected = spark.createDataFrame([(0, "a")], "o int, v string")
+    actual = spark.createDataFrame([(0, "a"), (0, "A")], "o int, v string")
+    found = bindings.ordinal_conformance(["o"], expected, actual, ["v"])
+    assert list(map(tuple, found.collect())) == [(0, "conformance.duplicate")]
+
+
+def test_percentiles_leave_nulls_out(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("a", None), ("a", None), ("b", None)], "k string, v long")
+    found = audit.percentile_report(rows, ["k"], "v", {"p50": 500}, F.expr("v div 8"))
+    assert sorted(map(tuple, found.collect())) == [("a", 2, 2, 2, 3, 1), ("b", 0, 1, None, None, None)]

@@ -93,3 +93,24 @@ def test_tally_and_merge_sides(spark):
     assert rows_of(tally_sides(["k"], l=left, r=right)) == [(1, 2, 0), (2, 1, 1), (3, 0, 1)]
     merged = {row["k"]: (row["l"], row["r"]) for row in merge_sides(["k"], ["v"], left, right).collect()}
     assert merged[1][1] is None and merged[2][0]["v"] == "b" and merged[2][1]["v"] == "c" and merged[3][0] is None
+
+
+def test_null_keys_are_a_group(spark):
+    rows = spark.createDataFrame([(None, 1), (None, 2), (3, 3)], "k long, id long")
+    found = over_groups(rows, ["k"], spread=["id"], n=F.count(F.lit(1)))
+    assert rows_of(found) == [(3, 3, 1), (None, 1, 2), (None, 2, 2)]
+    running = blocked_window(rows, ["k"], ["id"], F.expr("id div 2"), running={"upto": F.col("id")})
+    assert rows_of(running.select("k", "id", "upto")) == [(3, 3, 3), (None, 1, 1), (None, 2, 3)]
+
+
+def test_a_key_with_a_sixtieth_of_the_rows_is_split(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = spark.range(60_000).select(F.when(F.col("id") % 60 == 0, -1).otherwise(F.col("id")).alias("k"), "id")
+        found = over_groups(rows, ["k"], spread=["id"], n=F.count(F.lit(1))).where("k = -1")
+        assert found.count() == 1000
+        assert found.groupBy(F.spark_partition_id()).count().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
