@@ -20,6 +20,7 @@ from collections.abc import Iterator, Sequence
 
 import ahocorasick
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from pairwright.llm.registry import query
 from pairwright.llm.text import BoundedCache, map_rows
@@ -189,7 +190,7 @@ def encode_documents(frame: DataFrame, model_path: str, text: str = "text") -> D
             table = table.append_column("piece_ids", pa.array(ids, pa.list_(pa.int32())))
             yield from table.append_column("decoded", pa.array([codec.decode(i) for i in ids], pa.string())).to_batches()
 
-    schema = frame.schema.add("piece_ids", "array<int>").add("decoded", "string")
+    schema = StructType([*frame.schema, StructField("piece_ids", ArrayType(IntegerType())), StructField("decoded", StringType())])
     return frame.mapInArrow(run, schema)
 
 

@@ -2,7 +2,8 @@
 
 Writing: of records with equal payloads of at least ``MINIMUM`` bytes the smallest page_id is a response and the others are
 revisits without payload; every row becomes one record (rows that repeat the smallest page_id are responses too).
-Archives are plain WARC 1.1 files in the shared folder, written by Spark's text writer.
+Archives are WARC 1.1 files in the shared folder, written by Spark's text writer: compressed as a whole, with at most
+``FILE_RECORDS`` records each, or plain.
 
 Reading: the reader splits archives at the record magic wherever it stands, so each row is one candidate and none
 crosses a split. Tasks emit (offset, successor offset), the successor coming from the content length in the header. Offsets
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from pairwright.llm.registry import query
 from pairwright.llm.text import map_rows
@@ -33,6 +35,7 @@ from pairwright.sources.tables import table
 MAGIC = "WARC/1.1\r\n"
 MINIMUM = 100
 ZONE = 4 << 20
+FILE_RECORDS = 20_000
 DATE = "1970-01-01T00:00:00Z"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -73,8 +76,9 @@ def record_texts(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_block", block).select(head.alias("value"))
 
 
-def write_archives(rows: DataFrame, folder: str) -> None:
-    record_texts(rows).write.option("lineSep", "\r\n").text(folder)
+def write_archives(rows: DataFrame, folder: str, compression: str = "gzip") -> None:
+    """Plain archives (``none``) are read in splits; compressed ones a file at a time."""
+    record_texts(rows).write.option("lineSep", "\r\n").option("maxRecordsPerFile", FILE_RECORDS).text(folder, compression=compression)
 
 
 def _segments(spark: SparkSession, folder: str) -> DataFrame:
@@ -219,7 +223,7 @@ def _gather(segments: DataFrame, parts: DataFrame) -> DataFrame:
                 at[file, block] = rel[-1] + len(body) + len(MAGIC)
             yield from pa.Table.from_batches([batch]).append_column("rel", pa.array(rel, pa.int64())).to_batches()
 
-    placed = segments.mapInArrow(place, segments.schema.add("rel", "long"))
+    placed = segments.mapInArrow(place, StructType([*segments.schema, StructField("rel", LongType())]))
 
     def assemble(pdf: pd.DataFrame) -> pd.DataFrame:
         bodies = pdf.sort_values("pos")["body"]
