@@ -54,17 +54,19 @@ def tree_preorder(spark, sf):
          union all select 'n' || n_nationkey, case when n_nationkey = 7 then 'r9' else 'r' || n_regionkey end from nation
          union all select 'c' || c_custkey, case when c_mktsegment = 'HOUSEHOLD' and c_acctbal < -500 then 'n99' when c_mktsegment = 'BUILDING' and c_acctbal > 9500 then 'c' || c_custkey
                    when c_mktsegment = 'FURNITURE' and c_acctbal > 9500 then null else 'n' || c_nationkey end from customer
-         union all select 'c' || c_custkey, 'n0' from customer where c_mktsegment = 'MACHINERY' and c_acctbal > 9000),
+         union all select 'c' || c_custkey, 'n0' from customer where c_mktsegment = 'MACHINERY' and c_acctbal > 9000
+         union all select 'p' || p_partkey, case when (p_partkey - 1) % 200 > 0 then 'p' || (p_partkey - 1) when (p_partkey - 1) // 200 % 2 = 0 then 'w' else 'p' || (p_partkey + 199) end from part),
        f as (select node, count(*) as n, min(parent) as parent, max(parent) as other from raw group by 1),
        up(node, above, d) as (select node, parent, 1 from f where parent is not null
-            union all select up.node, f.parent, d + 1 from up join f on up.above = f.node where f.parent is not null and d < 20),
+            union all select up.node, f.parent, d + 1 from up join f on up.above = f.node where f.parent is not null and d < 420),
        last as (select node, arg_max(above, d) as top, max(d) as d from up group by 1),
-       t as (select l.*, top not in (select node from f) as lost, d >= 20 as loops from last l)
+       t as (select l.*, top not in (select node from f) as lost, d >= 420 as loops from last l)
      select node, 'tree.duplicate_id' as code from f where n > 1
      union all select node, 'tree.two_parents' from f where parent <> other
      union all select node, 'tree.dangling_parent' from t where lost and d = 1
      union all select node, 'tree.disconnected' from t where lost and d > 1
      union all select node, 'tree.cycle' from t where loops
+     union all select node, 'tree.depth' from t where d > 64 and not loops
      union all select null, 'tree.root_count' from raw having count_if(parent is null) <> 1""",
 )
 def tree_audit(spark, sf):
@@ -82,7 +84,14 @@ def tree_audit(spark, sf):
         .otherwise(F.col("parent"))
     )
     again = facts.where((segment == "MACHINERY") & (balance > 9000)).select("node", F.lit("n0").alias("parent"))
-    return trees.tree_issues(joined.select("node", moved.alias("parent")).unionByName(again))
+    # parts make chains and circles of two hundred nodes
+    key = F.col("p_partkey")
+    before = F.concat(F.lit("p"), (key - 1).cast("string"))
+    closing = F.when(F.expr("(p_partkey - 1) div 200 % 2 = 0"), F.lit("w")).otherwise(F.concat(F.lit("p"), (key + 199).cast("string")))
+    deep = table(spark, sf, "part").select(
+        F.concat(F.lit("p"), key.cast("string")).alias("node"), F.when((key - 1) % 200 > 0, before).otherwise(closing).alias("parent")
+    )
+    return trees.tree_issues(joined.select("node", moved.alias("parent")).unionByName(again).unionByName(deep))
 
 
 IGNORED_SQL = "(node like 'n%' and ordinal % 3 = 0)"
@@ -130,9 +139,11 @@ def nearest_ancestor(spark, sf):
              f as (select index, case when s = 'HOUSEHOLD' and a > 9500 then 1 when s = 'MACHINERY' and a > 9800 then index + 1 else parent_index end as parent_index,
                    case when index = 0 then 0 when s = 'BUILDING' and a > 9500 then child_ordinal + 1 else child_ordinal end as child_ordinal from b),
              e as (select index, row_number() over (partition by parent_index order by index) - 1 as expected from f where parent_index < index),
-             recursive_line as (select f.index, f.parent_index, f.child_ordinal, g.index as i1, g.parent_index as i2, h.parent_index as i3, k.parent_index as i4 from f
-                left join f g on g.index = f.index - 1 left join f h on h.index = g.parent_index left join f k on k.index = h.parent_index)
-        select index, 'tree.parent_order' as code from f where parent_index >= index
+             w as (select index, case when parent_index < index then parent_index end as back from f),
+             recursive_line as (select f.index, f.parent_index, f.child_ordinal, g.index as i1, g.back as i2, h.back as i3, k.back as i4 from f
+                left join w g on g.index = f.index - 1 left join w h on h.index = g.back left join w k on k.index = h.back)
+        select index, 'tree.parent_order' as code from f where parent_index >= index and parent_index <= (select max(index) from f)
+        union all select index, 'tree.dangling_parent' from f where index > 0 and parent_index not between 0 and (select max(index) from f)
         union all select index, 'tree.preorder' from recursive_line where index > 0 and parent_index < index and parent_index is distinct from i1
             and parent_index is distinct from i2 and parent_index is distinct from i3 and parent_index is distinct from i4
         union all select f.index, 'tree.child_order' from f join e on f.index = e.index where f.index > 0 and child_ordinal <> expected""",

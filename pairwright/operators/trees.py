@@ -1,8 +1,8 @@
 """Bounded rooted trees kept as node tables ``(scope..., node, parent, ordinal)``.
 
 Everything rests on one distributed primitive, ``ancestor_lists``: pointer jumping doubles the known
-ancestors per round, so a tree 64 edges deep needs seven joins instead of sixty-four. Depth is bounded
-by contract, so a node's ancestor list is small; fan-out is not bounded, so nothing collects children.
+ancestors per round, so a tree 64 edges deep needs seven joins instead of sixty-four. No depth is cut: rounds go on until
+every chain ends or runs in a circle. Fan-out is not bounded, so nothing collects children.
 """
 
 from __future__ import annotations
@@ -20,13 +20,11 @@ MAXIMUM_DEPTH = 64
 SIBLING_BLOCK = 1 << 16
 
 
-def ancestor_lists(
-    nodes: DataFrame, node: str = "node", parent: str = "parent", scope: Sequence[str] = (), maximum_depth: int = MAXIMUM_DEPTH
-) -> DataFrame:
+def ancestor_lists(nodes: DataFrame, node: str = "node", parent: str = "parent", scope: Sequence[str] = ()) -> DataFrame:
     """``(scope..., node, ancestors, dangling, endless)``, nearest ancestor first; node ids are unique.
 
-    ``dangling``: the last listed ancestor names no node. ``endless``: the chain did not end within
-    the depth bound (a cycle, or a tree that is too deep).
+    ``dangling``: the last listed ancestor names no node. ``endless``: the chain runs into a cycle, whose nodes are
+    listed more than once. Lists double until every chain has ended or repeats itself.
     """
     keys = [*scope, node]
     kind = dict(nodes.dtypes)[parent]
@@ -35,30 +33,33 @@ def ancestor_lists(
         F.when(F.col(parent).isNotNull(), F.array(parent)).otherwise(F.array().cast(f"array<{kind}>")).alias("ancestors"),
         F.col(parent).alias("_jump"),
         F.lit(False).alias("dangling"),
+        F.lit(False).alias("endless"),
     )
-    reach = 1
-    while reach <= maximum_depth:
+    while True:
         target = known.select(
             *scope,
             F.col(node).alias("_jump"),
             F.col("ancestors").alias("_more"),
             F.col("_jump").alias("_next"),
             F.col("dangling").alias("_lost"),
+            F.col("endless").alias("_loops"),
         )
         open_rows = known.where(F.col("_jump").isNotNull())
         advanced = attach(open_rows, target, [*scope, "_jump"], how="left", spread=[node])
         unmatched = F.col("_more").isNull()
+        line = F.when(unmatched, F.col("ancestors")).otherwise(F.concat("ancestors", "_more"))
         moved = advanced.select(
             *keys,
-            F.when(unmatched, F.col("ancestors")).otherwise(F.concat("ancestors", "_more")).alias("ancestors"),
+            line.alias("ancestors"),
             F.col("_next").alias("_jump"),
             F.when(unmatched, F.lit(True)).otherwise(F.col("_lost")).alias("dangling"),
+            F.coalesce("_loops", F.lit(False)).alias("endless"),
         )
+        repeats = F.col("endless") | (F.size(F.array_distinct("ancestors")) < F.size("ancestors"))
+        moved = moved.withColumn("endless", repeats).withColumn("_jump", F.when(~F.col("endless"), F.col("_jump")))
         known = cut_lineage(known.where(F.col("_jump").isNull()).unionByName(moved))
-        reach *= 2
         if known.where(F.col("_jump").isNotNull()).isEmpty():
-            break
-    return known.select(*keys, "ancestors", "dangling", F.col("_jump").isNotNull().alias("endless"))
+            return known.select(*keys, "ancestors", "dangling", "endless")
 
 
 def tree_issues(
@@ -73,11 +74,14 @@ def tree_issues(
     repeated = violations(
         facts,
         keys,
-        {"tree.duplicate_id": F.col("_n") > 1, "tree.two_parents": F.col(parent) != F.col("_other")},
+        {
+            "tree.duplicate_id": F.col("_n") > 1,
+            "tree.two_parents": (F.col(parent) != F.col("_other")) | ((F.col("_roots") > 0) & F.col(parent).isNotNull()),
+        },
     )
-    chains = ancestor_lists(facts, node, parent, scope, maximum_depth)
+    chains = ancestor_lists(facts, node, parent, scope)
     depth = F.size("ancestors")
-    loops = F.col("endless") & (F.size(F.array_distinct("ancestors")) < depth)
+    loops = F.col("endless")
     own_loop = loops & F.array_contains(F.col("ancestors"), F.col(node))
     reach = violations(
         chains,
@@ -181,35 +185,39 @@ def preorder_issues(
 ) -> DataFrame:
     """Validity of stored preorder arrays: ``(scope..., index, code)``.
 
-    A subtree is reopened when a node's parent is neither the previous node nor one of its ancestors.
+    A subtree is reopened when a node's parent is neither the previous node nor one of its ancestors. A parent that
+    is no node is only dangling, one that lies ahead is only out of order, and depth counts along parents that lie before.
     """
     scope = list(scope)
     keys = [*scope, index]
     block = F.floor(F.col(index) / SIBLING_BLOCK)
-    chains = ancestor_lists(rows, index, parent, scope, maximum_depth)
+    lies_before = F.col(parent) < F.col(index)
+    backward_only = rows.select(*keys, F.when(lies_before, F.col(parent)).alias(parent))
+    chains = ancestor_lists(backward_only, index, parent, scope)
     before = chains.select(
         *scope, (F.col(index) + 1).alias(index), F.concat(F.array(F.col(index)), F.col("ancestors")).alias("_line")
     )
     placed = blocked_window(rows, scope, [index], block, position="_at")
-    backward = placed.where(F.col(parent) < F.col(index))
-    siblings = blocked_window(backward, [*scope, parent], [index], block, position="_expected").select(
+    siblings = blocked_window(placed.where(lies_before), [*scope, parent], [index], block, position="_expected").select(
         *keys, "_expected"
     )
+    named = rows.select(*scope, F.col(index).alias(parent)).distinct().withColumn("_named", F.lit(True))
     joined = (
-        placed.join(before, keys, "left")
+        attach(placed, named, [*scope, parent], how="left", spread=[index], hot_from=rows)
+        .join(before, keys, "left")
         .join(siblings, keys, "left")
-        .join(chains.select(*keys, F.size("ancestors").alias("_depth"), "dangling"), keys)
+        .join(chains.select(*keys, F.size("ancestors").alias("_depth")), keys)
     )
     root = F.col(index) == 0
-    lies_before = F.col(parent) < F.col(index)
+    exists = F.coalesce("_named", F.lit(False)) & F.col(parent).isNotNull()
     rules = {
         "tree.node_index": F.col(index) != F.col("_at"),
         "tree.root_parent": root & F.col(parent).isNotNull(),
         "tree.root_ordinal": root & (F.col(ordinal) != 0),
-        "tree.dangling_parent": ~root & (F.col(parent).isNull() | (F.col("dangling") & (F.col("_depth") == 1))),
-        "tree.parent_order": ~root & (F.col(parent) >= F.col(index)),
-        "tree.preorder": ~root & lies_before & ~F.coalesce(F.array_contains(F.col("_line"), F.col(parent)), F.lit(False)),
-        "tree.child_order": ~root & (F.col(ordinal) != F.col("_expected")),
+        "tree.dangling_parent": ~root & ~exists,
+        "tree.parent_order": ~root & exists & ~lies_before,
+        "tree.preorder": ~root & exists & lies_before & ~F.coalesce(F.array_contains(F.col("_line"), F.col(parent)), F.lit(False)),
+        "tree.child_order": ~root & exists & lies_before & (F.col(ordinal) != F.col("_expected")),
         "tree.depth": F.col("_depth") > maximum_depth,
     }
     return violations(joined, keys, rules)

@@ -183,3 +183,23 @@ def test_stream_publication_over_several_batches(spark, tmp_path):
 def test_lineage_cut_is_reliable(spark):
     frame = cut_lineage(spark.range(10).repartition(3))
     assert frame.count() == 10 and spark.sparkContext.getCheckpointDir() is not None
+
+
+def test_deep_chains_and_long_circles(spark):
+    chain = [(i, i - 1 if i else None, 0) for i in range(200)]
+    nodes = spark.createDataFrame(chain, "node long, parent long, ordinal long")
+    found = {r["node"]: (r["index"], r["depth"]) for r in trees.preorder(nodes).collect()}
+    assert found == {i: (i, i) for i in range(200)}
+    assert trees.exclude_subtrees(trees.ancestor_lists(nodes), nodes.where("node = 0")).isEmpty()
+    circle = spark.createDataFrame([(i, (i + 1) % 200) for i in range(200)], "node long, parent long")
+    codes = {r["code"] for r in trees.tree_issues(circle).where("node is not null").collect()}
+    assert codes == {"tree.cycle"}
+    both = spark.createDataFrame([("a", None), ("b", "a"), ("b", None)], "node string, parent string")
+    assert ("b", "tree.two_parents") in set(map(tuple, trees.tree_issues(both).collect()))
+
+
+def test_preorder_names_each_fault_once(spark):
+    rows = [(0, None, 0), (1, 0, 0), (2, 9, 0), (3, -1, 0), (4, 5, 0), (5, 4, 0)]
+    stored = spark.createDataFrame(rows, "index long, parent_index long, child_ordinal long")
+    found = sorted(map(tuple, trees.preorder_issues(stored).collect()))
+    assert found == [(2, "tree.dangling_parent"), (3, "tree.dangling_parent"), (4, "tree.parent_order")]
