@@ -34,8 +34,8 @@ from pairwright.sources.tables import table
 
 CAPACITY = 2048
 END_ID = 0
-CACHE_WORDS = 200_000
-CACHE_PARTS = 250_000
+CACHE_WORDS = 400_000
+CACHE_PARTS = 400_000
 TOGETHER = 5_000
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
