@@ -194,8 +194,7 @@ def claim_gate(spark, sf):
     return scoring.claim_gate(cluster_bootstrap(spark, sf), eligibility_gates(spark, sf))
 
 
-@query("crossfit_stacker")
-def crossfit_stacker(spark, sf):
+def stacked_predictions(spark, sf):
     rows = (
         labelled(spark, sf)
         .join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
@@ -203,16 +202,30 @@ def crossfit_stacker(spark, sf):
             "doc_id",
             "source",
             "toxic",
+            splits.block_of(F.col("source")).alias("block"),
             (F.col("quality") == 0).cast("double").alias("label"),
             F.log1p("n_chars").alias("size"),
             F.log1p(F.size(F.split("text", "\n"))).alias("lines"),
             F.log1p(F.size(F.split("text", " "))).alias("words"),
         )
     )
-    predictions = stacking.crossfit_stacker(
-        rows.where("toxic = 0"), rows, "doc_id", "source", "label", [["size", "lines"], ["words", "lines"]]
-    )
-    return predictions.select("doc_id", F.round("probability", 6).alias("probability"))
+    experts = [["size", "lines"], ["words", "lines"]]
+    return stacking.outer_predictions(rows, "block", F.col("toxic") == 0, "doc_id", "source", "label", experts)
+
+
+@query("crossfit_stacker")
+def crossfit_stacker(spark, sf):
+    return stacked_predictions(spark, sf).withColumn("probability", F.round("probability", 6))
+
+
+@query(
+    "stacker_coverage",
+    f"""with d as (select l.doc_id, {block_sql("source")} as block from labels l join documents d on l.doc_id = d.doc_id)
+       select doc_id, fold_id, role, 1::bigint as n_predictions from d join {SCHEDULE_SQL.replace(") s(", ") k(")} on d.block = k.block where role <> 'train'""",
+)
+def stacker_coverage(spark, sf):
+    """Every validation and test row is predicted once per outer fold, and no training row is."""
+    return stacked_predictions(spark, sf).groupBy("doc_id", "fold_id", "role").agg(F.count("probability").alias("n_predictions"))
 
 
 @query(

@@ -121,11 +121,14 @@ def stream_publish(spark, sf):
 def stream_session_counts(spark, sf):
     folder = scratch(spark)
     events = stream_of(spark, sf, "events").withColumn("at", F.timestamp_micros(epoch_micros("ts")))
-    counts = sessions.session_counts(events, "user_id", "event_type", "at")
-    sessions.log_updates(counts, f"{folder}/updates", f"{folder}/checkpoint").awaitTermination()
-    updates = spark.read.parquet(f"{folder}/updates")
+
+    def added(batch):
+        return sessions.session_counts(batch, "user_id", "event_type", "at")
+
+    sessions.log_batches(events, added, f"{folder}/counts", f"{folder}/checkpoint").awaitTermination()
+    logged = spark.read.parquet(f"{folder}/counts")
     day = F.floor(F.unix_micros("span_start") / 86_400_000_000).cast("long").alias("day")
-    return sessions.latest_counts(updates.select("user_id", "event_type", day, "n"), ["user_id", "event_type", "day"])
+    return sessions.total_counts(logged.select("user_id", "event_type", day, "n"), ["user_id", "event_type", "day"])
 
 
 @query(
@@ -138,14 +141,10 @@ def stream_late_activity(spark, sf):
     done = (
         table(spark, sf, "events").where("event_type = 'purchase'").groupBy("user_id").agg(F.min("ts").alias("completed"))
     )
-    late = sessions.late_activity(stream_of(spark, sf, "events"), done, "user_id", "ts", "completed")
-    (
-        late.select("event_id", "user_id", "event_type")
-        .writeStream.format("parquet")
-        .option("path", f"{folder}/late")
-        .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
-    return spark.read.parquet(f"{folder}/late")
+
+    def added(batch):
+        late = sessions.late_activity(batch, done, "user_id", "ts", "completed", ["event_id"])
+        return late.select("event_id", "user_id", "event_type")
+
+    sessions.log_batches(stream_of(spark, sf, "events"), added, f"{folder}/late", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/late").drop("batch")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.functions.binding import let
+from pairwright.operators.keyed import attach
 from pairwright.plans.factorial import dimension
 from pairwright.session import cut_lineage
 
@@ -17,7 +18,6 @@ AGGREGATE_THRESHOLD = 0.55
 LANGUAGE_THRESHOLD = 0.70
 LAYOUT_THRESHOLD = 0.90
 STRUCTURE_THRESHOLD = 0.92
-MAXIMUM_APPLICATIONS = 4096
 WORD_BITS = 64
 ALL_LANGUAGES = "all"
 
@@ -53,15 +53,13 @@ def shingle_similarity(
     """Jaccard similarity of application pairs, over all languages and per language.
 
     ``(language, left, right, n_left, n_right, n_both, jaccard_ppm, flagged)`` for pairs that share a
-    shingle. Applications are a bounded catalogue (the bound is checked) and are numbered, so the
-    owners of a shingle are bits that combine before the shuffle. Equal owner sets are counted before
-    pairs are formed: boilerplate held by every application costs one row.
+    shingle. Applications are numbered, so the owners of a shingle are words of bits that combine before
+    the shuffle. Equal owner sets are counted before pairs are formed: boilerplate held by every
+    application costs one row.
     """
     applications = cut_lineage(dimension(documents, application))
-    n_applications = applications.count()
-    if n_applications > MAXIMUM_APPLICATIONS:
-        raise ValueError(f"{n_applications} applications, at most {MAXIMUM_APPLICATIONS} are supported")
-    numbered = documents.select(application, language, text).join(F.broadcast(applications), application)
+    named = documents.select(application, language, text)
+    numbered = attach(named, applications, [application], spread=[text], hot_from=documents.select(application))
     bit = F.expr(f"shiftleft(1L, cast(_at % {WORD_BITS} as int))")
     held = numbered.select(
         F.col(language).alias("language"),
@@ -73,18 +71,15 @@ def shingle_similarity(
     overall = per_language.groupBy("_a", "_b", "_word").agg(F.bit_or("_bits").alias("_bits"))
     owners = per_language.unionByName(overall.withColumn("language", F.lit(ALL_LANGUAGES)))
     word = F.struct("_word", "_bits")
-    if n_applications > WORD_BITS:
-        # at most MAXIMUM_APPLICATIONS / WORD_BITS words per shingle
-        owners = owners.groupBy("language", "_a", "_b").agg(F.array_sort(F.collect_list(word)).alias("_words"))
-    else:
-        owners = owners.select("language", F.array(word).alias("_words"))
+    # one word for every WORD_BITS applications that hold a shingle
+    owners = owners.groupBy("language", "_a", "_b").agg(F.array_sort(F.collect_list(word)).alias("_words"))
     signatures = owners.groupBy("language", "_words").agg(F.count(F.lit(1)).alias("_n"))
     sets = cut_lineage(signatures.select("language", "_n", _members(F.col("_words")).alias("_owners")))
     sizes = (
         sets.select("language", "_n", F.explode("_owners").alias("_at"))
         .groupBy("language", "_at")
         .agg(F.sum("_n").alias("_size"))
-        .join(F.broadcast(applications), "_at")
+        .join(applications, "_at")
     )
     lefts = sets.where(F.size("_owners") > 1).select(
         "language", "_n", "_owners", F.posexplode("_owners").alias("_pos", "_left")

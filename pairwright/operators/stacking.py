@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.functions.canonical import hash_bucket
+from pairwright.operators.splits import ROLE_SCHEDULE, fold_roles
 from pairwright.session import cut_lineage
 
 REGULARISATION = 0.1
+LOGIT_LIMIT = 30.0
 
 
 def _fit(rows: DataFrame, inputs: Sequence[str], label: str):
@@ -26,7 +29,8 @@ def _fit(rows: DataFrame, inputs: Sequence[str], label: str):
 
 def _logits(model, rows: DataFrame, inputs: Sequence[str], out: str, kept: Sequence[str]) -> DataFrame:
     assembled = VectorAssembler(inputCols=list(inputs), outputCol="_x").transform(rows)
-    raw = vector_to_array(F.col("rawPrediction"))[1]
+    # a fold with one class gives infinite logits
+    raw = F.least(F.greatest(vector_to_array(F.col("rawPrediction"))[1], F.lit(-LOGIT_LIMIT)), F.lit(LOGIT_LIMIT))
     return model.transform(assembled).select(*kept, raw.alias(out))
 
 
@@ -39,7 +43,7 @@ def crossfit_stacker(
     experts: Sequence[Sequence[str]],
     folds: int = 3,
 ) -> DataFrame:
-    """``(key, probability)`` for ``apply_to``.
+    """``(key, probability)`` for ``apply_to``, which must not hold training rows: the experts have seen their labels.
 
     Stacker inputs are out-of-fold logits, with folds split by ``group``; the experts are then refit on
     all training rows. Fits are distributed; the loop runs over folds and experts only.
@@ -62,3 +66,24 @@ def crossfit_stacker(
     stacker = _fit(cut_lineage(inputs), names, label)
     assembled = VectorAssembler(inputCols=names, outputCol="_x").transform(applied)
     return stacker.transform(assembled).select(key, vector_to_array(F.col("probability"))[1].alias("probability"))
+
+
+def outer_predictions(
+    rows: DataFrame, block: str, valid: Column, key: str, group: str, label: str, experts: Sequence[Sequence[str]]
+) -> DataFrame:
+    """``(fold_id, role, key, probability)``: per outer fold the validation and test rows, predicted from its train rows alone.
+
+    Only ``valid`` rows are learnt from; all are predicted. Folds are fitted side by side on one materialised table.
+    """
+    placed = cut_lineage(fold_roles(rows, block))
+
+    def predict(fold: str) -> DataFrame:
+        mine = placed.where(F.col("fold_id") == fold)
+        train = mine.where((F.col("role") == "train") & valid)
+        rest = mine.where("role <> 'train'")
+        return crossfit_stacker(train, rest, key, group, label, experts).join(rest.select(key, "fold_id", "role"), key)
+
+    folds = [fold for fold, *_ in ROLE_SCHEDULE]
+    with ThreadPoolExecutor(len(folds)) as pool:
+        parts = list(pool.map(predict, folds))
+    return reduce(DataFrame.unionByName, parts).select("fold_id", "role", key, "probability")
