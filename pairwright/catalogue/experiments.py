@@ -56,16 +56,21 @@ def matrix_audit(spark, sf):
 
 @query(
     "coverage_once",
-    """with p as (select doc_id from labels), q as (select doc_id from documents where n_chars > 200 union all select doc_id from documents where lang = 'de')
-       select coalesce(p.doc_id, q.doc_id) as doc_id, coalesce(n, 0) as n_predictions,
+    """with p as (select doc_id, unnest(['fused', 'pixel']) as model from labels),
+            q as (select doc_id, 'fused' as model from documents where n_chars > 200 union all select doc_id, 'fused' from documents where lang = 'de'
+                  union all select doc_id, 'pixel' from documents where doc_id % 11 <> 5)
+       select coalesce(p.doc_id, q.doc_id) as doc_id, coalesce(p.model, q.model) as model, coalesce(n, 0) as n_predictions,
               case when p.doc_id is null then 'coverage.unplanned' when n is null then 'coverage.missing' else 'coverage.repeated' end as code
-       from p full join (select doc_id, count(*) as n from q group by 1) q on p.doc_id = q.doc_id where p.doc_id is null or n is null or n > 1""",
+       from p full join (select doc_id, model, count(*) as n from q group by 1, 2) q on p.doc_id = q.doc_id and p.model = q.model where p.doc_id is null or n is null or n > 1""",
 )
 def coverage_once(spark, sf):
     documents = table(spark, sf, "documents")
-    predictions = documents.where("n_chars > 200").select("doc_id")
-    again = documents.where("lang = 'de'").select("doc_id")
-    return factorial.coverage_once(table(spark, sf, "labels"), predictions.unionByName(again), ["doc_id"])
+    fused, pixel = F.lit("fused").alias("model"), F.lit("pixel").alias("model")
+    predictions = documents.where("n_chars > 200").select("doc_id", fused)
+    again = documents.where("lang = 'de'").select("doc_id", fused)
+    other = documents.where("doc_id % 11 <> 5").select("doc_id", pixel)
+    planned = table(spark, sf, "labels").select("doc_id", F.explode(F.array(F.lit("fused"), F.lit("pixel"))).alias("model"))
+    return factorial.coverage_once(planned, predictions.unionByName(again).unionByName(other), ["doc_id", "model"])
 
 
 @query(
@@ -90,13 +95,13 @@ def matched_pairs(spark, sf):
 @query(
     "replicate_determinism",
     r"""with d as (select sha256(trim(regexp_replace(lower(text), '[ \t\r\n]+', ' ', 'g'), ' ')) as content, sha256(text) as raw from documents)
-       select content, count(*) as n_replicates, count(distinct raw) = 1 as identical from d group by 1 having count(*) > 1""",
+       select content, count(*) as n_replicates, count(distinct raw) = 1 as identical, count(*) = 2 as complete from d group by 1""",
 )
 def replicate_determinism(spark, sf):
     rows = table(spark, sf, "documents").select(
         sha256_hex(whitespace_codec(F.lower("text"))).alias("content"), sha256_hex(F.col("text")).alias("raw")
     )
-    return factorial.replicate_determinism(rows, ["content"], "raw").where("n_replicates > 1")
+    return factorial.replicate_determinism(rows, ["content"], "raw", 2)
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -111,6 +112,20 @@ def manifest_digests(rows: DataFrame, package: Sequence[str], row_digest: Column
 
 
 def table_digest(rows: DataFrame, row_text: Column) -> DataFrame:
-    """Row-order invariant digest of a table: row count and the sum of 32-bit hash prefixes."""
-    value = F.conv(F.substring(F.md5(row_text), 1, 8), 16, 10).cast("decimal(20,0)")
-    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(value).cast("string").alias("digest_sum"))
+    """Row-order invariant digest of a table: row count, sum and exclusive or of two 60-bit halves of the rows' hashes."""
+    digest = F.md5(row_text)
+    front = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+    back = F.conv(F.substring(digest, 16, 15), 16, 10).cast("long")
+    return rows.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum(front.cast("decimal(38,0)")).cast("string").alias("digest_sum"),
+        F.bit_xor(back).alias("digest_xor"),
+    )
+
+
+def same_tables(runs: Mapping[str, DataFrame], row_text: Column) -> DataFrame:
+    """``(run, n_rows, equal)``: each run's table digest against the first run's."""
+    parts = [table_digest(rows, row_text).withColumn("run", F.lit(name)) for name, rows in runs.items()]
+    first = parts[0].select(F.struct("n_rows", "digest_sum", "digest_xor").alias("d")).scalar()
+    every = reduce(DataFrame.unionByName, parts)
+    return every.select("run", "n_rows", F.struct("n_rows", "digest_sum", "digest_xor").eqNullSafe(first).alias("equal"))

@@ -88,8 +88,10 @@ def matched_pairs(rows: DataFrame, pair: Sequence[str], body: Column, members: i
     )
 
 
-def replicate_determinism(rows: DataFrame, keys: Sequence[str], digest: str) -> DataFrame:
-    """Replicates per key and whether all of them are byte-identical."""
+def replicate_determinism(rows: DataFrame, keys: Sequence[str], digest: str, expected: int) -> DataFrame:
+    """Replicates per key, whether all of them are byte-identical, and whether all ``expected`` ones are there."""
     return rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_replicates"), (F.min(digest) == F.max(digest)).alias("identical")
+        F.count(F.lit(1)).alias("n_replicates"),
+        (F.min(digest) == F.max(digest)).alias("identical"),
+        (F.count(F.lit(1)) == expected).alias("complete"),
     )
