@@ -27,22 +27,22 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from pairwright.llm.registry import query
-from pairwright.llm.text import map_rows
+from pairwright.llm.text import map_rows, tidy
 from pairwright.operators.keyed import attach
 from pairwright.session import cut_lineage
 from pairwright.sources.tables import table
 
 LENGTH = 200
 SEED = 50
-TASK_SEEDS = 400_000
-SEGMENTS = 20_000
+TASK_SEEDS = 150_000
+BUCKET_SEEDS = 100_000
+SEGMENTS = 10_000
 CHUNK = 1 << 21
 
 _RNG = np.random.default_rng(20)
@@ -110,14 +110,15 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def repeated_seeds(texts: DataFrame) -> DataFrame:
-    """``key, kinds, places``: per text the segments to look at, as packed (pos, lo, hi) and a kind for each.
+    """``key, rows``: per text the segments to look at, as packed ``PLACE`` rows.
 
     Kind 1: the whole segment repeats. Kind 2: it does too, and it stands for its like in the comparison. Kind 0: to be compared.
     """
     spark = texts.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = texts.agg(F.sum("n_bytes")).first()[0] or 0
-    buckets = int(max(width, total // (SEED * TASK_SEEDS * 2) + 1))
+    # there are about three seeds to every four seed lengths
+    buckets = int(max(width, total // (SEED * BUCKET_SEEDS) + 1))
     row = np.dtype([("seed", "u8"), ("first", "u8"), ("second", "u8"), ("key", "S16"), ("pos", "i8"), ("lo", "i4"), ("hi", "i4")])
 
     def scan(batches: Iterator[dict]) -> Iterator[dict]:
@@ -148,39 +149,64 @@ def repeated_seeds(texts: DataFrame) -> DataFrame:
         used = [b for b in range(buckets) if cuts[b + 1] > cuts[b]]
         return {"bucket": used, "rows": [rows[cuts[b] : cuts[b + 1]].tobytes() for b in used]}
 
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = np.frombuffer(b"".join(pdf["rows"]), row)
-        # trailing zero bytes of a key are lost in comparisons, never in the stored bytes
-        keys = rows["key"]
-        order = np.lexsort((rows["pos"], keys, rows["second"], rows["first"], rows["seed"]))
-        rows = rows[order]
-        same = (rows["seed"][1:] == rows["seed"][:-1]) & (rows["first"][1:] == rows["first"][:-1]) & (rows["second"][1:] == rows["second"][:-1])
-        again = same & (rows["key"][1:] == rows["key"][:-1]) & (rows["pos"][1:] == rows["pos"][:-1])
-        rows = rows[np.r_[True, ~again]]
-        _, seed, per_seed = np.unique(rows["seed"], return_inverse=True, return_counts=True)
-        kind = np.cumsum(np.r_[True, (rows["seed"][1:] != rows["seed"][:-1]) | (rows["first"][1:] != rows["first"][:-1]) | (rows["second"][1:] != rows["second"][:-1])]) - 1
-        per_kind = np.bincount(kind)
-        kinds_of_seed = np.bincount(seed[np.r_[True, kind[1:] != kind[:-1]]], minlength=len(per_seed))
-        lead = np.r_[True, kind[1:] != kind[:-1]]
+    def meet(table: pa.Table) -> pa.Table:
+        rows = np.frombuffer(b"".join(table["rows"].to_pylist()), row)
+        rows = rows[np.lexsort((rows["pos"], rows["key"], rows["second"], rows["first"], rows["seed"]))]
+        alike = np.r_[False, (rows["seed"][1:] == rows["seed"][:-1]) & (rows["first"][1:] == rows["first"][:-1]) & (rows["second"][1:] == rows["second"][:-1])]
+        again = np.r_[False, (rows["key"][1:] == rows["key"][:-1]) & (rows["pos"][1:] == rows["pos"][:-1])] & alike
+        rows, lead = rows[~again], ~alike[~again]
+        starts = np.r_[True, rows["seed"][1:] != rows["seed"][:-1]]
+        seed, kind = np.cumsum(starts) - 1, np.cumsum(lead) - 1
+        per_seed, per_kind, kinds_of_seed = np.bincount(seed), np.bincount(kind), np.bincount(seed[lead])
         whole = per_kind[kind] > 1
-        verdict = np.where(whole, np.where(lead & (kinds_of_seed[seed] > 1), 2, 1), 0).astype("u1")
-        rows, verdict = rows[per_seed[seed] > 1], verdict[per_seed[seed] > 1]
-        order = np.argsort(rows["key"], kind="stable")
-        rows, verdict = rows[order], verdict[order]
-        at = np.flatnonzero(np.r_[True, rows["key"][1:] != rows["key"][:-1]][: len(rows)])
-        ends = np.r_[at[1:], len(rows)] if len(at) else at
-        places = np.column_stack([rows["pos"], rows["lo"], rows["hi"]]).astype("i8")
-        raw = np.ascontiguousarray(rows["key"]).tobytes()
-        return pd.DataFrame(
-            {
-                "key": [raw[16 * a : 16 * a + 16] for a in at],
-                "kinds": [verdict[a:b].tobytes() for a, b in zip(at, ends, strict=True)],
-                "places": [places[a:b].tobytes() for a, b in zip(at, ends, strict=True)],
-            }
-        )
+        verdict = np.where(whole, np.where(lead & (kinds_of_seed[seed] > 1), 2, 1), 0)
+        shared = per_seed[seed] > 1
+        out = np.empty(shared.sum(), PLACE)
+        for name in ("key", "pos", "lo", "hi"):
+            out[name] = rows[name][shared]
+        out["kind"] = verdict[shared]
+        return _dealt(out, buckets)
 
     sent = map_rows(texts, ["key", "text"], "bucket int, rows binary", scan)
-    return sent.groupBy("bucket").applyInPandas(meet, "key binary, kinds binary, places binary")
+    return _by_key(sent.groupBy("bucket").applyInArrow(meet, "part int, rows binary"), PLACE)
+
+
+#: A segment to look at: its text, seed position, first and last window start around it, and kind.
+PLACE = np.dtype([("key", "S16"), ("pos", "i8"), ("lo", "i4"), ("hi", "i4"), ("kind", "i4")])
+#: Window starts, from first to last, that repeat.
+SPAN = np.dtype([("key", "S16"), ("first", "i8"), ("last", "i8")])
+
+
+def _dealt(rows: np.ndarray, parts: int) -> pa.Table:
+    """Rows packed by a range of their keys."""
+    part = _bucket(np.ascontiguousarray(rows["key"]).view("u8").reshape(-1, 2)[:, 0], parts) if len(rows) else np.zeros(0, "i8")
+    order = np.argsort(part, kind="stable")
+    rows, part = rows[order], part[order]
+    at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(rows) else part
+    ends = np.r_[at[1:], len(rows)] if len(rows) else at
+    packed = [rows[lo:hi].tobytes() for lo, hi in zip(at, ends, strict=True)]
+    return pa.table({"part": pa.array(part[at], pa.int32()), "rows": pa.array(packed, pa.binary())})
+
+
+def _by_key(dealt: DataFrame, kind: np.dtype) -> DataFrame:
+    """``key, rows``: one row per key with its packed rows."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = np.frombuffer(b"".join(table["rows"].to_pylist()), kind)
+        words = np.ascontiguousarray(rows["key"]).view("u8").reshape(-1, 2)
+        order = np.lexsort((words[:, 1], words[:, 0]))
+        rows, words = rows[order], words[order]
+        at = np.flatnonzero(np.r_[True, (words[1:] != words[:-1]).any(axis=1)])
+        keys = np.ascontiguousarray(words[at]).tobytes()
+        offsets = (np.r_[at, len(rows)] * kind.itemsize).astype("i4")
+        wide = (np.arange(len(at) + 1) * 16).astype("i4")
+        arrays = [
+            pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(body)])
+            for cuts, body in ((wide, keys), (offsets, rows.tobytes()))
+        ]
+        return pa.table(arrays, names=["key", "rows"])
+
+    return dealt.groupBy("part").applyInArrow(run, "key binary, rows binary")
 
 
 def column_repeats(segments: np.ndarray, groups: np.ndarray, length: int) -> np.ndarray:
@@ -218,9 +244,9 @@ def column_repeats(segments: np.ndarray, groups: np.ndarray, length: int) -> np.
 
 
 def repeats(texts: DataFrame, looked_at: DataFrame) -> DataFrame:
-    """``key, starts, ends``: repeats of every text as packed window-start ranges (last start included)."""
+    """``key, spans``: the repeats of segments that do not repeat as a whole, packed per text."""
     spark = texts.sparkSession
-    sizes = looked_at.agg(F.sum(F.octet_length("kinds"))).first()[0] or 0
+    sizes = looked_at.agg(F.sum(F.octet_length("places") / PLACE.itemsize)).first()[0] or 0
     buckets = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), sizes // SEGMENTS + 1))
     left = LENGTH - SEED
     wide = left + LENGTH
@@ -228,33 +254,34 @@ def repeats(texts: DataFrame, looked_at: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            out: dict[str, list] = {"bucket": [], "rows": [], "bytes": []}
-            for key, text, kinds, places in zip(batch["key"], batch["text"], batch["kinds"], batch["places"], strict=True):
-                place = np.frombuffer(places, "i8").reshape(-1, 3)[np.frombuffer(kinds, "u1") != 1]
+            held: dict[int, tuple[list[bytes], list[bytes]]] = {}
+            for key, text, places in zip(batch["key"], batch["text"], batch["places"], strict=True):
+                place = np.frombuffer(places, PLACE)
+                place = place[place["kind"] != 1]
                 if not len(place):
                     continue
-                data = np.frombuffer(text, "u1")
                 rows = np.zeros(len(place), body)
-                rows["pos"], rows["lo"], rows["hi"], rows["key"] = place[:, 0], place[:, 1], place[:, 2], key
-                seeds = data[place[:, :1] + np.arange(SEED)]
-                rows["seed"] = _seed_hashes(seeds)
-                for bucket, row, (pos, lo, hi) in zip(_bucket(rows["seed"], buckets).tolist(), rows, place.tolist(), strict=True):
-                    out["bucket"].append(bucket)
-                    out["rows"].append(row.tobytes())
-                    out["bytes"].append(text[pos - lo : pos - lo + hi + LENGTH])
-            yield out
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = np.frombuffer(b"".join(pdf["rows"]), body)
+                rows["pos"], rows["lo"], rows["hi"], rows["key"] = place["pos"], place["lo"], place["hi"], key
+                data = np.frombuffer(text, "u1")
+                rows["seed"] = _seed_hashes(data[place["pos"][:, None] + np.arange(SEED)])
+                starts = place["pos"] - place["lo"]
+                for bucket, row, start, end in zip(_bucket(rows["seed"], buckets).tolist(), rows, starts.tolist(), (starts + place["hi"] + LENGTH).tolist(), strict=True):
+                    mine = held.setdefault(bucket, ([], []))
+                    mine[0].append(row.tobytes())
+                    mine[1].append(text[start:end])
+            yield {"bucket": list(held), "rows": [b"".join(r) for r, _ in held.values()], "bytes": [b"".join(t) for _, t in held.values()]}
+
+    def compare(table: pa.Table) -> pa.Table:
+        rows = np.frombuffer(b"".join(table["rows"].to_pylist()), body)
+        flat = np.frombuffer(b"".join(table["bytes"].to_pylist()), "u1")
+        sizes = rows["hi"].astype("i8") + LENGTH
+        rank = np.empty(len(rows), "i8")
         order = np.argsort(rows["seed"], kind="stable")
-        rows = rows[order]
-        texts = [pdf["bytes"].iat[i] for i in order]
+        rank[order] = np.arange(len(rows))
         matrix = np.full((len(rows), wide), -1, "i2")
-        sizes = np.array([len(t) for t in texts])
-        flat = np.frombuffer(b"".join(texts), "u1")
-        where = np.repeat(np.arange(len(rows)), sizes)
         inside = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        matrix[where, np.repeat(left - rows["lo"], sizes) + inside] = flat
+        matrix[np.repeat(rank, sizes), np.repeat(left - rows["lo"], sizes) + inside] = flat
+        rows = rows[order]
         groups = np.cumsum(np.r_[False, rows["seed"][1:] != rows["seed"][:-1]])
         found = column_repeats(matrix, groups, LENGTH)
         # window starts of a row: its repeats as runs of columns
@@ -262,12 +289,14 @@ def repeats(texts: DataFrame, looked_at: DataFrame) -> DataFrame:
         row, first = np.nonzero(edge == 1)
         last = np.nonzero(edge == -1)[1] - 1
         base = rows["pos"][row] - left - LENGTH + 1
-        raw = np.ascontiguousarray(rows["key"]).tobytes()
-        return pd.DataFrame({"key": [raw[16 * r : 16 * r + 16] for r in row], "first": base + first, "last": base + last})
+        out = np.empty(len(row), SPAN)
+        out["key"], out["first"], out["last"] = rows["key"][row], base + first, base + last
+        return _dealt(out, buckets)
 
-    joined = texts.select("key", "text").join(looked_at.where(F.expr("length(replace(hex(kinds), '01', '')) > 0")), "key")
-    sent = map_rows(joined, ["key", "text", "kinds", "places"], "bucket int, rows binary, bytes binary", cut)
-    return sent.groupBy("bucket").applyInPandas(compare, "key binary, first long, last long")
+    joined = texts.select("key", "text").join(looked_at, "key")
+    sent = map_rows(joined, ["key", "text", "places"], "bucket int, rows binary, bytes binary", cut)
+    met = sent.groupBy("bucket").applyInArrow(compare, "part int, rows binary")
+    return _by_key(met, SPAN).withColumnRenamed("rows", "spans")
 
 
 def _seed_hashes(seeds: np.ndarray) -> np.ndarray:
@@ -278,23 +307,7 @@ def _seed_hashes(seeds: np.ndarray) -> np.ndarray:
     return out * np.uint64(0x9E3779B97F4A7C15)
 
 
-def whole_repeats(looked_at: DataFrame) -> DataFrame:
-    """``key, first, last`` of the segments that repeat in full."""
-
-    def run(batches: Iterator[dict]) -> Iterator[dict]:
-        for batch in batches:
-            out: dict[str, list] = {"key": [], "first": [], "last": []}
-            for key, kinds, places in zip(batch["key"], batch["kinds"], batch["places"], strict=True):
-                place = np.frombuffer(places, "i8").reshape(-1, 3)[np.frombuffer(kinds, "u1") > 0]
-                out["key"] += [key] * len(place)
-                out["first"] += (place[:, 0] - place[:, 1]).tolist()
-                out["last"] += (place[:, 0] - place[:, 1] + place[:, 2]).tolist()
-            yield out
-
-    return map_rows(looked_at, ["key", "kinds", "places"], "key binary, first long, last long", run)
-
-
-def removed_spans(size: int, first: np.ndarray, last: np.ndarray, length: int = LENGTH) -> list[tuple[int, int]]:
+def removed_spans(first: list[int], last: list[int], length: int = LENGTH) -> list[tuple[int, int]]:
     """Maximal byte intervals covered by windows that start from ``first`` to ``last``."""
     spans: list[tuple[int, int]] = []
     for lo, hi in sorted(zip(first, last, strict=True)):
@@ -309,35 +322,29 @@ def dedup_texts(documents: DataFrame, text: str = "text") -> DataFrame:
     """``key, n_removed, n_spans, kept``: one row per distinct text; ``key`` is the md5 of its bytes."""
     rows = documents.select(F.unhex(F.md5(F.col(text).cast("binary"))).alias("key"), F.col(text).cast("binary").alias("text")).where("text is not null")
     sized = rows.withColumn("n_bytes", F.octet_length("text").cast("long"))
-    looked_at = cut_lineage(repeated_seeds(sized).groupBy("key").agg(_concat("kinds"), _concat("places")))
+    looked_at = cut_lineage(repeated_seeds(sized).withColumnRenamed("rows", "places"))
     texts = rows.groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n"))
-    found = repeats(texts, looked_at).unionByName(whole_repeats(looked_at))
-    spans = found.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    joined = texts.join(spans, "key", "left")
+    joined = texts.join(looked_at, "key", "left").join(repeats(texts, looked_at), "key", "left")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            out: dict[str, list] = {"key": [], "n_removed": [], "n_spans": [], "kept": []}
-            for row in batch.to_pylist():
-                data = row["text"]
-                if row["n"] > 1 and len(data) >= LENGTH:
+            out: dict[str, list] = {"key": batch["key"], "n_removed": [], "n_spans": [], "kept": []}
+            for data, n, places, spans in zip(batch["text"], batch["n"], batch["places"], batch["spans"], strict=True):
+                if n > 1 and len(data) >= LENGTH:
                     cuts = [(0, len(data))]
                 else:
-                    mine = row["spans"] or []
-                    cuts = removed_spans(len(data), [s["first"] for s in mine], [s["last"] for s in mine])
+                    place, span = np.frombuffer(places or b"", PLACE), np.frombuffer(spans or b"", SPAN)
+                    place = place[place["kind"] > 0]
+                    start = place["pos"] - place["lo"]
+                    cuts = removed_spans(np.r_[start, span["first"]].tolist(), np.r_[start + place["hi"], span["last"]].tolist())
                 ends = [0, *[hi for _, hi in cuts]]
                 starts = [*[lo for lo, _ in cuts], len(data)]
-                out["key"].append(row["key"])
                 out["n_removed"].append(sum(hi - lo for lo, hi in cuts))
                 out["n_spans"].append(len(cuts))
-                out["kept"].append(b"".join(data[a:b] for a, b in zip(ends, starts, strict=True)))
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("key", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())]))
-
-    return joined.select("text", "n", "spans", "key").mapInArrow(run, "key binary, n_removed long, n_spans long, kept binary")
-
+                out["kept"].append(b"".join([data[a:b] for a, b in zip(ends, starts, strict=True)]))
+            yield out
 
-def _concat(column: str):
-    return F.unhex(F.concat_ws("", F.collect_list(F.hex(column)))).alias(column)
+    return map_rows(joined, ["key", "text", "n", "places", "spans"], "key binary, n_removed long, n_spans long, kept binary", run)
 
 
 def without_repeats(documents: DataFrame) -> DataFrame:
@@ -352,6 +359,7 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     texts = {"text": F.col("__text"), "n_chars": F.length("__text").cast("long")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy("without_repeats")
         for batch in batches:
             kept = [value if value is None else value.decode("utf-8", "ignore") for value in batch.column("__kept").to_pylist()]
             at = batch.schema.get_field_index("__kept")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import zlib
 from collections.abc import Callable, Iterator, Sequence
 
@@ -30,6 +33,37 @@ def fold_of(value: int | None, folds: int) -> int:
     return zlib.crc32(b"" if value is None else str(value).encode()) % folds
 
 
+SLICE = 1_000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+_HELD: list[dict] = []
+_LAST: list[str] = [""]
+
+
+def tidy(kind: str) -> None:
+    """At the start of a task: give back what earlier tasks of this worker left behind.
+
+    Workers are used again by other operators, so caches kept for another ``kind`` are dropped, and freed memory
+    goes back to the system instead of staying with an idle worker.
+    """
+    if _LAST[0] != kind:
+        for held in _HELD:
+            held.clear()
+        _LAST[0] = kind
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
+def keep(held: dict) -> dict:
+    """Register a worker-wide cache that ``tidy`` may clear."""
+    _HELD.append(held)
+    return held
+
+
 class BoundedCache(dict):
     """A dict that starts over when it holds ``limit`` entries, so a worker's memory is bounded."""
 
@@ -45,12 +79,21 @@ class BoundedCache(dict):
 def map_rows(
     frame: DataFrame, columns: Sequence[str | Column], schema: StructType | str, work: Callable[[Iterator[dict]], Iterator[dict]]
 ) -> DataFrame:
-    """``mapInArrow`` over the named columns, with batches given and taken as dicts of Python lists."""
+    """``mapInArrow`` over the named columns, with batches given and taken as dicts of Python lists.
+
+    Texts are long, so batches of the session are set to ``SLICE`` rows unless they are smaller already.
+    """
+    spark = frame.sparkSession
+    spark.conf.set(BATCH_SETTING, str(min(SLICE, int(spark.conf.get(BATCH_SETTING)))))
+    kind = work.__qualname__
     empty = frame.sparkSession.createDataFrame([], schema)
     target = pa.schema([pa.field(f.name, _arrow(f.dataType)) for f in empty.schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in work(batch.to_pydict() for batch in batches):
+        tidy(kind)
+        # slices keep few long texts in Python at a time
+        slices = (batch.slice(at, SLICE) for batch in batches for at in range(0, batch.num_rows, SLICE))
+        for out in work(part.to_pydict() for part in slices):
             yield pa.RecordBatch.from_pydict(out, schema=target)
 
     return frame.select(*columns).mapInArrow(run, empty.schema)
