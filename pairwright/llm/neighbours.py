@@ -18,7 +18,6 @@ count once; one id with different vectors is a candidate with each.
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 
@@ -34,10 +33,10 @@ from pairwright.sources.tables import table
 
 DIMENSIONS = 8
 NEIGHBOURS = 10
-CONFIDENCE = 0.97
+CONFIDENCE = 0.93
 CELL_ROWS = 20_000
 SAMPLE = 20_000
-LEAF = 32
+LEAF = 128
 SEED = 11
 QUERY_STEP = 100
 
@@ -62,76 +61,57 @@ def projection(length: int, dimensions: int = DIMENSIONS, seed: int = SEED) -> n
 
 
 class KdTree:
-    """Balanced kd-tree with the bounding box of every leaf; leaves come out by distance from a point."""
+    """Balanced kd-tree; its leaves, with their bounding boxes, come out by distance from a point."""
 
     def __init__(self, points: np.ndarray, leaf: int = LEAF) -> None:
-        self.nodes: list[tuple] = []  # low, high, (left, right) or rows
-        self._points = points
-        self.root = self._build(np.arange(len(points)), leaf)
+        self.points = points
+        self.leaves: list[np.ndarray] = []
+        self._cut(np.arange(len(points)), leaf)
+        self.low = np.array([points[rows].min(axis=0) for rows in self.leaves])
+        self.high = np.array([points[rows].max(axis=0) for rows in self.leaves])
 
-    def _build(self, rows: np.ndarray, leaf: int) -> int:
-        mine = self._points[rows]
-        low, high = mine.min(axis=0), mine.max(axis=0)
+    def _cut(self, rows: np.ndarray, leaf: int) -> None:
         if len(rows) <= leaf:
-            body = rows
-        else:
-            axis = int(np.argmax(high - low))
-            order = np.argpartition(mine[:, axis], len(rows) // 2)
-            body = self._build(rows[order[: len(rows) // 2]], leaf), self._build(rows[order[len(rows) // 2 :]], leaf)
-        self.nodes.append((low, high, body))
-        return len(self.nodes) - 1
-
-    def _gap(self, node: int, point: np.ndarray) -> float:
-        low, high, _ = self.nodes[node]
-        off = np.maximum(np.maximum(low - point, point - high), 0)
-        return float(off @ off)
-
-    def incremental(self, point: np.ndarray) -> Iterator[tuple[float, np.ndarray]]:
-        """Groups of rows by projected distance: everything up to the squared distance given beside them."""
-        heap: list[tuple[float, int]] = [(self._gap(self.root, point), self.root)]
-        far, rows = np.zeros(0), np.zeros(0, "i8")
-        while heap or len(rows):
-            reach = heap[0][0] if heap else math.inf
-            ready = far <= reach
-            if ready.any():
-                out = rows[ready][np.argsort(far[ready], kind="stable")]
-                yield float(far[ready].max()), out
-                far, rows = far[~ready], rows[~ready]
-                continue
-            _, node = heapq.heappop(heap)
-            body = self.nodes[node][2]
-            if isinstance(body, tuple):
-                for child in body:
-                    heapq.heappush(heap, (self._gap(child, point), child))
-            else:
-                gaps = ((self._points[body] - point) ** 2).sum(axis=1)
-                far, rows = np.r_[far, gaps], np.r_[rows, body]
+            self.leaves.append(rows)
+            return
+        mine = self.points[rows]
+        axis = int(np.argmax(np.ptp(mine, axis=0)))
+        order = np.argpartition(mine[:, axis], len(rows) // 2)
+        self._cut(rows[order[: len(rows) // 2]], leaf)
+        self._cut(rows[order[len(rows) // 2 :]], leaf)
+
+    def incremental(self, point: np.ndarray) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """Leaves by the squared distance of their box, which no point of them or of later ones undercuts, with their rows and
+        the rows' own squared distances."""
+        off = np.maximum(np.maximum(self.low - point, point - self.high), 0)
+        gaps = (off * off).sum(axis=1)
+        for leaf in np.argsort(gaps, kind="stable"):
+            rows = self.leaves[leaf]
+            apart = self.points[rows] - point
+            yield float(gaps[leaf]), rows, (apart * apart).sum(axis=1)
 
 
 def search(tree: KdTree, vectors: np.ndarray, point: np.ndarray, vector: np.ndarray, weights: np.ndarray, k: int, quantile: float, bound: float):
-    """Rows and distances of the nearest found; ``weights`` are ids per row and ``k`` ids are wanted. ``bound`` is a known k-th distance."""
-    found: list[tuple[float, int]] = []
-    held, limit = 0, bound
-    for reach, rows in tree.incremental(point):
-        if reach > quantile * limit * limit:
-            rows = rows[((tree._points[rows] - point) ** 2).sum(axis=1) <= quantile * limit * limit]
-        distances = np.sqrt(((vectors[rows] - vector) ** 2).sum(axis=1))
-        for distance, row in zip(distances.tolist(), rows.tolist(), strict=True):
-            if distance <= limit:
-                found.append((distance, row))
-                held += int(weights[row])
-        if held >= k:
-            found.sort()
-            total, at = 0, 0
-            while at < len(found) and total < k:
-                total += int(weights[found[at][1]])
-                at += 1
-            limit = min(limit, found[at - 1][0])
-            found = [f for f in found if f[0] <= limit]
-            held = sum(int(weights[row]) for _, row in found)
+    """Distances and rows of the nearest found; rows stand for ``weights`` ids and ``k`` ids are wanted. ``bound`` is a known k-th distance."""
+    distances, found, limit = np.zeros(0), np.zeros(0, "i8"), bound
+    for reach, rows, apart in tree.incremental(point):
         if reach > quantile * limit * limit:
             break
-    return found
+        rows = rows[apart <= quantile * limit * limit]
+        off = vectors[rows] - vector
+        mine = np.sqrt((off * off).sum(axis=1))
+        near = mine <= limit
+        if not near.any():
+            continue
+        distances, found = np.r_[distances, mine[near]], np.r_[found, rows[near]]
+        order = np.argsort(distances, kind="stable")
+        distances, found = distances[order], found[order]
+        held = np.cumsum(weights[found])
+        if held[-1] >= k:
+            limit = min(limit, float(distances[np.searchsorted(held, k)]))
+            keep = distances <= limit
+            distances, found = distances[keep], found[keep]
+    return list(zip(distances.tolist(), found.tolist(), strict=True))
 
 
 def points_of(vectors: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
