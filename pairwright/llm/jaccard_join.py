@@ -10,8 +10,9 @@
    range of their sizes and the most tokens that one bitmap loses to collisions. A pair of tree nodes is pruned when the
    bits they share and the lost tokens are too few for the smallest sets under them, when their size ranges exclude a
    link, or when all their sets are connected already. Pairs of sets that remain are intersected exactly.
-4. A group with more tokens than ``BLOCK`` is cut into blocks and block pairs become tasks; its sets are first compared with one leader, and blocks
-   whose sets all link to it need no comparison with each other. No set of candidates is capped.
+4. Sets are ordered by the node they share most with. A group with more tokens than ``BLOCK`` (a set counts ``SET_WEIGHT`` more, so that blocks of short sets stay small) is cut into blocks and block pairs become tasks; a set goes to another block only if that block's bitmap holds
+   three quarters of its tokens. Sets are first compared with one leader, and blocks whose sets all link to it need no
+   comparison with each other. No set of candidates is capped.
 
 Empty and null texts have no shingles, link with nothing and are their own component. A row with a null id takes part in no
 link and has a null component. Rows with one id and different texts share the id and are each given the component of
@@ -24,23 +25,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+from pairwright.llm.components import components
 from pairwright.llm.registry import query
 from pairwright.llm.shingles import Shingler, node_of, set_digest
 from pairwright.llm.text import map_rows, utf8
-from pairwright.operators.graph import connected_components
 from pairwright.operators.keyed import attach, blocked_window
 from pairwright.session import cut_lineage
 from pairwright.sources.tables import table
 
 SAMPLE = 4_000
 SAMPLE_DF = 3
-TASK_TOKENS = 2_000_000
-BUCKET_TOKENS = 4_000_000
+TASK_TOKENS = 600_000
+BUCKET_TOKENS = 600_000
+FILTER_BITS = 1 << 23
 BLOCK = 1_000_000
+SET_WEIGHT = 500
 BITS = 2048
+BLOCK_BITS = 1 << 22
+PAIRS = 50_000
 
 
 def document_sets(documents: DataFrame) -> DataFrame:
@@ -106,14 +113,14 @@ def _pairs(tokens: np.ndarray, nodes: np.ndarray, extra: np.ndarray | None = Non
     return tokens[fresh], nodes[fresh], np.maximum.reduceat(extra[order], at)
 
 
-def _edges(u: np.ndarray, v: np.ndarray, shared: np.ndarray) -> dict[str, list]:
+def _edges(u: np.ndarray, v: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Edges with the number of shared prefix shingles that they settle, added up."""
     if not len(u):
-        return {"u": [], "v": [], "shared": []}
+        return u, v, shared
     order = np.lexsort((v, u))
     u, v, shared = u[order], v[order], shared[order]
     at = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])])
-    return {"u": u[at].tolist(), "v": v[at].tolist(), "shared": np.add.reduceat(shared, at).tolist()}
+    return u[at], v[at], np.add.reduceat(shared, at)
 
 
 def chained(documents: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -151,8 +158,7 @@ def chained(documents: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFram
                 out[name].append(value)
 
         if many.any():
-            edges = _edges(nodes[many], centre[many], np.ones(many.sum(), "i8"))
-            u, v, shared = (np.array(edges[name], "i8") for name in ("u", "v", "shared"))
+            u, v, shared = _edges(nodes[many], centre[many], np.ones(many.sum(), "i8"))
             place = (u.view("u8") % np.uint64(buckets)).astype("i8")
             for bucket in np.unique(place):
                 mine = place == bucket
@@ -166,17 +172,21 @@ def chained(documents: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFram
                 put(bucket, tokens[lo:hi], nodes[lo:hi], settled[lo:hi])
         return out
 
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf["bucket"].iloc[0] < 0:  # settled inside a task
-            return pd.DataFrame(_edges(*[np.frombuffer(b"".join(pdf[c]), "i8") for c in ("tokens", "nodes", "settled")]))
-        tokens, nodes = (np.frombuffer(b"".join(pdf[c]), kind) for c, kind in (("tokens", "u8"), ("nodes", "i8")))
-        tokens, nodes, settled = _pairs(tokens, nodes, np.frombuffer(b"".join(pdf["settled"]), "i1"))
-        centre, _, sizes = _star(tokens, nodes)
-        many = np.repeat(sizes > 1, sizes)
-        return pd.DataFrame(_edges(nodes[many], centre[many], 1 - settled[many].astype("i8")), dtype="int64")
+    def meet(table: pa.Table) -> pa.Table:
+        def whole(name: str, kind: str) -> np.ndarray:
+            return np.frombuffer(b"".join(table[name].to_pylist()), kind)
+
+        if table["bucket"][0].as_py() < 0:  # settled inside a task
+            found = _edges(whole("tokens", "i8"), whole("nodes", "i8"), whole("settled", "i8"))
+        else:
+            tokens, nodes, settled = _pairs(whole("tokens", "u8"), whole("nodes", "i8"), whole("settled", "i1"))
+            centre, _, sizes = _star(tokens, nodes)
+            many = np.repeat(sizes > 1, sizes)
+            found = _edges(nodes[many], centre[many], 1 - settled[many].astype("i8"))
+        return pa.table(list(found), names=["u", "v", "shared"])
 
     sent = map_rows(documents.where("doc_id is not null"), [utf8()], packed, local)
-    met = sent.groupBy("bucket").applyInPandas(meet, "u long, v long, shared long")
+    met = sent.groupBy("bucket").applyInArrow(meet, "u long, v long, shared long")
     return met.groupBy("u", "v").agg(F.sum("shared").alias("shared"))
 
 
@@ -198,45 +208,64 @@ class SignatureTree:
             at = np.arange(0, len(low), 2)
             self.levels.append((np.bitwise_or.reduceat(bits, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(lost, at)))
 
-    def may_link(self, level: int, a: int, b: int) -> bool:
+    def may_link(self, level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs of tree nodes may have linking sets below them."""
         bits, low, high, lost = self.levels[level]
-        if 4 * high[a] < 3 * low[b] or 4 * high[b] < 3 * low[a]:
-            return False
-        shared = int(np.bitwise_count(bits[a] & bits[b]).sum()) + min(lost[a], lost[b])
-        return 7 * shared >= 3 * (low[a] + low[b])
+        out = (4 * high[a] >= 3 * low[b]) & (4 * high[b] >= 3 * low[a])
+        for at in range(0, len(a), PAIRS):
+            some = np.flatnonzero(out[at : at + PAIRS]) + at
+            x, y = a[some], b[some]
+            shared = np.bitwise_count(bits[x] & bits[y]).sum(axis=1, dtype="i8") + np.minimum(lost[x], lost[y])
+            out[some] = 7 * shared >= 3 * (low[x] + low[y])
+        return out
 
 
 def link_sets(sets: list[np.ndarray], labels: np.ndarray, sides: np.ndarray | None = None) -> np.ndarray:
     """Labels after joining all sets that link. With ``sides``, only pairs of two different sides are compared."""
-    labels = labels.copy()
     order = np.lexsort((np.arange(len(sets)), [int(s[0]) if len(s) else 0 for s in sets]))
-    tree = SignatureTree([sets[i] for i in order])
-    mine = labels[order]
-    side = None if sides is None else sides[order]
-    stack = [(len(tree.levels) - 1, 0, 0)]
-    while stack:
-        level, a, b = stack.pop()
-        width = 1 << level
-        left, right = mine[a * width : (a + 1) * width], mine[b * width : (b + 1) * width]
-        if left.min() == left.max() == right.min() == right.max():
-            continue
-        if side is not None:
-            first, second = side[a * width : (a + 1) * width], side[b * width : (b + 1) * width]
-            if first.min() == first.max() == second.min() == second.max():
-                continue
-        if a != b and not tree.may_link(level, a, b):
-            continue
-        if level == 0:
-            if a != b and linked(sets[order[a]], sets[order[b]]):
-                mine[mine == max(mine[a], mine[b])] = min(mine[a], mine[b])
-            continue
-        below = len(tree.levels[level - 1][1])
-        for x in (2 * a, 2 * a + 1):
-            for y in (2 * b, 2 * b + 1):
-                if x < below and y < below and (a != b or x <= y):
-                    stack.append((level - 1, x, y))
-    labels[order] = mine
-    return labels
+    sets = [sets[i] for i in order]
+    parent = {int(label): int(label) for label in labels}
+    mine = labels[order].tolist()
+
+    def root(label: int) -> int:
+        while parent[label] != label:
+            parent[label] = label = parent[parent[label]]
+        return label
+
+    def compare(x: int, y: int) -> None:
+        a, b = root(mine[x]), root(mine[y])
+        if a != b and linked(sets[x], sets[y]):
+            parent[max(a, b)] = min(a, b)
+
+    side = np.zeros(len(sets), "i8") if sides is None else sides[order]
+    # neighbours in this order are often copies; what they join need not be compared again
+    for x in range(1, len(sets)):
+        if sides is None or side[x] != side[x - 1]:
+            compare(x - 1, x)
+    tree = SignatureTree(sets)
+    top = len(tree.levels) - 1
+    a = b = np.zeros(1, "i8")
+    for level in range(top, -1, -1):
+        now = np.array([root(label) for label in mine])
+        at = np.arange(0, len(sets), 1 << level)
+        low, high = np.minimum.reduceat(now, at), np.maximum.reduceat(now, at)
+        first, last = np.minimum.reduceat(side, at), np.maximum.reduceat(side, at)
+        joined = (low[a] == high[a]) & (low[b] == high[b]) & (low[a] == low[b])
+        inside = (first[a] == last[a]) & (first[b] == last[b]) & (first[a] == first[b]) if sides is not None else np.zeros(len(a), bool)
+        open_ = ~joined & ~inside
+        open_[open_] = (a[open_] == b[open_]) | tree.may_link(level, a[open_], b[open_])
+        a, b = a[open_], b[open_]
+        if level:
+            count = len(tree.levels[level - 1][1])
+            a, b = np.concatenate([2 * a, 2 * a, 2 * a + 1, 2 * a + 1]), np.concatenate([2 * b, 2 * b + 1, 2 * b, 2 * b + 1])
+            fine = (a < count) & (b < count) & (a <= b)
+            a, b = a[fine], b[fine]
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        if x != y:
+            compare(x, y)
+    out = np.empty(len(sets), "i8")
+    out[order] = [root(label) for label in mine]
+    return out
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -250,32 +279,48 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * shared >= 75 * (len(a) + len(b) - shared)
 
 
+def _filter_words(ids: DataFrame) -> np.ndarray:
+    """A bitmap of FILTER_BITS bits over the hashes of ``doc_id``, for leaving most other rows out of a shuffle.
+
+    Its size is fixed, so with very many ids it lets more rows through and changes nothing else.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    words = ids.select((place / 32).cast("int").alias("word"), F.expr("1L").alias("one"), (place % 32).cast("int").alias("bit"))
+    rows = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias("bits")).collect()
+    out = np.zeros(FILTER_BITS // 32, "u4")
+    out[[row["word"] for row in rows]] = [row["bits"] for row in rows]
+    return out
+
+
 def _with_tokens(documents: DataFrame, members: DataFrame) -> DataFrame:
     """``members`` (one row per node, with its ``doc_id``) with the packed shingle set."""
-    kept = [c for c in members.columns if c != "doc_id"]
-    joined = documents.where("doc_id is not null").select("doc_id", utf8()).join(members, "doc_id")
-
-    def run(batches):
-        import pyarrow as pa
+    bits = _filter_words(members.select("doc_id"))
 
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
         shingler = Shingler()
         for batch in batches:
-            found = [shingler.sets(text) for text in batch.column("text").to_pylist()]
-            mine = [node_of(set_digest(s)) for s in found]
-            out = pa.Table.from_batches([batch]).select(kept).append_column("tokens", pa.array([s.tobytes() for s in found], pa.binary()))
-            # rows with the id of a node and another text are not that node
-            yield from out.filter(pa.array(np.array(mine, "i8") == batch.column("node").to_numpy())).to_batches()
-
-    schema = members.select(*kept).schema.add("tokens", "binary")
-    return joined.select("text", *kept).mapInArrow(run, schema).dropDuplicates([c for c in kept])
+            place = np.array(batch["place"], "i8")
+            wanted = np.flatnonzero(bits[place >> 5] >> (place & 31).astype("u4") & 1)
+            found = [shingler.sets(batch["text"][i]) for i in wanted]
+            # a row with the id of a node and another text is not that node, and the join drops it
+            yield {
+                "doc_id": [batch["doc_id"][i] for i in wanted],
+                "node": [node_of(set_digest(s)) for s in found],
+                "tokens": [s.tobytes() for s in found],
+            }
+
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("place")
+    rows = map_rows(documents.where("doc_id is not null"), ["doc_id", utf8(), place], "doc_id long, node long, tokens binary", run)
+    kept = [c for c in members.columns if c != "doc_id"]
+    return rows.join(members, ["doc_id", "node"]).dropDuplicates(["doc_id", "node"]).select(*kept, "tokens")
 
 
 def link_groups(documents: DataFrame, members: DataFrame) -> DataFrame:
     """``u, v``: star edges inside the true components of the coarse groups in ``members`` (component, node, doc_id, n)."""
     placed = blocked_window(
-        members, ["component"], ["node"], F.floor(F.col("node") / (1 << 48)), running={"upto": F.col("n")}
-    ).withColumn("blk", F.floor((F.col("upto") - F.col("n")) / BLOCK).cast("int"))
-    placed = cut_lineage(placed.drop("upto"))
+        members, ["component"], ["cluster", "node"], F.floor(F.col("cluster") / (1 << 48)), running={"upto": F.col("n") + SET_WEIGHT}
+    ).withColumn("blk", F.floor((F.col("upto") - F.col("n") - SET_WEIGHT) / BLOCK).cast("int"))
+    placed = cut_lineage(placed.drop("upto", "cluster"))
     large = placed.where("blk > 0").select("component").distinct()
     leads = cut_lineage(placed.where("blk = 0").groupBy("component").agg(F.min_by(F.struct("node", "doc_id", "n"), "node").alias("lead")).join(large, "component", "left_semi"))
     edges = None
@@ -288,11 +333,14 @@ def link_groups(documents: DataFrame, members: DataFrame) -> DataFrame:
     plans = pure.groupBy("component").agg(F.transform(F.array_sort(F.collect_list(F.struct("blk", "pure"))), lambda x: x["pure"]).alias("pure"))
     tasks = attach(led, plans, ["component"], spread=["node"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.size("pure") - 1)))
     # blocks that wholly link to the leader are one component already
-    tasks = tasks.where("size(pure) = 1 or not (pure[blk] and pure[other])").withColumns({"i": F.least("blk", "other"), "j": F.greatest("blk", "other")})
-    total = tasks.agg(F.sum("n")).first()[0] or 0
+    tasks = tasks.where("size(pure) = 1 or not (pure[blk] and pure[other])")
+    total = placed.agg(F.sum("n")).first()[0] or 0
     buckets = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_TOKENS + 1)
-    wanted = tasks.groupBy("doc_id", "node", "component", "led", "blk").agg(F.collect_list(F.struct("i", "j")).alias("pairs"))
-    sets = _with_tokens(documents, wanted.withColumn("pairs", F.transform("pairs", lambda p: p["i"] * (1 << 24) + p["j"]))).withColumn("pair", F.explode("pairs")).drop("pairs")
+    wanted = tasks.groupBy("doc_id", "node", "component", "led", "blk").agg(F.collect_set("other").alias("others"))
+    held = cut_lineage(_with_tokens(documents, wanted))
+    single = "size(others) = 1 and others[0] = blk"
+    sets = held.where(single).withColumn("other", F.col("blk")).drop("others").unionByName(_reaching(held.where(f"not ({single})")))
+    sets = sets.withColumn("pair", F.least("blk", "other").cast("long") * (1 << 24) + F.greatest("blk", "other")).drop("other")
     sets = sets.withColumn("bucket", F.pmod(F.xxhash64("component", "pair"), F.lit(buckets)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -313,6 +361,40 @@ def link_groups(documents: DataFrame, members: DataFrame) -> DataFrame:
     return found if edges is None else found.unionByName(edges.where("u <> v"))
 
 
+def _reaching(held: DataFrame) -> DataFrame:
+    """Sets of groups with several blocks, once for each block (``other``) that may hold a partner.
+
+    The blocks are the top of the signature trees: a block's OR of token bitmaps must hold three quarters of a set's tokens. Only
+    bitmaps travel to every block of their group.
+    """
+    key = ["component", "blk"]
+
+    def bitmap(table: pa.Table) -> pa.Table:
+        bits = np.zeros(BLOCK_BITS, bool)
+        for tokens in table["tokens"].to_pylist():
+            bits[(np.frombuffer(tokens, "u8") % np.uint64(BLOCK_BITS)).astype("i8")] = True
+        return pa.table({"component": table["component"][:1], "other": table["blk"][:1], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    maps = cut_lineage(held.groupBy(*key).applyInArrow(bitmap, "component long, other int, bits binary"))
+    each = maps.select("component", F.col("other").alias("blk")).join(maps, "component")
+    to_block = each.select(F.col("component").alias("_c"), F.col("blk").alias("_b"), "other", "bits")
+    schema = held.drop("others").schema
+
+    def send(sets: pa.Table, near: pa.Table) -> pa.Table:
+        out = []
+        rows = [np.frombuffer(tokens, "u8") for tokens in sets["tokens"].to_pylist()]
+        places = [(tokens % np.uint64(BLOCK_BITS)).astype("i8") for tokens in rows]
+        others = sets["others"].to_pylist()
+        for other, packed in zip(near["other"].to_pylist(), near["bits"].to_pylist(), strict=True):
+            bits = np.unpackbits(np.frombuffer(packed, "u1"))
+            keep = [other in others[i] and 4 * int(bits[p].sum()) >= 3 * len(p) for i, p in enumerate(places)]
+            part = sets.filter(pa.array(keep, pa.bool_())).drop_columns(["others"])
+            out.append(part.append_column("other", pa.array([other] * part.num_rows, pa.int32())))
+        return pa.concat_tables(out)
+
+    return held.groupBy(*key).cogroup(to_block.groupBy("_c", "_b")).applyInArrow(send, StructType([*schema, StructField("other", IntegerType())]))
+
+
 def _near_leaders(documents: DataFrame, placed: DataFrame, leads: DataFrame) -> DataFrame:
     """``node, lead``: members that link to the leader of their group."""
     heads = _with_tokens(documents, leads.select("component", "lead.node", "lead.doc_id")).select("component", F.col("node").alias("lead"), F.col("tokens").alias("head"))
@@ -337,12 +419,13 @@ def join_components(documents: DataFrame) -> DataFrame:
     counted = edges.groupBy(F.col("u").alias("node")).agg(F.sum("shared").alias("met")).join(classes.select("node", "n"), "node")
     alive = cut_lineage(counted.where(F.col("met") >= need).select("node"))
     chains = edges.join(alive.select(F.col("node").alias("u")), "u", "left_semi").where("u <> v").select("u", "v")
-    groups = connected_components(chains)
-    members = groups.join(alive, "node", "left_semi").join(classes.select("node", "doc_id", "n"), "node")
+    groups = components(chains)
+    clusters = edges.groupBy(F.col("u").alias("node")).agg(F.max_by("v", F.struct("shared", "v")).alias("cluster"))
+    members = groups.join(alive, "node", "left_semi").join(classes.select("node", "doc_id", "n"), "node").join(clusters, "node")
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1").select("component")
     members = cut_lineage(attach(members, sizes, ["component"], spread=["node"]))
-    components = connected_components(link_groups(documents, members)).select("node", "component")
-    named = classes.select("digest", "node", "doc_id").join(components, "node", "left")
+    true_groups = components(link_groups(documents, members))
+    named = classes.select("digest", "node", "doc_id").join(true_groups, "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     final = cut_lineage(attach(named, smallest, ["component"], spread=["node"]).select("digest", "component_id"))
