@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwright.llm.registry import query
-from pairwright.llm.text import fold, map_rows, utf8
+from pairwright.llm.text import fold, keep, map_rows, utf8
 from pairwright.session import cut_lineage
 from pairwright.sources.tables import table
 
@@ -40,7 +40,7 @@ FREQUENT = 1e-5
 BLOCK_WORDS = 4_000_000
 FOLDS, HELD_OUT = 5, 1
 
-_LATTICES: dict[str, Lattice] = {}
+_LATTICES: dict[str, Lattice] = keep({})
 
 
 class Lattice:

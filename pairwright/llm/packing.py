@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwright.llm.registry import query
-from pairwright.llm.text import BoundedCache, map_rows, utf8, words_of
+from pairwright.llm.text import BoundedCache, keep, map_rows, utf8, words_of
 from pairwright.session import cut_lineage
 from pairwright.sources.tables import table
 
@@ -39,7 +39,7 @@ CACHE_PARTS = 400_000
 TOGETHER = 5_000
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
-_LOADED: dict[str, WordCodec] = {}
+_LOADED: dict[str, WordCodec] = keep({})
 
 
 class WordCodec:

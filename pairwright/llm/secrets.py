@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwright.llm.registry import query
-from pairwright.llm.text import fold, map_rows, utf8
+from pairwright.llm.text import fold, map_rows, tidy, utf8
 from pairwright.operators.keyed import attach
 from pairwright.session import cut_lineage
 from pairwright.sources.tables import table
@@ -180,6 +180,7 @@ def redact(documents: DataFrame, path: str) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        tidy("redact")
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for i, spans in enumerate(batch.column("__spans").to_pylist()):

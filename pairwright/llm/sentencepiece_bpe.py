@@ -23,14 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from pairwright.llm.registry import query
-from pairwright.llm.text import BoundedCache, map_rows
+from pairwright.llm.text import BoundedCache, keep, map_rows
 from pairwright.sources.tables import table
 
 MARK = "▁"
 CACHE_UNITS = 300_000
 CACHE_PAIRS = 500_000
 
-_LOADED: dict[str, PieceCodec] = {}
+_LOADED: dict[str, PieceCodec] = keep({})
 
 
 class PieceCodec:

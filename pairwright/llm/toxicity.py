@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwright.llm.registry import query
-from pairwright.llm.text import BoundedCache, fold, map_rows, utf8
+from pairwright.llm.text import BoundedCache, fold, map_rows, tidy, utf8
 from pairwright.sources.tables import table
 
 EXAMPLES = 8192
@@ -225,6 +225,7 @@ def without_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        tidy("without_toxic")
         cache: BoundedCache = BoundedCache(100_000)
         for batch in batches:
             kept = []
