@@ -5,7 +5,8 @@
    common passages come last. Of a set of n, the first n - ceil(.75 n) + ceil(n / 8) shingles are its prefix. Two sets that
    link share at least ceil(n / 8) prefix shingles of the smaller set, so nodes that share fewer with any others drop out, and nodes that
    share a prefix shingle are chained to the smallest such node. Links never leave the chained groups. Shingles
-   travel as packed arrays; what several nodes of one task share is settled there and travels once.
+   travel as packed arrays; what several nodes of one task share is settled there and travels once, with the smallest of these
+   nodes. Where that node drops out, its chains stay, because those of the others run through it.
 3. Inside a group, sets are compared by a dual traversal of signature trees: a node of the tree holds the OR of its sets' token bitmaps, the
    range of their sizes and the most tokens that one bitmap loses to collisions. A pair of tree nodes is pruned when the
    bits they share and the lost tokens are too few for the smallest sets under them, when their size ranges exclude a
@@ -418,7 +419,10 @@ def join_components(documents: DataFrame) -> DataFrame:
     need = F.greatest(F.lit(1), F.ceil(F.ceil(F.col("n") * 3 / 4) / 8))
     counted = edges.groupBy(F.col("u").alias("node")).agg(F.sum("shared").alias("met")).join(classes.select("node", "n"), "node")
     alive = cut_lineage(counted.where(F.col("met") >= need).select("node"))
-    chains = edges.join(alive.select(F.col("node").alias("u")), "u", "left_semi").where("u <> v").select("u", "v")
+    met = edges.join(alive.select(F.col("node").alias("u")), "u", "left_semi").where("u <> v").select("u", "v")
+    # the node of a task that stands for an alive one may itself be dropped; its own edges lead on to the shingles' other tasks
+    hubs = met.select(F.col("v").alias("u")).distinct().join(alive.select(F.col("node").alias("u")), "u", "left_anti")
+    chains = met.unionByName(edges.join(hubs, "u", "left_semi").where("u <> v").select("u", "v"))
     groups = components(chains)
     clusters = edges.groupBy(F.col("u").alias("node")).agg(F.max_by("v", F.struct("shared", "v")).alias("cluster"))
     members = groups.join(alive, "node", "left_semi").join(classes.select("node", "doc_id", "n"), "node").join(clusters, "node")

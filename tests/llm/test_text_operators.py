@@ -100,6 +100,22 @@ def test_components_of_edge_rows(spark):
     assert found.count() == len(EDGE) + 2
 
 
+def test_quoted_near_copies_in_other_tasks(spark, monkeypatch):
+    # as in a sample that holds none of these texts
+    monkeypatch.setattr(jaccard_join, "SAMPLE_DF", 1_000)
+    draw, rows = random.Random(5), []
+    for i in range(150):
+        short, near, long = 3 * i, 3 * i + 1, 3 * i + 2
+        text = [f"q{i}x{j}" for j in range(44)]
+        filler = [f"f{draw.randrange(10**9)}" for _ in range(400)]
+        rows += [(short, " ".join(text)), (near, " ".join([*text[:-1], "end"])), (long, " ".join([*filler, *text]))]
+    # each quoting text lies beside one of its two near copies
+    placed = [(rows[k], (k // 3 if k % 3 == 2 else k // 3 + k % 3 + k // 6) % 2) for k in range(len(rows))]
+    documents = frame(spark, [row for row, _ in placed]).join(spark.createDataFrame([(row[0], part) for row, part in placed], "doc_id long, part int"), "doc_id")
+    documents = documents.repartitionByRange(2, "part").drop("part")
+    assert set(map(tuple, jaccard_join.join_components(documents).collect())) == components(rows)
+
+
 @pytest.mark.parametrize("block", [1_000_000, 2_000])
 def test_components_of_chains_and_a_large_family(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
