@@ -1,14 +1,14 @@
-"""Toxicity by nearest labelled examples under exact TF-IDF cosine.
+"""Toxicity by nearest labelled examples under exact cosine of weighted TF-IDF.
 
 Fitting, on a bounded sample of ``EXAMPLES`` labelled training documents (the lowest id hashes):
-* terms are lower-cased words without surrounding punctuation; those kept differ between toxic and other examples by more
-  than chance (chi-square above ``CHI_SQUARE``, at least ``LIFT`` times as frequent, at most ``TERMS`` of them);
+* terms are all lower-cased words of the examples without surrounding punctuation; a term at least ``LIFT`` times as frequent on one
+  side weighs up to 1 + ``TELLING`` times its TF-IDF, rising with its chi-square up to ``CHI_SQUARE``;
 * document frequencies of these terms come from all documents;
-* an inverted index over the examples is cut into blocks; for every term the largest weight in each block is kept.
+* an inverted index over the examples holds their unit vectors.
 
-Scoring: blocks are visited by falling upper bound (the sum of their term maxima) and the search stops when no block left can
-beat the k-th cosine, so the neighbours are exact. Votes are weighted by distance (1 / (1 - cosine + ``NEAR``)) and shrunk towards
-the share of toxic examples without any term. A monotone calibration, fitted on leave-one-out votes of the
+Scoring: all postings of a text's terms are added up, so the neighbours are exact. Words that no example holds have no part in a
+text's length. Votes are weighted by distance (1 / (1 - cosine + ``NEAR``)) and shrunk towards
+the share of toxic examples. A monotone calibration, fitted on leave-one-out votes of the
 examples, makes the votes probabilities. A document's neighbours are its evidence.
 
 Null and empty texts have no terms and get the prior. Without labelled training rows every score is 0. Documents with null ids
@@ -17,11 +17,13 @@ belong to the training side and never match a label. Rows labelled more than onc
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,11 +32,11 @@ from pairwright.llm.text import BoundedCache, fold, map_rows, tidy, utf8
 from pairwright.sources.tables import table
 
 EXAMPLES = 8192
-TERMS = 4096
 CHI_SQUARE = 50.0
 LIFT = 3.0
+TELLING = 8.0
 NEIGHBOURS = 15
-BLOCK = 64
+PART = 4096
 NEAR = 0.05
 PRIOR_WEIGHT = 1.0
 THRESHOLD = 0.3
@@ -53,52 +55,43 @@ def term_counts(text: bytes | None) -> Counter:
 
 
 class ExampleIndex:
-    """Block-max inverted index over unit-length example vectors."""
+    """Inverted index over unit-length example vectors, as flat arrays: the postings of a term lie side by side.
 
-    def __init__(self, vectors: list[dict[int, float]], labels: list[int], idf: np.ndarray) -> None:
+    A vector is its term numbers, rising, and their weights; a dict of them is taken too.
+    """
+
+    def __init__(self, vectors: list, labels: list[int], idf: np.ndarray) -> None:
         self.labels = np.array(labels, "f8")
         self.idf = idf
-        self.blocks = max(1, -(-len(vectors) // BLOCK))
-        self.maxima = np.zeros((len(idf), self.blocks))
-        # postings of each block: term -> (places in the block, weights)
-        self.postings: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
-        for b in range(self.blocks):
-            lists: dict[int, tuple[list, list]] = {}
-            for place, vector in enumerate(vectors[b * BLOCK : (b + 1) * BLOCK]):
-                for term, weight in vector.items():
-                    at = lists.setdefault(term, ([], []))
-                    at[0].append(place)
-                    at[1].append(weight)
-            self.postings.append({term: (np.array(places), np.array(weights)) for term, (places, weights) in lists.items()})
-            for term, (_, weights) in lists.items():
-                self.maxima[term, b] = max(weights)
-        bare = [label for vector, label in zip(vectors, labels, strict=True) if not vector]
-        self.prior = (sum(bare) + 0.5 * (len(labels) > 0)) / (len(bare) + 1)
+        pairs = [_arrays(v) for v in vectors]
+        terms = np.concatenate([np.zeros(0, "i4"), *[t for t, _ in pairs]])
+        order = np.argsort(terms, kind="stable")
+        self.starts = np.searchsorted(terms[order], np.arange(len(idf) + 1))
+        self.places = np.repeat(np.arange(len(pairs), dtype="i4"), [len(t) for t, _ in pairs])[order]
+        self.weights = np.concatenate([np.zeros(0), *[w for _, w in pairs]])[order]
+        self.prior = (sum(labels) + 0.5 * (len(labels) > 0)) / (len(labels) + 1)
         self.levels: tuple[np.ndarray, np.ndarray] = (np.zeros(0), np.zeros(0))
 
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        weights = {term: (1 + math.log(n)) * self.idf[term] for term, n in counts.items() if self.idf[term] > 0}
-        norm = math.sqrt(sum(w * w for w in weights.values()))
-        return {term: w / norm for term, w in weights.items()} if norm else {}
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        weights = (1 + np.log(counts)) * self.idf[terms]
+        terms, weights = terms[weights > 0], weights[weights > 0]
+        return terms, weights / math.sqrt((weights * weights).sum() or 1.0)
 
-    def nearest(self, vector: dict[int, float], k: int = NEIGHBOURS, but: int = -1) -> list[tuple[float, int]]:
+    def nearest(self, vector, k: int = NEIGHBOURS, but: int = -1) -> list[tuple[float, int]]:
         """The k examples of highest positive cosine, ties to the smaller place; ``but`` is left out."""
-        if not vector:
+        terms, weights = _arrays(vector)
+        starts = self.starts[terms]
+        sizes = self.starts[terms + 1] - starts
+        if not sizes.sum():
             return []
-        terms = list(vector)
-        bounds = np.array([vector[t] for t in terms]) @ self.maxima[terms]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or (len(best) == k and bounds[b] < -best[-1][0] - 1e-12):
-                break
-            scores = np.zeros(BLOCK)
-            for term in terms:
-                if term in self.postings[b]:
-                    places, weights = self.postings[b][term]
-                    scores[places] += vector[term] * weights
-            found = [(-scores[p], int(b) * BLOCK + int(p)) for p in np.flatnonzero(scores > 0)]
-            best = sorted(best + [f for f in found if f[1] != but])[:k]
-        return [(min(1.0, -s), place) for s, place in best]
+        at = np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+        scores = np.bincount(self.places[at], self.weights[at] * np.repeat(weights, sizes), len(self.labels))
+        if but >= 0:
+            scores[but] = 0
+        least = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
+        found = np.flatnonzero((scores >= least) & (scores > 0))
+        found = found[np.lexsort((found, -scores[found]))][:k]
+        return [(min(1.0, s), place) for s, place in zip(scores[found].tolist(), found.tolist(), strict=True)]
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         weight, toxic = PRIOR_WEIGHT, PRIOR_WEIGHT * self.prior
@@ -107,7 +100,7 @@ class ExampleIndex:
             weight, toxic = weight + w, toxic + w * self.labels[place]
         return toxic / weight
 
-    def calibrate(self, vectors: list[dict[int, float]]) -> None:
+    def calibrate(self, vectors: list) -> None:
         """Pool adjacent violators over leave-one-out votes."""
         votes = np.array([self.vote(self.nearest(v, but=i)) for i, v in enumerate(vectors)])
         groups: list[list[float]] = []  # highest vote, sum of labels, examples
@@ -131,7 +124,7 @@ class ExampleIndex:
 
 
 def fit_index(documents: DataFrame, labels: DataFrame) -> tuple[dict[bytes, int], ExampleIndex, list[int]]:
-    """Terms, index and example ids; what comes to the driver is bounded by EXAMPLES, TERMS and their products."""
+    """Terms, index and example ids; what comes to the driver is bounded by the words of EXAMPLES texts."""
     labelled = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     training = labelled.where(fold("doc_id", FOLDS) != HELD_OUT)
     chosen = training.join(documents.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES)
@@ -155,43 +148,63 @@ def fit_index(documents: DataFrame, labels: DataFrame) -> tuple[dict[bytes, int]
     n = n0 + n1
     chi = n * F.pow(a * (n0 - b) - b * (n1 - a), 2) / ((a + b) * (n - a - b) * n0 * n1 + 1e-9)
     lift = (a + 0.5) / (n1 + 1) / ((b + 0.5) / (n0 + 1))
-    kept = tallied.groupBy("term").agg(chi.alias("chi"), lift.alias("lift")).where(f"chi > {CHI_SQUARE} and (lift > {LIFT} or lift < 1 / {LIFT})")
-    terms = {bytes(row["term"]): i for i, row in enumerate(kept.orderBy(F.desc("chi"), "term").limit(TERMS).collect())}
-    idf = _inverse_frequencies(documents, terms)
+    telling = F.when((lift > LIFT) | (lift < 1 / LIFT), F.least(F.lit(1.0), chi / CHI_SQUARE)).otherwise(0.0)
+    found = tallied.groupBy("term").agg((1 + TELLING * telling).alias("weight")).orderBy("term").toArrow()
+    terms = {term: i for i, term in enumerate(found["term"].to_pylist())}
+    idf = _inverse_frequencies(documents, terms) * found["weight"].to_numpy()
 
     def count(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            found = [_known(text, terms) for text in batch["text"]]
-            yield {"doc_id": batch["doc_id"], "terms": [list(f) for f in found], "counts": [list(f.values()) for f in found]}
+            known = [_known(text, terms) for text in batch["text"]]
+            yield {"doc_id": batch["doc_id"], "terms": [t.tobytes() for t, _ in known], "counts": [n.tobytes() for _, n in known]}
 
-    rows = map_rows(texts, ["doc_id", utf8()], "doc_id long, terms array<int>, counts array<int>", count).orderBy("doc_id").collect()
+    rows = map_rows(texts, ["doc_id", utf8()], "doc_id long, terms binary, counts binary", count).orderBy("doc_id").collect()
     index = ExampleIndex([], [], idf)
-    vectors = [index.vector(dict(zip(row["terms"], row["counts"], strict=True))) for row in rows]
+    vectors = [index.vector(np.frombuffer(row["terms"], "i4"), np.frombuffer(row["counts"], "i4")) for row in rows]
     ids = [row["doc_id"] for row in rows]
     index = ExampleIndex(vectors, [wanted[i] for i in ids], idf)
     index.calibrate(vectors)
     return terms, index, ids
 
 
-def _known(text: bytes | None, terms: dict[bytes, int]) -> dict[int, int]:
-    return {terms[term]: n for term, n in sorted(term_counts(text).items()) if term in terms}
+def _arrays(vector) -> tuple[np.ndarray, np.ndarray]:
+    if isinstance(vector, dict):
+        terms = sorted(vector)
+        return np.array(terms, "i4"), np.array([vector[t] for t in terms], "f8")
+    return vector
+
+
+def _known(text: bytes | None, terms: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the known terms of a text, rising, and their counts."""
+    found = term_counts(text)
+    known = np.array([(terms[term], n) for term, n in found.items() if term in terms], "i4").reshape(-1, 2)
+    known = known[np.argsort(known[:, 0])]
+    return np.ascontiguousarray(known[:, 0]), np.ascontiguousarray(known[:, 1])
 
 
 def _inverse_frequencies(documents: DataFrame, terms: dict[bytes, int]) -> np.ndarray:
-    """ln((1 + documents) / (1 + documents with the term)) over all documents."""
+    """ln((1 + documents) / (1 + documents with the term)) over all documents; counts travel packed, ``PART`` terms a row."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        seen, size = Counter(), 0
+        seen = np.zeros(len(terms) + 1, "i8")
         for batch in batches:
             for text in batch["text"]:
-                size += 1
+                seen[-1] += 1
                 if text:
-                    seen.update({word.strip(PUNCTUATION) for word in set(text.lower().split())} & terms.keys())
-        yield {"term": [-1, *[terms[t] for t in seen]], "n": [size, *seen.values()]}
+                    words = {word.strip(PUNCTUATION) for word in set(text.lower().split())}
+                    seen[[terms[word] for word in words if word in terms]] += 1
+        parts = [at for at in range(0, len(seen), PART) if seen[at : at + PART].any()]
+        yield {"part": parts, "counts": [seen[at : at + PART].tobytes() for at in parts]}
 
-    found = dict(map_rows(documents, [utf8()], "term int, n long", run).groupBy("term").agg(F.sum("n")).collect())
-    total = found.get(-1, 0)
-    return np.array([math.log((1 + total) / (1 + found.get(i, 0))) for i in range(len(terms))])
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(counts, "i8") for counts in table["counts"].to_pylist())
+        return pa.table({"part": table["part"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+    sent = map_rows(documents, [utf8()], "part int, counts binary", run)
+    found = np.zeros(len(terms) + 1, "i8")
+    for part, counts in sent.groupBy("part").applyInArrow(add, "part int, counts binary").collect():
+        found[part : part + PART] = np.frombuffer(counts, "i8")
+    return np.log((1 + found[-1]) / (1 + found[:-1]))
 
 
 def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -203,9 +216,9 @@ def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             scores, evidence = [], []
             for text in batch["text"]:
-                key = tuple(_known(text, terms).items())
+                key = hashlib.md5(text or b"").digest()
                 if key not in cache:
-                    near = index.nearest(index.vector(dict(key)))
+                    near = index.nearest(index.vector(*_known(text, terms)))
                     cache.room()
                     cache[key] = index.score(index.vote(near)), [ids[place] for _, place in near]
                 score, places = cache[key]
@@ -223,17 +236,15 @@ def without_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
     terms, index, _ = fit_index(documents, labels)
 
     def run(batches):
-        import pyarrow as pa
-
         tidy("without_toxic")
         cache: BoundedCache = BoundedCache(100_000)
         for batch in batches:
             kept = []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
-                key = tuple(_known(text, terms).items())
+                key = hashlib.md5(text or b"").digest()
                 if key not in cache:
                     cache.room()
-                    cache[key] = index.score(index.vote(index.nearest(index.vector(dict(key))))) < THRESHOLD
+                    cache[key] = index.score(index.vote(index.nearest(index.vector(*_known(text, terms))))) < THRESHOLD
                 kept.append(cache[key])
             yield batch.filter(pa.array(kept, pa.bool_()))
 

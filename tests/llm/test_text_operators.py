@@ -310,6 +310,15 @@ def test_toxicity_of_edge_rows_ignores_other_columns(spark):
     assert kept.count() == found.where("predicted = 0").count()
 
 
+def test_toxicity_finds_neighbours_without_telling_terms(spark):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(20)) + " and") for i in range(60)]
+    documents = frame(spark, [*rows, *[(100 + i, text + " other") for i, text in rows]])
+    labels = spark.createDataFrame([(i, i % 6 // 5) for i, _ in rows], "doc_id long, toxic int")
+    found = {r["doc_id"]: r["evidence"] for r in toxicity.score_documents(documents, labels).collect()}
+    training = [i for i, _ in rows if fold(i, toxicity.FOLDS) != toxicity.HELD_OUT]
+    assert training and all(found[100 + i][0] == i for i in training)
+
+
 def test_exact_neighbours_equal_a_full_scan():
     draw = random.Random(6)
     vectors, labels = [], []
