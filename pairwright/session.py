@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,3 +58,33 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
         context.setCheckpointDir(shared_folder(spark))
     return frame.checkpoint(eager=True)
 
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Rounds:
+    """The tables of an iterative job, written to the shared folder one round after the other.
+
+    A written table has a known size. A checkpoint keeps the size its plan was estimated at, which for joins of joins squares
+    with every round until planning itself takes the time. Each round replaces the one before it.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.folder = f"{shared_folder(spark)}/rounds-{uuid.uuid4().hex}"
+        self.round = 0
+
+    def keep(self, frame: DataFrame) -> DataFrame:
+        """Write ``frame``, made from the round before, and forget that round."""
+        self.round += 1
+        frame.write.parquet(f"{self.folder}/{self.round}")
+        delete_folder(self.spark, f"{self.folder}/{self.round - 1}")
+        return self.spark.read.parquet(f"{self.folder}/{self.round}")
+
+    def close(self, frame: DataFrame) -> DataFrame:
+        """The result as a checkpoint, which is removed with its last reference, and no table left behind."""
+        frame = cut_lineage(frame)
+        delete_folder(self.spark, self.folder)
+        return frame
