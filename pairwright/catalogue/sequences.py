@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from pairwright.catalogue.registry import query
 from pairwright.functions.scalars import epoch_micros
-from pairwright.operators import sequence
-from pairwright.operators.keyed import blocked_window
+from pairwright.operators import automata, sequence
+from pairwright.operators.keyed import blocked_window, over_groups
 from pairwright.sources.tables import table
 
 
@@ -178,3 +178,78 @@ def late_activity(spark, sf):
         events, "user_id", ["ts", "event_id"], F.col("event_type") == "purchase", ["event_id"]
     )
     return late.select("event_id", "user_id", "event_type")
+
+
+RECIPE_SQL = """lines as (select l_orderkey, l_partkey, l_suppkey, l_returnflag, row_number() over w - 1 as p, count(*) over (partition by l_orderkey) as n
+         from lineitem window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice)),
+       kinds as (select o_orderkey, case o_orderstatus when 'F' then 'A' when 'O' then 'N' else 'R' end as wanted,
+         (['checked', 'value', 'other', 'none'])[o_custkey % 7 % 4 + 1] as setup, case when o_orderkey % 2 = 1 then (['value', 'checked', 'other', 'none'])[o_custkey % 5 % 4 + 1] end as entry from orders),
+       acts as (select l_orderkey, p, case when p = 0 then if(l_suppkey % 13 = 0, 'k', 'f') when p = n - 1 then if(l_suppkey % 17 = 0, 't', 'c') when p = n - 2 then if(l_partkey % 19 = 0, 's', 't')
+         when l_partkey % 8 < 3 then 's' when l_partkey % 8 = 3 then 't' when l_partkey % 8 < 6 then 'k' when l_returnflag = wanted then 'x' else 'y' end as letter
+         from lines join kinds on l_orderkey = o_orderkey)"""
+
+
+def recipe_actions(spark, sf):
+    """Lines of an order as the actions of a workflow: positions, letters bound to what the order expects."""
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    lines = table(spark, sf, "lineitem").select("l_orderkey", *order, "l_returnflag")
+    placed = blocked_window(lines, ["l_orderkey"], order, F.expr("l_linenumber div 65536"), position="p")
+    status, customer = F.col("o_orderstatus"), F.col("o_custkey")
+    setup = F.array(*map(F.lit, ("checked", "value", "other", "none")))[(customer % 7 % 4).cast("int")]
+    entry = F.array(*map(F.lit, ("value", "checked", "other", "none")))[(customer % 5 % 4).cast("int")]
+    grammar = F.when(F.col("o_orderkey") % 2 == 1, F.concat_ws("/", setup, entry)).otherwise(setup)
+    wanted = F.when(status == "F", "A").when(status == "O", "N").otherwise("R")
+    workflows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), grammar.alias("grammar"), wanted.alias("wanted"))
+    rows = over_groups(placed, ["l_orderkey"], spread=["p"], n=F.count(F.lit(1))).join(workflows.select("l_orderkey", "wanted"), "l_orderkey")
+    part, supplier, p, n = F.col("l_partkey"), F.col("l_suppkey"), F.col("p"), F.col("n")
+    letter = (
+        F.when(p == 0, F.when(supplier % 13 == 0, "k").otherwise("f"))
+        .when(p == n - 1, F.when(supplier % 17 == 0, "t").otherwise("c"))
+        .when(p == n - 2, F.when(part % 19 == 0, "s").otherwise("t"))
+        .when(part % 8 < 3, "s")
+        .when(part % 8 == 3, "t")
+        .when(part % 8 < 6, "k")
+        .when(F.col("l_returnflag") == F.col("wanted"), "x")
+        .otherwise("y")
+    )
+    return rows.select("l_orderkey", "p", "n", letter.alias("letter")), workflows
+
+
+@query(
+    "recipe_automaton",
+    f"""with {RECIPE_SQL}, s as (select o_orderkey, setup, entry, coalesce(string_agg(letter, '' order by p), '') as s from kinds left join acts on l_orderkey = o_orderkey group by all),
+         g as (select *, case coalesce(entry, setup) when 'checked' then 's' when 'value' then '([sk]+|x)' when 'other' then '[sk]+' else '!' end
+               || case when entry is null then '' else 't' || case setup when 'checked' then 's' when 'none' then '!' else '[sk]+' end end as middle from s)
+       select o_orderkey as l_orderkey, length(s) as n_actions, 'recipe.action_recipe' as code from g where not regexp_full_match(s, 'f' || middle || 'tc')""",
+)
+def recipe_automaton(spark, sf):
+    rows, workflows = recipe_actions(spark, sf)
+    return automata.recipe_issues(rows, workflows, ["l_orderkey"], "p", "letter", "grammar")
+
+
+@query(
+    "pilot_schedule",
+    """with a as (select l_orderkey, count(*) as n from lineitem group by 1),
+            s as (select l_orderkey, unnest([{'o': 0, 'k': 'initial_state', 'a': -1}, {'o': 1, 'k': if(l_orderkey % 11 = 0, 'post_primary_action', 'pre_primary_action'), 'a': n - 2},
+                    {'o': 2, 'k': 'post_primary_action', 'a': if(l_orderkey % 7 = 0, n, n - 1)}, {'o': 3, 'k': 'initial_state', 'a': n}]) as c, n from a),
+            t as (select l_orderkey, c.o as o, c.k as k, c.a as a, n from s where (c.o < 3 or l_orderkey % 13 = 0) and not (l_orderkey % 5 = 0 and c.o = 1) and l_orderkey % 17 > 0)
+       select a.l_orderkey, count(o) as n_checkpoints, 'schedule.pilot' as code from a left join t using (l_orderkey) group by a.l_orderkey
+       having not coalesce(count(o) = 3 and count_if((o = 0 and k = 'initial_state' and a = -1) or (o = 1 and k = 'pre_primary_action' and a = t.n - 2) or (o = 2 and k = 'post_primary_action' and a = t.n - 1)) = 3, false)""",
+)
+def pilot_schedule(spark, sf):
+    key = F.col("l_orderkey")
+    actions = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_actions"))
+    n = F.col("n_actions")
+
+    def checkpoint(ordinal, name, after):
+        return F.struct(F.lit(ordinal).alias("ordinal"), name.alias("key"), after.cast("long").alias("after"))
+
+    made = F.array(
+        checkpoint(0, F.lit("initial_state"), F.lit(-1)),
+        checkpoint(1, F.when(key % 11 == 0, "post_primary_action").otherwise("pre_primary_action"), n - 2),
+        checkpoint(2, F.lit("post_primary_action"), F.when(key % 7 == 0, n).otherwise(n - 1)),
+        checkpoint(3, F.lit("initial_state"), n),
+    )
+    rows = actions.select("l_orderkey", F.explode(made).alias("c")).select("l_orderkey", "c.*")
+    told = rows.where("(ordinal < 3 or l_orderkey % 13 = 0) and not (l_orderkey % 5 = 0 and ordinal = 1) and l_orderkey % 17 > 0")
+    return sequence.pilot_schedule_issues(told, actions, "l_orderkey", "ordinal", "key", "after")

@@ -72,6 +72,29 @@ def schedule_issues(
     )
 
 
+# Checkpoints of a pilot workflow, in order, with how many actions before the end of the plan they stand (None: before the first).
+PILOT_CHECKPOINTS = (("initial_state", None), ("pre_primary_action", 2), ("post_primary_action", 1))
+
+
+def pilot_schedule_issues(schedule: DataFrame, actions: DataFrame, plan: str, ordinal: str, key: str, after: str) -> DataFrame:
+    """``(plan, n_checkpoints, code)`` of the plans whose schedule is not exactly (-1, n - 2, n - 1) under the fixed keys.
+
+    ``actions`` has one row per plan with ``n_actions``; a plan without any checkpoint is a violation. Both tables meet in one aggregation of
+    conditional values, so a schedule is never ordered or collected.
+    """
+    at = {k: F.when((F.col(ordinal) == k) & (F.col(key) == name), F.col(after)) for k, (name, _) in enumerate(PILOT_CHECKPOINTS)}
+    nothing = F.lit(None).cast("long")
+    told = schedule.select(plan, nothing.alias("_n"), F.lit(1).alias("_row"), *[value.cast("long").alias(f"_{k}") for k, value in at.items()])
+    sized = actions.select(plan, F.col("n_actions").cast("long").alias("_n"), F.lit(0).alias("_row"), *[nothing.alias(f"_{k}") for k in at])
+    facts = told.unionByName(sized).groupBy(plan).agg(
+        F.max("_n").alias("_n"), F.sum("_row").alias("n_checkpoints"), *[F.max(f"_{k}").alias(f"_{k}") for k in at]
+    )
+    exact = F.col("n_checkpoints") == len(PILOT_CHECKPOINTS)
+    for k, (_, left) in enumerate(PILOT_CHECKPOINTS):
+        exact = exact & F.col(f"_{k}").eqNullSafe(F.lit(-1) if left is None else F.col("_n") - left)
+    return facts.where(F.col("_n").isNotNull() & ~exact).select(plan, "n_checkpoints", F.lit("schedule.pilot").alias("code"))
+
+
 def step_statuses(rows: DataFrame, trace: str, order: Sequence[str], failed: Column) -> DataFrame:
     """``status``: satisfied before the first failure, unsatisfied at it, not_reached after.
 
