@@ -14,19 +14,21 @@ from pairwright.sources.tables import table
 
 @query(
     "shingle_jaccard",
-    r"""with t as (select source, lang, list_filter(regexp_split_to_array(text, '[ \t\r\n]+'), lambda x: x <> '') as w from documents),
-            s as (select source, lang, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) as h from t where len(w) >= 5),
-            h as (select distinct 'all' as language, source, h from s union all select distinct lang, source, h from s),
-            z as (select language, source, count(*) as n from h group by 1, 2),
-            p as (select a.language, a.source as "left", b.source as "right", count(*) as n_both from h a join h b on a.language = b.language and a.h = b.h and a.source < b.source group by 1, 2, 3)
-       select p.language, p."left", p."right", x.n as n_left, y.n as n_right, n_both, floor(n_both * 1000000 / (x.n + y.n - n_both))::bigint as jaccard_ppm,
-              n_both >= (case when p.language = 'all' then 0.02 else 0.03 end)::double * (x.n + y.n - n_both) as flagged
-       from p join z x on p.language = x.language and p."left" = x.source join z y on p.language = y.language and p."right" = y.source""",
+    r"""with t as (select doc_id as app, lang, list_filter(regexp_split_to_array(text, '[ \t\r\n]+'), lambda x: x <> '') as w from documents),
+            s as (select app, lang, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) as h from t where len(w) >= 5),
+            h as (select distinct 'all' as language, app, h from s union all select distinct lang, app, h from s),
+            z as (select language, app, count(*) as n, sha256(string_agg(h, chr(10) order by h)) as d from h group by 1, 2),
+            f as (select *, min(app) over (partition by language, d) as first from z),
+            k as (select h.language, h.app, h.h, n from h join f on h.language = f.language and h.app = f.app where f.app = first),
+            p as (select a.language, a.app as "left", b.app as "right", a.n as n_left, b.n as n_right, count(*) as n_both
+                  from k a join k b on a.language = b.language and a.h = b.h and a.app < b.app group by all
+                  union all select language, first, app, n, n, n from f where app <> first)
+       select *, n_both * 1000000 // (n_left + n_right - n_both) as jaccard_ppm from p
+       where n_both * 1000000 >= (case when language = 'all' then 550000 else 700000 end) * (n_left + n_right - n_both)""",
 )
 def shingle_jaccard(spark, sf):
-    # the given prose is far from any real threshold, so the report uses low ones
-    documents = table(spark, sf, "documents").select("source", "lang", "text")
-    return V.shingle_similarity(documents, "source", "lang", "text", 0.02, 0.03)
+    # a document stands for an application
+    return V.shingle_similarity(table(spark, sf, "documents"), "doc_id", "lang", "text")
 
 
 PAIRS_SQL = """p as (select a.vec_id // 2 as pair, a.embedding::double[] as x, b.embedding::double[] as y from embeddings a join embeddings b on a.vec_id // 2 = b.vec_id // 2

@@ -53,6 +53,12 @@ def _counted_hot_hashes(groups: DataFrame, keys: Sequence[str], size: str) -> Co
     return large.agg(F.coalesce(F.collect_list(_key_hash(keys)), F.array().cast("array<bigint>"))).scalar()
 
 
+def large_keys(groups: DataFrame, keys: Sequence[str], size: str, total: int) -> Column:
+    """``hot`` for ``attach`` from known group sizes and the number of rows: no more than 1 / HOT_SHARE keys pass."""
+    large = groups.where(F.col(size) > HOT_SHARE * total)
+    return large.agg(F.coalesce(F.collect_list(_key_hash(keys)), F.array().cast("array<bigint>"))).scalar()
+
+
 def _aligned(frame: DataFrame, types: Mapping) -> DataFrame:
     differing = {key: F.col(key).cast(kind) for key, kind in types.items() if frame.schema[key].dataType != kind}
     return frame.withColumns(differing) if differing else frame

@@ -8,9 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.functions.binding import let
-from pairwright.operators.keyed import attach
-from pairwright.plans.factorial import dimension
-from pairwright.session import cut_lineage
+from pairwright.operators.setjoin import PPM, similar_sets
 
 # Shingle width, similarity thresholds for review flags.
 SHINGLE_TOKENS = 5
@@ -18,7 +16,6 @@ AGGREGATE_THRESHOLD = 0.55
 LANGUAGE_THRESHOLD = 0.70
 LAYOUT_THRESHOLD = 0.90
 STRUCTURE_THRESHOLD = 0.92
-WORD_BITS = 64
 ALL_LANGUAGES = "all"
 
 
@@ -50,68 +47,19 @@ def shingle_similarity(
     aggregate_threshold: float = AGGREGATE_THRESHOLD,
     language_threshold: float = LANGUAGE_THRESHOLD,
 ) -> DataFrame:
-    """Jaccard similarity of application pairs, over all languages and per language.
+    """Application pairs whose shingle sets reach a Jaccard threshold, over all languages and per language.
 
-    ``(language, left, right, n_left, n_right, n_both, jaccard_ppm, flagged)`` for pairs that share a
-    shingle. Applications are numbered, so the owners of a shingle are words of bits that combine before
-    the shuffle. Equal owner sets are counted before pairs are formed: boilerplate held by every
-    application costs one row.
+    ``(language, left, right, n_left, n_right, n_both, jaccard_ppm)``; applications with equal sets are paired with the smallest of them
+    alone. Texts are the whole texts of an application; null ones have no shingles.
     """
-    applications = cut_lineage(dimension(documents, application))
-    named = documents.select(application, language, text)
-    numbered = attach(named, applications, [application], spread=[text], hot_from=documents.select(application))
-    bit = F.expr(f"shiftleft(1L, cast(_at % {WORD_BITS} as int))")
-    held = numbered.select(
-        F.col(language).alias("language"),
-        F.expr(f"_at div {WORD_BITS}").alias("_word"),
-        bit.alias("_bits"),
-        F.explode(shingles(F.col(text))).alias("_s"),
-    ).select("language", "_word", "_bits", F.col("_s.a").alias("_a"), F.col("_s.b").alias("_b"))
-    per_language = held.groupBy("language", "_a", "_b", "_word").agg(F.bit_or("_bits").alias("_bits"))
-    overall = per_language.groupBy("_a", "_b", "_word").agg(F.bit_or("_bits").alias("_bits"))
-    owners = per_language.unionByName(overall.withColumn("language", F.lit(ALL_LANGUAGES)))
-    word = F.struct("_word", "_bits")
-    # one word for every WORD_BITS applications that hold a shingle
-    owners = owners.groupBy("language", "_a", "_b").agg(F.array_sort(F.collect_list(word)).alias("_words"))
-    signatures = owners.groupBy("language", "_words").agg(F.count(F.lit(1)).alias("_n"))
-    sets = cut_lineage(signatures.select("language", "_n", _members(F.col("_words")).alias("_owners")))
-    sizes = (
-        sets.select("language", "_n", F.explode("_owners").alias("_at"))
-        .groupBy("language", "_at")
-        .agg(F.sum("_n").alias("_size"))
-        .join(applications, "_at")
-    )
-    lefts = sets.where(F.size("_owners") > 1).select(
-        "language", "_n", "_owners", F.posexplode("_owners").alias("_pos", "_left")
-    )
-    rest = F.slice(F.col("_owners"), F.col("_pos") + 2, F.size("_owners"))
-    pairs = lefts.select("language", "_n", "_left", F.explode(rest).alias("_right"))
-    shared = pairs.groupBy("language", "_left", "_right").agg(F.sum("_n").alias("n_both"))
-
-    def side(at: str, name: str):
-        return sizes.select(
-            "language", F.col("_at").alias(at), F.col(application).alias(name), F.col("_size").alias(f"n_{name}")
-        )
-
-    sized = shared.join(side("_left", "left"), ["language", "_left"]).join(side("_right", "right"), ["language", "_right"])
-    union = F.col("n_left") + F.col("n_right") - F.col("n_both")
-    ppm = F.floor(F.col("n_both") * 1_000_000 / union).cast("long")
-    threshold = F.when(F.col("language") == ALL_LANGUAGES, aggregate_threshold).otherwise(language_threshold)
-    return sized.select(
-        "language", "left", "right", "n_left", "n_right", "n_both", ppm.alias("jaccard_ppm"),
-        (F.col("n_both") >= threshold * union).alias("flagged"),
-    )
-
-
-def _members(words: Column) -> Column:
-    """Application numbers, ascending, of an owner set kept as (word, bits) pairs."""
-
-    def of_word(word: Column) -> Column:
-        offsets = F.sequence(F.lit(0), F.lit(WORD_BITS - 1))
-        present = F.filter(offsets, lambda i: F.getbit(word["_bits"], i) == 1)
-        return F.transform(present, lambda i: word["_word"] * WORD_BITS + i)
-
-    return F.flatten(F.transform(words, of_word))
+    held = documents.select(
+        F.col(language).alias("language"), F.col(application).alias("application"), F.explode(shingles(F.col(text))).alias("_s")
+    ).select("language", "application", F.col("_s.a").alias("_a"), F.col("_s.b").cast("long").alias("_b"))
+    per_language = held.distinct()
+    overall = per_language.select(F.lit(ALL_LANGUAGES).alias("language"), "application", "_a", "_b").distinct()
+    limits = [round(threshold * PPM) for threshold in (aggregate_threshold, language_threshold)]
+    limit = F.when(F.col("language").eqNullSafe(ALL_LANGUAGES), limits[0]).otherwise(limits[1])
+    return similar_sets(per_language.unionByName(overall), "language", "application", ["_a", "_b"], limit)
 
 
 def matched_vectors(vectors: DataFrame, pair: Column, is_baseline: Column, vector: str) -> DataFrame:

@@ -76,11 +76,12 @@ class Rounds:
         self.folder = f"{shared_folder(spark)}/rounds-{uuid.uuid4().hex}"
         self.round = 0
 
-    def keep(self, frame: DataFrame) -> DataFrame:
-        """Write ``frame``, made from the round before, and forget that round."""
+    def keep(self, frame: DataFrame, forget: bool = True) -> DataFrame:
+        """Write ``frame``, made from the round before, and ``forget`` that round."""
         self.round += 1
         frame.write.parquet(f"{self.folder}/{self.round}")
-        delete_folder(self.spark, f"{self.folder}/{self.round - 1}")
+        if forget:
+            delete_folder(self.spark, f"{self.folder}/{self.round - 1}")
         return self.spark.read.parquet(f"{self.folder}/{self.round}")
 
     def close(self, frame: DataFrame) -> DataFrame:

@@ -108,8 +108,8 @@ def test_star_edges_are_linear(spark):
     assert graph.star_edges(members, "g", "n").count() == 499
 
 
-@pytest.mark.parametrize("applications", [5, 70])
-def test_shingles_match_brute_force(spark, applications):
+@pytest.mark.parametrize(("applications", "overall", "within"), [(5, 1e-6, 1e-6), (70, 1e-6, 1e-6), (70, 0.3, 0.2), (40, 0.55, 0.7)])
+def test_shingles_match_brute_force(spark, applications, overall, within):
     draw = random.Random(applications)
     words = [f"w{i}" for i in range(6)]
     docs = [(f"app{i % applications:02}", draw.choice(["x", "y"]), " ".join(draw.choices(words, k=draw.randrange(2, 12)))) for i in range(2 * applications)]
@@ -124,9 +124,10 @@ def test_shingles_match_brute_force(spark, applications):
         both = len(sets[la, a] & sets[lb, b])
         if la == lb and a < b and both:
             union = len(sets[la, a] | sets[lb, b])
-            expected[la, a, b] = (len(sets[la, a]), len(sets[lb, b]), both, both * 1_000_000 // union)
+            if both >= (overall if la == "all" else within) * union:
+                expected[la, a, b] = (len(sets[la, a]), len(sets[lb, b]), both, both * 1_000_000 // union)
     frame = spark.createDataFrame(docs, "app string, lang string, text string")
-    found = similarity.shingle_similarity(frame, "app", "lang", "text")
+    found = similarity.shingle_similarity(frame, "app", "lang", "text", overall, within)
     assert {(r["language"], r["left"], r["right"]): (r["n_left"], r["n_right"], r["n_both"], r["jaccard_ppm"]) for r in found.collect()} == expected
 
 
