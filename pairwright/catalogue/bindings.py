@@ -24,35 +24,52 @@ GROUP_DOMAIN = "pairwright:customer-group:v1"
 
 @query(
     "pair_binding",
-    f"""with v as (select o_orderkey, o_custkey, o_orderstatus, sha256({order_body_sql()}) as d from orders),
-             s as (select o_orderkey, sha256({order_body_sql("case when " + STALE_SQL + " then " + TOTAL_SQL + " + 1 else " + TOTAL_SQL + " end")}) as d,
-                     case when o_orderpriority = '5-LOW' then o_custkey + 1 else o_custkey end as c from orders)
-        select o_orderkey, code from (
-          select v.o_orderkey, 'pair.manifest_digest' as code from v join s on v.o_orderkey = s.o_orderkey where v.d <> s.d
-          union all select v.o_orderkey, 'pair.group' from v join s on v.o_orderkey = s.o_orderkey
-          where 'idsg1_' || sha256('{GROUP_DOMAIN}' || chr(0) || '{{"o_custkey":' || v.o_custkey || '}}')
-             <> 'idsg1_' || sha256('{GROUP_DOMAIN}' || chr(0) || '{{"o_custkey":' || s.c || '}}'))""",
+    f"""with v as (select o_orderkey, o_custkey, o_orderpriority as p, sha256({order_body_sql()}) as d from orders where o_orderkey % 41 <> 7),
+             s as (select o_orderkey, sha256({order_body_sql("case when " + STALE_SQL + " then " + TOTAL_SQL + " + 1 else " + TOTAL_SQL + " end")}) as d, o_orderkey % 37 = 5 as moved,
+                     case when o_orderpriority = '5-LOW' then o_custkey + 1 else o_custkey end as c, case when o_orderkey % 31 = 3 then 'x' else o_orderpriority end as p
+                   from orders where o_orderkey % 43 <> 9),
+             j as (select v.o_orderkey, v.d <> s.d as manifest, v.o_custkey <> s.c as grp, v.p <> s.p as state, moved from v join s on v.o_orderkey = s.o_orderkey),
+             a as (select distinct l_orderkey from lineitem where l_partkey % 53 = 8 and l_linestatus = 'F')
+        select coalesce(v.o_orderkey, s.o_orderkey) as o_orderkey, 'pair.evidence_id' as code from v full join s on v.o_orderkey = s.o_orderkey where v.d is null or s.d is null
+        union all select o_orderkey, 'pair.manifest_digest' from j where manifest
+        union all select o_orderkey, 'pair.source_state_group' from j where grp
+        union all select o_orderkey, 'pair.source_state_identity' from j where state
+        union all select o_orderkey, 'pair.mutation_family_group' from j where moved
+        union all select l_orderkey, 'pair.cas_overlap' from a""",
 )
 def pair_binding(spark, sf):
     orders = table(spark, sf, "orders")
 
-    def group(customer):
-        return domain_id("idsg1_", GROUP_DOMAIN, canonical_json({"o_custkey": customer}))
+    def identity(field, value):
+        return domain_id("idsg1_", GROUP_DOMAIN, canonical_json({field: value}))
 
-    total = cents(F.col("o_totalprice"))
-    visible = orders.select(
-        "o_orderkey",
-        sha256_hex(canonical_json(order_fields())).alias("manifest"),
-        group(F.col("o_custkey")).alias("group"),
+    total, key = cents(F.col("o_totalprice")), F.col("o_orderkey")
+    visible = orders.where("o_orderkey % 41 <> 7").select(
+        "o_orderkey", sha256_hex(canonical_json(order_fields())).alias("manifest"), "o_custkey", identity("state", F.col("o_orderpriority")).alias("state")
     )
     customer = F.when(F.col("o_orderpriority") == "5-LOW", F.col("o_custkey") + 1).otherwise(F.col("o_custkey"))
-    sealed = orders.select(
+    sealed = orders.where("o_orderkey % 43 <> 9").select(
         "o_orderkey",
         sha256_hex(canonical_json(order_fields(F.when(stale(), total + 1).otherwise(total)))).alias("bound_manifest"),
-        group(customer).alias("bound_group"),
+        identity("o_custkey", customer).alias("source_group"),
+        F.when(key % 31 == 3, "x").otherwise(F.col("o_orderpriority")).alias("source"),
+        F.col("o_orderstatus").alias("family"),
+        identity("family", F.when(key % 37 == 5, "other").otherwise(F.col("o_orderstatus"))).alias("family_group"),
     )
-    bound = {"pair.manifest_digest": ("manifest", "bound_manifest"), "pair.group": ("group", "bound_group")}
-    return bindings.pair_binding(visible, sealed, ["o_orderkey"], bound)
+    bound = {
+        "pair.manifest_digest": (F.col("manifest"), F.col("bound_manifest")),
+        "pair.source_state_identity": (F.col("state"), identity("state", F.col("source"))),
+        "pair.source_state_group": (identity("o_custkey", F.col("o_custkey")), F.col("source_group")),
+    }
+    own = {"pair.mutation_family_group": F.col("family_group") != identity("family", F.col("family"))}
+    lines = table(spark, sf, "lineitem")
+    salt = F.when((F.col("l_partkey") % 53 == 8) & (F.col("l_linestatus") == "F"), "").otherwise("sealed")
+
+    def refs(*parts):
+        body = F.concat_ws(":", *parts, *[F.col(c).cast("string") for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")])
+        return lines.select(F.col("l_orderkey").alias("o_orderkey"), sha256_hex(body).alias("digest"))
+
+    return bindings.pair_binding(visible, sealed, ["o_orderkey"], bound, own, (refs(F.lit("")), refs(salt), "digest"))
 
 
 @query(
@@ -120,16 +137,19 @@ def field_binding(spark, sf):
 
 @query(
     "first_mismatch",
-    f"""with l as (select o_orderkey, {TOTAL_SQL} as t, o_orderstatus as s from orders), r as ({ALTERED_SQL}),
+    f"""with l as (select o_orderkey, {TOTAL_SQL} as t, o_orderstatus as s from orders), r as ({ALTERED_SQL}), z as (select max(o_orderkey) as z from orders),
              d as (select l.o_orderkey, 'total_cents' as field, t::varchar as left_value, total_cents::varchar as right_value
                    from l join r on l.o_orderkey = r.o_orderkey where t is distinct from total_cents
                    union all select l.o_orderkey, 'o_orderstatus', s, o_orderstatus from l join r on l.o_orderkey = r.o_orderkey where s is distinct from o_orderstatus),
              k as (select * from d where o_orderkey % 5 <> 1 union all select o_orderkey, '', 'present', null from l where o_orderkey % 5 = 1)
-        select * from k order by o_orderkey, field limit 1""",
+        select k.* from k, z where o_orderkey * 10 > z * 9 order by o_orderkey, field limit 1""",
 )
 def first_mismatch(spark, sf):
     left, right = order_versions(spark, sf)
-    return bindings.first_mismatch(["o_orderkey"], left, right.where("o_orderkey % 5 <> 1"), ORDER_FIELDS, "o_orderkey")
+    # both sides agree up to the last tenth of the keys
+    late = F.col("o_orderkey") * 10 > left.agg(F.max("o_orderkey")).scalar() * 9
+    right = left.where(~late).unionByName(right.where(late & (F.col("o_orderkey") % 5 != 1)))
+    return bindings.first_mismatch(["o_orderkey"], left, right, ORDER_FIELDS, "o_orderkey")
 
 
 @query(

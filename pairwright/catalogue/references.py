@@ -203,16 +203,17 @@ def dangling_refs(spark, sf):
 
 @query(
     "set_difference",
-    """with c as (select distinct c_nationkey as nationkey from customer where c_acctbal > 9800),
-            s as (select distinct s_nationkey as nationkey from supplier)
-       select coalesce(c.nationkey, s.nationkey) as nationkey,
-              case when s.nationkey is null then 'left_only' when c.nationkey is null then 'right_only' else 'both' end as side
-       from c full join s on c.nationkey = s.nationkey""",
+    """with c as (select distinct c_custkey as custkey from customer),
+            o as (select distinct case when o_orderkey % 97 = 5 then o_custkey + 100000000 else o_custkey end as custkey from orders)
+       select coalesce(c.custkey, o.custkey) as custkey,
+              case when o.custkey is null then 'left_only' when c.custkey is null then 'right_only' else 'both' end as side
+       from c full join o on c.custkey = o.custkey""",
 )
 def set_difference(spark, sf):
-    customers = table(spark, sf, "customer").where("c_acctbal > 9800").select(F.col("c_nationkey").alias("nationkey"))
-    suppliers = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("nationkey"))
-    return bindings.set_difference(["nationkey"], customers, suppliers)
+    customers = table(spark, sf, "customer").select(F.col("c_custkey").alias("custkey"))
+    # some orders name a customer that does not exist
+    named = F.when(F.col("o_orderkey") % 97 == 5, F.col("o_custkey") + 100_000_000).otherwise(F.col("o_custkey"))
+    return bindings.set_difference(["custkey"], customers, table(spark, sf, "orders").select(named.alias("custkey")))
 
 
 @query(

@@ -253,3 +253,42 @@ def pilot_schedule(spark, sf):
     rows = actions.select("l_orderkey", F.explode(made).alias("c")).select("l_orderkey", "c.*")
     told = rows.where("(ordinal < 3 or l_orderkey % 13 = 0) and not (l_orderkey % 5 = 0 and ordinal = 1) and l_orderkey % 17 > 0")
     return sequence.pilot_schedule_issues(told, actions, "l_orderkey", "ordinal", "key", "after")
+
+
+@query(
+    "trace_replay",
+    """with p as (select user_id, event_id, row_number() over (partition by user_id order by event_id) - 1 as o from events),
+            w as (select p.*, case when event_id % 61 = 5 then event_id + 1 else event_id end as a from p where event_id % 59 <> 3),
+            e as (select user_id, min(o) filter (where event_type = 'error') as f from p join events using (event_id, user_id) group by 1),
+            n as (select user_id, f, case when user_id % 10 = 4 then (select event_id from p where p.user_id = e.user_id and o = 0) when user_id % 10 <> 6 then (select event_id from p where p.user_id = e.user_id and o = f) end as failed,
+                    case when user_id % 10 = 3 then f is not null else f is null end as success from e where user_id % 10 <> 8),
+            s as (select p.user_id, o, event_id, case when f is null or o < f then 'satisfied' when o = f then 'unsatisfied' when event_id % 67 = 9 then 'satisfied' else 'not_reached' end as status
+                  from p join e using (user_id) where event_id % 71 <> 2),
+            d as (select user_id, arg_min(event_id, o) filter (where status = 'unsatisfied') as first from s group by 1),
+            x as (select n.*, coalesce((select min(o) from w where w.user_id = n.user_id and w.a = n.failed), -1) as fa from n),
+            b as (select coalesce(w.user_id, s.user_id) as user_id, coalesce(w.o, s.o) as o, a, s.event_id, status from w full join s on w.user_id = s.user_id and w.o = s.o)
+       select b.user_id, o as ordinal, 'trace.actions' as code from b join x on b.user_id = x.user_id
+       where a is distinct from event_id or status is distinct from case when success or o < fa then 'satisfied' when o = fa then 'unsatisfied' else 'not_reached' end
+       union all select user_id, o, 'trace.outcome' from b where user_id not in (select user_id from n)
+       union all select n.user_id, null, 'trace.derived_success' from n join d on n.user_id = d.user_id where success <> (first is null)
+       union all select n.user_id, null, 'trace.derived_failed_step' from n join d on n.user_id = d.user_id where failed is distinct from first""",
+)
+def trace_replay(spark, sf):
+    events = table(spark, sf, "events").select("user_id", "event_id", "event_type")
+    placed = blocked_window(events, ["user_id"], ["event_id"], F.expr("event_id div 65536"), position="ordinal")
+    event, user = F.col("event_id"), F.col("user_id")
+    changed = F.when(event % 61 == 5, event + 1).otherwise(event)
+    plan = placed.where(event % 59 != 3).select("user_id", "ordinal", changed.alias("action"))
+    marked = over_groups(placed, ["user_id"], spread=["event_id"], fail=F.min(F.when(F.col("event_type") == "error", F.col("ordinal"))))
+    at, fail = F.col("ordinal"), F.col("fail")
+    status = (
+        F.when(fail.isNull() | (at < fail), "satisfied").when(at == fail, "unsatisfied").when(event % 67 == 9, "satisfied").otherwise("not_reached")
+    )
+    steps = marked.where(event % 71 != 2).select("user_id", "ordinal", event.alias("action"), status.alias("status"))
+    truth = marked.groupBy("user_id").agg(
+        F.max("fail").alias("fail"), F.min_by("event_id", "ordinal").alias("opening"), F.max(F.when(at == fail, event)).alias("failing")
+    )
+    failed = F.when(user % 10 == 4, F.col("opening")).when(user % 10 != 6, F.col("failing"))
+    success = F.when(user % 10 == 3, fail.isNotNull()).otherwise(fail.isNull())
+    outcomes = truth.where(user % 10 != 8).select("user_id", success.alias("task_success"), failed.alias("failed_step"))
+    return sequence.trace_replay(plan, steps, outcomes, "user_id", "ordinal", "action", "status", "task_success", "failed_step")

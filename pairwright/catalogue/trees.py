@@ -291,3 +291,32 @@ def child_list_audit(spark, sf):
     )
     every = lists.unionByName(again).unionByName(twice).unionByName(unknown)
     return trees.child_list_issues(nodes.select("node", told.alias("parent"), ignored_nations().alias("ignored")), every, ignored="ignored")
+
+
+@query(
+    "state_values",
+    """with p as (select l_orderkey, l_linenumber, unnest([{'n': 'checked', 'v': case l_returnflag when 'R' then 'mixed' when 'A' then 'true' else 'maybe' end},
+                  {'n': 'expanded', 'v': case when l_quantity > 40 then '7' when l_quantity > 20 then 'true' else 'false' end},
+                  {'n': case when l_suppkey % 9 = 0 then '' when l_suppkey % 9 = 1 then repeat('n', 65) else 'level' end, 'v': 'any'},
+                  {'n': case when l_partkey % 7 = 0 then 'checked' when l_partkey % 7 = 1 then null else 'editable' end, 'v': case when l_tax > 0.04 then 'plaintext' when l_tax > 0.02 then 'none' end},
+                  {'n': 'invalid', 'v': case l_linestatus when 'F' then 'grammar' else 'perhaps' end}]) as p from lineitem),
+            g as (select l_orderkey, l_linenumber, p.n as name, count(*) as c, bool_or(case when p.n = 'checked' then p.v is null or p.v not in ('true', 'false', 'mixed') when p.n = 'expanded' then p.v not in ('true', 'false')
+                    when p.n = 'editable' then p.v is null or p.v not in ('true', 'plaintext', 'richtext', 'false', 'none') when p.n = 'invalid' then p.v not in ('true', 'grammar', 'spelling', 'false') else false end) as bad from p group by all)
+       select l_orderkey, l_linenumber, name, 'accessibility.property_name' as code from g where name is null or length(name) not between 1 and 64
+       union all select l_orderkey, l_linenumber, name, 'accessibility.duplicate_property' from g where c > 1
+       union all select l_orderkey, l_linenumber, name, 'accessibility.state_value' from g where bad""",
+)
+def state_values(spark, sf):
+    def prop(name, value):
+        return F.struct(name.alias("name"), value.alias("value"))
+
+    supplier, part, tax, quantity = F.col("l_suppkey") % 9, F.col("l_partkey") % 7, F.col("l_tax"), F.col("l_quantity")
+    entries = F.array(
+        prop(F.lit("checked"), F.when(F.col("l_returnflag") == "R", "mixed").when(F.col("l_returnflag") == "A", "true").otherwise("maybe")),
+        prop(F.lit("expanded"), F.when(quantity > 40, "7").when(quantity > 20, "true").otherwise("false")),
+        prop(F.when(supplier == 0, "").when(supplier == 1, "n" * 65).otherwise("level"), F.lit("any")),
+        prop(F.when(part == 0, "checked").when(part != 1, "editable"), F.when(tax > 0.04, "plaintext").when(tax > 0.02, "none")),
+        prop(F.lit("invalid"), F.when(F.col("l_linestatus") == "F", "grammar").otherwise("perhaps")),
+    )
+    properties = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.explode(entries).alias("p")).select("l_orderkey", "l_linenumber", "p.*")
+    return trees.state_issues(properties, ["l_orderkey", "l_linenumber"], "name", "value")

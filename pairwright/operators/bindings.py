@@ -103,12 +103,42 @@ def first_mismatch(
 
 
 def pair_binding(
-    visible: DataFrame, sealed: DataFrame, keys: Sequence[str], bound: Mapping[str, tuple[str, str]]
+    visible: DataFrame,
+    sealed: DataFrame,
+    keys: Sequence[str],
+    bound: Mapping[str, tuple[Column, Column]],
+    sealed_only: Mapping[str, Column] | None = None,
+    artifacts: tuple[DataFrame, DataFrame, str] | None = None,
 ) -> DataFrame:
-    """Visible and sealed records of one key must agree on every bound pair of columns."""
-    joined = visible.join(sealed, list(keys))
-    rules = {code: ~F.col(left).eqNullSafe(F.col(right)) for code, (left, right) in bound.items()}
-    return violations(joined, keys, rules)
+    """``(keys..., code)``: do the visible and the sealed record of one key belong together?
+
+    Each record is compared by the ``bound`` pairs of columns (code: visible, sealed), which must be equal, null with null. A record without
+    its other half breaks ``pair.evidence_id`` and nothing else; of repeated records the largest is compared. ``sealed_only`` are
+    conditions that break a code on the sealed side alone. ``artifacts`` are the references of both sides, ``(keys..., digest)``, and
+    the name of the digest: one that both sides hold breaks ``pair.cas_overlap``.
+    """
+    keys = list(keys)
+    sealed_only = dict(sealed_only or {})
+    names = [f"_{k}" for k in range(len(bound))]
+    broken = [f"_broken_{k}" for k in range(len(sealed_only))]
+    fine = F.lit(False)
+    left = visible.select(*keys, *[a.cast("string").alias(n) for n, (a, _) in zip(names, bound.values(), strict=True)], *[fine.alias(n) for n in broken])
+    right = sealed.select(
+        *keys, *[b.cast("string").alias(n) for n, (_, b) in zip(names, bound.values(), strict=True)],
+        *[F.coalesce(rule, fine).alias(n) for n, rule in zip(broken, sealed_only.values(), strict=True)],
+    )
+    both = merge_sides(keys, [*names, *broken], left, right)
+    paired = F.col("l").isNotNull() & F.col("r").isNotNull()
+    rules = {"pair.evidence_id": ~paired}
+    rules |= {code: paired & ~F.col(f"l.{n}").eqNullSafe(F.col(f"r.{n}")) for code, n in zip(bound, names, strict=True)}
+    rules |= {code: paired & F.col(f"r.{n}") for code, n in zip(sealed_only, broken, strict=True)}
+    found = violations(both, keys, rules)
+    if artifacts is None:
+        return found
+    ours, theirs, digest = artifacts
+    held = tally_sides([*keys, digest], visible=ours.where(F.col(digest).isNotNull()), sealed=theirs.where(F.col(digest).isNotNull()))
+    overlap = held.where("n_visible > 0 and n_sealed > 0").select(*keys).distinct()
+    return found.unionByName(overlap.withColumn("code", F.lit("pair.cas_overlap")))
 
 
 def replay_differences(derived: DataFrame, stored: DataFrame, keys: Sequence[str], body: Column) -> DataFrame:

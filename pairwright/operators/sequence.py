@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.operators.keyed import attach, blocked_window, over_groups
+from pairwright.operators.keyed import attach, blocked_window, merge_sides, null_safe_join, over_groups
 from pairwright.operators.rules import violations
 
 
@@ -130,6 +130,45 @@ def trace_issues(rows: DataFrame, trace: str, order: Sequence[str], status: str)
     )
 
 
+def trace_replay(
+    plan: DataFrame, steps: DataFrame, outcomes: DataFrame, trace: str, ordinal: str, action: str, status: str, success: str, failed: str
+) -> DataFrame:
+    """Stored traces against their action plan and recorded outcome: ``(trace, ordinal, code)``.
+
+    ``plan`` and ``steps`` have one row per position, ``outcomes`` one per trace with ``success`` and the ``failed`` action or null. ``trace.actions``: a
+    position that one side lacks, another action, or a status that does not follow from the outcome (satisfied before the failed action of the plan,
+    unsatisfied at it, not_reached after; an unknown failed action stands before all). ``trace.derived_success`` and ``trace.derived_failed_step``
+    (ordinal null): the outcome does not follow from the stored steps. Rows of a trace without outcome, and outcomes without steps, break
+    ``trace.outcome``.
+    """
+    at = F.col(ordinal)
+    nothing = F.lit(None).cast("string")
+    wanted = plan.select(trace, ordinal, F.col(action).cast("string").alias("_action"), nothing.alias("_status"))
+    stored = steps.select(trace, ordinal, F.col(action).cast("string").alias("_action"), F.col(status).alias("_status"))
+    told = outcomes.select(trace, F.col(success).alias("_success"), F.col(failed).cast("string").alias("_failed"), F.lit(True).alias("_told"))
+    fails = attach(wanted, told.where("_failed is not null"), [trace], spread=[ordinal]).where("_action = _failed").groupBy(trace).agg(F.min(at).alias("_at"))
+    derived = stored.groupBy(trace).agg(F.min(F.when(F.col("_status") == "unsatisfied", F.struct(at.alias("o"), F.col("_action").alias("a")))).alias("_first"))
+    facts = null_safe_join(null_safe_join(told, fails, [trace], "left"), derived.withColumn("_kept", F.lit(True)), [trace], "left")
+    first = F.col("_first.a")
+    kept = F.coalesce("_kept", F.lit(False))
+    whole = violations(
+        facts.withColumn(ordinal, F.lit(None).cast(dict(plan.dtypes)[ordinal])),
+        [trace, ordinal],
+        {
+            "trace.derived_success": kept & (F.col("_success") != F.col("_first").isNull()),
+            "trace.derived_failed_step": kept & ~F.col("_failed").eqNullSafe(first),
+            "trace.outcome": ~kept,
+        },
+    )
+    both = merge_sides([trace, ordinal], ["_action", "_status"], wanted, stored)
+    known = attach(both, facts.select(trace, "_success", "_at", "_told"), [trace], how="left", spread=[ordinal])
+    fail = F.coalesce(F.col("_at"), F.lit(-1))
+    expected = F.when(F.col("_success") | (at < fail), "satisfied").when(at == fail, "unsatisfied").otherwise("not_reached")
+    wrong = F.col("l").isNull() | F.col("r").isNull() | ~F.col("l._action").eqNullSafe(F.col("r._action")) | ~F.col("r._status").eqNullSafe(expected)
+    rules = {"trace.actions": F.col("_told") & wrong, "trace.outcome": F.col("_told").isNull()}
+    return violations(known, [trace, ordinal], rules).unionByName(whole)
+
+
 def trace_outcomes(rows: DataFrame, trace: str, order: Sequence[str], status: str, step: str) -> DataFrame:
     """Derived outcome per trace: success and the first unsatisfied step."""
     first = F.min(F.when(F.col(status) == "unsatisfied", F.struct(*order, F.col(step).alias("_step"))))

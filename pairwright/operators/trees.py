@@ -411,6 +411,34 @@ def property_state(name: Column, value: Column) -> Column:
     )
 
 
+# What the value of a property may be; other properties are not looked at.
+STATE_VALUES = {
+    **{name: ("true", "false") for name in (*BOOLEAN_STATES, "expanded")},
+    **{name: ("true", "false", "mixed") for name in TRISTATE},
+    "editable": (*EDITABLE_VALUES, "false", "none"),
+    "invalid": (*INVALID_VALUES, "false"),
+}
+LONGEST_PROPERTY_NAME = 64
+
+
+def state_issues(properties: DataFrame, keys: Sequence[str], name: str, value: str) -> DataFrame:
+    """``(keys..., name, code)``: names that are null, empty or over 64 characters, names a node has twice, and values no state knows.
+
+    A null value of a known property is bad. One row per node, name and code.
+    """
+    table = F.create_map(*[part for key, allowed in STATE_VALUES.items() for part in (F.lit(key), F.array(*map(F.lit, allowed)))])
+    allowed = F.try_element_at(table, F.coalesce(F.col(name), F.lit("")))
+    bad = allowed.isNotNull() & ~F.coalesce(F.array_contains(allowed, F.col(value)), F.lit(False))
+    named = properties.groupBy(*keys, name).agg(F.count(F.lit(1)).alias("_n"), F.bool_or(bad).alias("_bad"))
+    length = F.length(name)
+    rules = {
+        "accessibility.property_name": length.isNull() | ~length.between(1, LONGEST_PROPERTY_NAME),
+        "accessibility.duplicate_property": F.col("_n") > 1,
+        "accessibility.state_value": F.col("_bad"),
+    }
+    return violations(named, [*keys, name], rules)
+
+
 # The closed vocabulary of states, sorted.
 STATES = tuple(
     sorted([*BOOLEAN_STATES, *TRISTATE, *[f"{name}:mixed" for name in TRISTATE], "collapsed", "editable", "expanded", "invalid"])
