@@ -29,6 +29,7 @@ from pairwright.sources.tables import table
 MARK = "▁"
 CACHE_UNITS = 300_000
 CACHE_PAIRS = 500_000
+CACHE_CHARS = 16
 
 _LOADED: dict[str, PieceCodec] = keep({})
 
@@ -40,15 +41,23 @@ class PieceCodec:
         self.pieces = list(pieces)
         self.ids = {piece: i for i, piece in enumerate(pieces) if piece}
         self.scores = list(scores)
+        self.sizes = [len(piece) for piece in self.pieces]
         self.byte_ids = byte_ids
         self.bytes_by_id = {i: value for value, i in byte_ids.items()}
         self.end_id = end_id
         self.known = {char for piece in self.ids for char in piece}
+        self.single = {piece for piece in self.ids if len(piece) == 1}
         self.automaton = ahocorasick.Automaton()
-        for piece, i in self.ids.items():
-            if self._merge(piece) == [i]:
-                self.automaton.add_word(piece, (len(piece), i))
+        whole = {piece: i for piece, i in self.ids.items() if self._merge(piece) == [i]}
+        for piece, i in whole.items():
+            self.automaton.add_word(piece, i)
         self.automaton.make_automaton()
+        # the next shorter piece that starts alike, or -1
+        self.shorter = [-1] * len(self.pieces)
+        for piece, i in whole.items():
+            self.shorter[i] = next((whole[piece[:n]] for n in range(len(piece) - 1, 0, -1) if piece[:n] in whole), -1)
+        self.texts = [str(i) for i in range(max(len(self.pieces), end_id + 1))]
+        self.plain = [bytes([self.bytes_by_id[i]]) if i in self.bytes_by_id else piece.encode() for i, piece in enumerate(self.pieces)]
         if any(MARK in piece.lstrip(MARK) for piece in self.ids):
             raise ValueError("a piece holds the mark inside; units would not be independent")
         cut = "".join(c for c in "\n\t\r" if c not in self.known)
@@ -95,32 +104,35 @@ class PieceCodec:
 
     def _backtrack(self, text: str) -> list[int]:
         """Ids of a text whose characters are all pieces' characters."""
-        starts: list[list[tuple[int, int]]] = [[] for _ in text]
-        for end, (length, i) in self.automaton.iter(text):
-            starts[end - length + 1].append((length, i))
-        failed = bytearray(len(text) + 1)
-        out: list[tuple[int, int, int]] = []  # start, id, place in the list of pieces at start
-        at, choice = 0, len(starts[0]) - 1 if text else -1
-        while at < len(text):
-            options, before = starts[at], out[-1][1] if out else None
-            while choice >= 0:
-                length, i = options[choice]
-                if not failed[at + length] and (before is None or self._compatible(before, i)):
+        size, sizes, shorter, pairs = len(text), self.sizes, self.shorter, self.pairs
+        longest = [-1] * (size + 1)
+        for end, i in self.automaton.iter(text):
+            # matches come by their ends, so the last one from a start is its longest
+            longest[end + 1 - sizes[i]] = i
+        failed = bytearray(size + 1)
+        out: list[int] = []
+        at, i = 0, longest[0]
+        while at < size:
+            before = out[-1] if out else -1
+            while i >= 0:
+                stop = at + sizes[i]
+                if not failed[stop] and (before < 0 or (pairs[before, i] if (before, i) in pairs else self._compatible(before, i))):
                     break
-                choice -= 1
-            if choice >= 0:
-                out.append((at, i, choice))
-                at += length
-                choice = len(starts[at]) - 1 if at < len(text) else -1
+                i = shorter[i]
+            if i >= 0:
+                out.append(i)
+                at, i = stop, longest[stop]
             else:
                 if not out:
                     raise ValueError("the model cannot encode this text")
                 failed[at] = 1
-                at, _, choice = out.pop()
-                choice -= 1
-        return [i for _, i, _ in out]
+                i = out.pop()
+                at, i = at - sizes[i], shorter[i]
+        return out
 
     def _unit_ids(self, unit: str) -> list[int]:
+        if self.single.issuperset(unit):
+            return self._backtrack(unit)
         out, run = [], []
         for char in unit:
             if char in self.ids:
@@ -139,14 +151,16 @@ class PieceCodec:
             return found
         missing = {unit for unit, part in zip(units, found, strict=True) if part is None}
         self.cache.room(len(missing))
+        # long units seldom come again, so only short ones are kept
+        once = {}
         for unit in missing:
             ids = self._unit_ids(unit)
-            self.cache[unit] = (" ".join(map(str, ids)), len(ids), self._bytes(ids))
-        return [part or self.cache[unit] for unit, part in zip(units, found, strict=True)]
+            part = (" ".join(map(self.texts.__getitem__, ids)), len(ids), self._bytes(ids))
+            (self.cache if len(unit) <= CACHE_CHARS else once)[unit] = part
+        return [part or once.get(unit) or self.cache[unit] for unit, part in zip(units, found, strict=True)]
 
     def _bytes(self, ids: Sequence[int]) -> bytes:
-        plain = ((bytes([self.bytes_by_id[i]]) if i in self.bytes_by_id else self.pieces[i].encode()) for i in ids)
-        return b"".join(plain).replace(MARK.encode(), b" ")
+        return b"".join(map(self.plain.__getitem__, ids)).replace(MARK.encode(), b" ")
 
     def _split(self, text: str) -> list[str]:
         return self.units.findall(MARK + text.replace(" ", MARK)) if text else []
