@@ -4,10 +4,12 @@ Fitting, on a bounded sample of ``EXAMPLES`` labelled training documents (the lo
 * terms are all lower-cased words of the examples without surrounding punctuation; a term at least ``LIFT`` times as frequent on one
   side weighs up to 1 + ``TELLING`` times its TF-IDF, rising with its chi-square up to ``CHI_SQUARE``;
 * document frequencies of these terms come from all documents;
-* an inverted index over the examples holds their unit vectors.
+* an inverted index over the examples holds their unit vectors, cut into blocks of like examples; for every term the largest
+  weight in each block is kept.
 
-Scoring: all postings of a text's terms are added up, so the neighbours are exact. Words that no example holds have no part in a
-text's length. Votes are weighted by distance (1 / (1 - cosine + ``NEAR``)) and shrunk towards
+Scoring: blocks are read by falling upper bound (the sum of a text's weights times those maxima) until no block left can reach the
+k-th cosine, so the neighbours are exact. A document that is an example itself is left out of its own vote. Words that no example
+holds have no part in a text's length. Votes are weighted by distance (1 / (1 - cosine + ``NEAR``)) and shrunk towards
 the share of toxic examples. A monotone calibration, fitted on leave-one-out votes of the
 examples, makes the votes probabilities. A document's neighbours are its evidence.
 
@@ -37,6 +39,11 @@ LIFT = 3.0
 TELLING = 8.0
 NEIGHBOURS = 15
 PART = 4096
+BLOCK = 256
+SEEDS = 16
+FIRST_BLOCKS = 2
+WORDS = 200_000
+RESULTS = 20_000
 NEAR = 0.05
 PRIOR_WEIGHT = 1.0
 THRESHOLD = 0.3
@@ -55,22 +62,46 @@ def term_counts(text: bytes | None) -> Counter:
 
 
 class ExampleIndex:
-    """Inverted index over unit-length example vectors, as flat arrays: the postings of a term lie side by side.
+    """Block-max inverted index over unit-length example vectors.
 
+    Examples are put in an order in which alike ones are neighbours (by the nearest of ``SEEDS`` of them) and cut into blocks. The
+    postings of a term lie side by side in that order, so those of one block are a run; for each run its largest weight is kept.
     A vector is its term numbers, rising, and their weights; a dict of them is taken too.
     """
 
     def __init__(self, vectors: list, labels: list[int], idf: np.ndarray) -> None:
         self.labels = np.array(labels, "f8")
         self.idf = idf
-        pairs = [_arrays(v) for v in vectors]
-        terms = np.concatenate([np.zeros(0, "i4"), *[t for t, _ in pairs]])
-        order = np.argsort(terms, kind="stable")
-        self.starts = np.searchsorted(terms[order], np.arange(len(idf) + 1))
-        self.places = np.repeat(np.arange(len(pairs), dtype="i4"), [len(t) for t, _ in pairs])[order]
-        self.weights = np.concatenate([np.zeros(0), *[w for _, w in pairs]])[order]
         self.prior = (sum(labels) + 0.5 * (len(labels) > 0)) / (len(labels) + 1)
         self.levels: tuple[np.ndarray, np.ndarray] = (np.zeros(0), np.zeros(0))
+        pairs = [_arrays(v) for v in vectors]
+        terms = np.concatenate([np.zeros(0, "i4"), *[t for t, _ in pairs]])
+        weights = np.concatenate([np.zeros(0), *[w for _, w in pairs]])
+        owners = np.repeat(np.arange(len(pairs), dtype="i4"), [len(t) for t, _ in pairs])
+        self.order = self._neighbours_together(pairs, terms, weights, owners)
+        at = np.empty(len(pairs), "i4")
+        at[self.order] = np.arange(len(pairs))
+        rank = np.lexsort((at[owners], terms))
+        terms, self.weights, self.places = terms[rank], weights[rank], at[owners][rank]
+        self.blocks = max(1, -(-len(pairs) // BLOCK))
+        keys = terms.astype("i8") * self.blocks + self.places // BLOCK
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, "i8")
+        self.runs = np.r_[first, len(keys)].astype("i4")
+        self.run_block = (keys[first] % self.blocks).astype("i4")
+        self.run_max = np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
+        self.starts = np.searchsorted(terms[first], np.arange(len(idf) + 1))
+
+    @staticmethod
+    def _neighbours_together(pairs: list, terms: np.ndarray, weights: np.ndarray, owners: np.ndarray) -> np.ndarray:
+        nearest, group = np.zeros(len(pairs)), np.zeros(len(pairs), "i4")
+        vector = np.zeros(int(terms.max(initial=-1)) + 1)
+        for k, seed in enumerate(range(0, len(pairs), max(1, len(pairs) // SEEDS))):
+            vector[pairs[seed][0]] = pairs[seed][1]
+            found = np.bincount(owners, weights * vector[terms], len(pairs))
+            vector[pairs[seed][0]] = 0
+            group[found > nearest] = k
+            nearest = np.maximum(nearest, found)
+        return np.lexsort((-nearest, group))
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         weights = (1 + np.log(counts)) * self.idf[terms]
@@ -78,20 +109,35 @@ class ExampleIndex:
         return terms, weights / math.sqrt((weights * weights).sum() or 1.0)
 
     def nearest(self, vector, k: int = NEIGHBOURS, but: int = -1) -> list[tuple[float, int]]:
-        """The k examples of highest positive cosine, ties to the smaller place; ``but`` is left out."""
+        """The k examples of highest positive cosine, ties to the smaller place; ``but`` is left out.
+
+        The maxima of a block's runs bound every cosine in it. Blocks are read by falling bound until none can reach the k-th cosine.
+        """
         terms, weights = _arrays(vector)
-        starts = self.starts[terms]
-        sizes = self.starts[terms + 1] - starts
-        if not sizes.sum():
+        runs, sizes = _ranges(self.starts[terms], self.starts[terms + 1])
+        if not len(runs):
             return []
-        at = np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
-        scores = np.bincount(self.places[at], self.weights[at] * np.repeat(weights, sizes), len(self.labels))
-        if but >= 0:
-            scores[but] = 0
-        least = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
-        found = np.flatnonzero((scores >= least) & (scores > 0))
-        found = found[np.lexsort((found, -scores[found]))][:k]
-        return [(min(1.0, s), place) for s, place in zip(scores[found].tolist(), found.tolist(), strict=True)]
+        asked = np.repeat(weights, sizes)
+        blocks = self.run_block[runs]
+        bounds = np.bincount(blocks, asked * self.run_max[runs], self.blocks)
+        order = np.argsort(-bounds, kind="stable")
+        found, scored, least, at, step = np.zeros(0, "i8"), np.zeros(0), 0.0, 0, FIRST_BLOCKS
+        while at < len(order) and bounds[order[at]] > 0 and bounds[order[at]] >= least - 1e-12:
+            chosen = np.zeros(self.blocks, bool)
+            chosen[order[at : at + step]] = True
+            chosen &= bounds >= least - 1e-12
+            mine = np.flatnonzero(chosen[blocks])
+            here, sizes = _ranges(self.runs[runs[mine]], self.runs[runs[mine] + 1])
+            scores = np.bincount(self.places[here], self.weights[here] * np.repeat(asked[mine], sizes), len(self.labels))
+            new = np.flatnonzero(scores > max(0.0, least - 1e-12))
+            found, scored = np.r_[found, self.order[new]], np.r_[scored, scores[new]]
+            keep = found != but
+            found, scored = found[keep], scored[keep]
+            best = np.lexsort((found, -scored))[:k]
+            found, scored = found[best], scored[best]
+            least = float(scored[-1]) if len(scored) == k else 0.0
+            at, step = at + step, 2 * step
+        return [(min(1.0, s), place) for s, place in zip(scored.tolist(), found.tolist(), strict=True)]
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         weight, toxic = PRIOR_WEIGHT, PRIOR_WEIGHT * self.prior
@@ -154,8 +200,9 @@ def fit_index(documents: DataFrame, labels: DataFrame) -> tuple[dict[bytes, int]
     idf = _inverse_frequencies(documents, terms) * found["weight"].to_numpy()
 
     def count(batches: Iterator[dict]) -> Iterator[dict]:
+        numbers = TermNumbers(terms)
         for batch in batches:
-            known = [_known(text, terms) for text in batch["text"]]
+            known = [_known(text, numbers) for text in batch["text"]]
             yield {"doc_id": batch["doc_id"], "terms": [t.tobytes() for t, _ in known], "counts": [n.tobytes() for _, n in known]}
 
     rows = map_rows(texts, ["doc_id", utf8()], "doc_id long, terms binary, counts binary", count).orderBy("doc_id").collect()
@@ -167,6 +214,12 @@ def fit_index(documents: DataFrame, labels: DataFrame) -> tuple[dict[bytes, int]
     return terms, index, ids
 
 
+def _ranges(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges one after the other, and the length of each range."""
+    sizes = stops - starts
+    return np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes), sizes
+
+
 def _arrays(vector) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(vector, dict):
         terms = sorted(vector)
@@ -174,25 +227,39 @@ def _arrays(vector) -> tuple[np.ndarray, np.ndarray]:
     return vector
 
 
-def _known(text: bytes | None, terms: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+class TermNumbers(BoundedCache):
+    """Numbers of the terms of raw words, -1 for terms that are not indexed; each word is stripped once."""
+
+    def __init__(self, terms: dict[bytes, int]) -> None:
+        super().__init__(WORDS)
+        self.terms = terms
+
+    def __missing__(self, word: bytes) -> int:
+        self.room()
+        number = self[word] = self.terms.get(word.strip(PUNCTUATION), -1)
+        return number
+
+
+def _known(text: bytes | None, numbers: TermNumbers) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the known terms of a text, rising, and their counts."""
-    found = term_counts(text)
-    known = np.array([(terms[term], n) for term, n in found.items() if term in terms], "i4").reshape(-1, 2)
-    known = known[np.argsort(known[:, 0])]
-    return np.ascontiguousarray(known[:, 0]), np.ascontiguousarray(known[:, 1])
+    words = Counter(text.lower().split()) if text else {}
+    found = np.fromiter(map(numbers.__getitem__, words), "i4", len(words))
+    counts = np.fromiter(words.values(), "i4", len(words))
+    terms, at = np.unique(found[found >= 0], return_inverse=True)
+    return terms, np.bincount(at, counts[found >= 0], len(terms)).astype("i4")
 
 
 def _inverse_frequencies(documents: DataFrame, terms: dict[bytes, int]) -> np.ndarray:
     """ln((1 + documents) / (1 + documents with the term)) over all documents; counts travel packed, ``PART`` terms a row."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        seen = np.zeros(len(terms) + 1, "i8")
+        seen, numbers = np.zeros(len(terms) + 1, "i8"), TermNumbers(terms)
         for batch in batches:
             for text in batch["text"]:
                 seen[-1] += 1
                 if text:
-                    words = {word.strip(PUNCTUATION) for word in set(text.lower().split())}
-                    seen[[terms[word] for word in words if word in terms]] += 1
+                    found = set(map(numbers.__getitem__, set(text.lower().split()))) - {-1}
+                    seen[list(found)] += 1
         parts = [at for at in range(0, len(seen), PART) if seen[at : at + PART].any()]
         yield {"part": parts, "counts": [seen[at : at + PART].tobytes() for at in parts]}
 
@@ -210,15 +277,16 @@ def _inverse_frequencies(documents: DataFrame, terms: dict[bytes, int]) -> np.nd
 def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` and the evidence, for every row."""
     terms, index, ids = fit_index(documents, labels)
+    own = {doc_id: place for place, doc_id in enumerate(ids)}
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        cache: BoundedCache = BoundedCache(100_000)
+        cache, numbers = BoundedCache(RESULTS), TermNumbers(terms)
         for batch in batches:
             scores, evidence = [], []
-            for text in batch["text"]:
-                key = hashlib.md5(text or b"").digest()
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+                key = hashlib.md5(text or b"").digest(), own.get(doc_id, -1)
                 if key not in cache:
-                    near = index.nearest(index.vector(*_known(text, terms)))
+                    near = index.nearest(index.vector(*_known(text, numbers)), but=key[1])
                     cache.room()
                     cache[key] = index.score(index.vote(near)), [ids[place] for _, place in near]
                 score, places = cache[key]
@@ -233,18 +301,21 @@ def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not predicted to be toxic, with all their columns."""
-    terms, index, _ = fit_index(documents, labels)
+    terms, index, ids = fit_index(documents, labels)
+    own = {doc_id: place for place, doc_id in enumerate(ids)}
 
     def run(batches):
         tidy("without_toxic")
-        cache: BoundedCache = BoundedCache(100_000)
+        cache, numbers = BoundedCache(RESULTS), TermNumbers(terms)
         for batch in batches:
             kept = []
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                key = hashlib.md5(text or b"").digest()
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
+                key = hashlib.md5(text or b"").digest(), own.get(doc_id, -1)
                 if key not in cache:
                     cache.room()
-                    cache[key] = index.score(index.vote(index.nearest(index.vector(*_known(text, terms))))) < THRESHOLD
+                    near = index.nearest(index.vector(*_known(text, numbers)), but=key[1])
+                    cache[key] = index.score(index.vote(near)) < THRESHOLD
                 kept.append(cache[key])
             yield batch.filter(pa.array(kept, pa.bool_()))
 
