@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pairwright.catalogue.identities import stale, STALE_SQL, TOTAL_SQL, cents, order_id, order_id_sql
 from pairwright.catalogue.registry import query
 from pairwright.functions.canonical import byte_length, reference, sha256_hex
-from pairwright.operators import bindings, refs
+from pairwright.operators import bindings, merkle, refs
 from pairwright.operators.rules import (
     mismatched,
     not_ascending,
@@ -141,6 +141,26 @@ def manifest_digest(spark, sf):
     return refs.manifest_digests(lines, ["l_orderkey"], sha256_hex(line))
 
 
+@query(
+    "manifest_pins",
+    """with l as (select l_returnflag, l_orderkey, l_linenumber, l_partkey, round_even(l_extendedprice * 100, 0)::bigint as c from lineitem),
+            n as (select l_returnflag, sha256(l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || c) as digest from l),
+            p as (select l_returnflag, sha256(l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || case when l_orderkey % 997 = 3 then c + 1 else c end) as digest
+                  from l where l_returnflag <> 'A' and l_orderkey % 1009 <> 4
+                  union all select l_returnflag, sha256(l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || c) from l where l_returnflag = 'A' or l_orderkey % 1013 = 5),
+            b as (select l_returnflag, digest, 1 as a, 0 as z from n union all select l_returnflag, digest, 0, 1 from p)
+       select l_returnflag, digest, sum(a)::bigint as n_now, sum(z)::bigint as n_pin from b group by 1, 2 having sum(a) <> sum(z)""",
+)
+def manifest_pins(spark, sf):
+    lines = table(spark, sf, "lineitem").withColumn("price", cents(F.col("l_extendedprice")))
+    row = sha256_hex(F.concat_ws("|", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "price")]))
+    order = F.col("l_orderkey")
+    # the pin of one package agrees; the others miss rows, hold some twice and hold some with another price
+    changed = lines.where("l_returnflag <> 'A' and l_orderkey % 1009 <> 4").withColumn("price", F.when(order % 997 == 3, F.col("price") + 1).otherwise(F.col("price")))
+    pinned = changed.unionByName(lines.where("l_returnflag = 'A' or l_orderkey % 1013 = 5"))
+    return merkle.pinned_differences(lines, pinned, ["l_returnflag"], row)
+
+
 @query(
     "canonical_order",
     """select sha256, first_owner, row_number() over (order by sha256) - 1 as rank
