@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pairwright.llm import jaccard_join, packing, secrets, suffix_dedup, toxicity
-from pairwright.session import shared_folder
+from pairwright.session import delete_folder, shared_folder
 from pairwright.sources.tables import table
 
 
@@ -45,9 +45,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage; what a stage wrote is removed once the next one has read it, and the last table is the caller's."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}/{name}"
+        folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}-{name}"
         stage(spark, docs, sf_dir).write.parquet(folder)
-        docs = spark.read.parquet(folder)
+        if before is not None:
+            delete_folder(spark, before)
+        docs, before = spark.read.parquet(folder), folder
     return docs
