@@ -11,7 +11,7 @@ from pairwright.catalogue.registry import query
 from pairwright.functions.canonical import byte_length, sha256_hex
 from pairwright.functions.scalars import epoch_micros
 from pairwright.operators import audit
-from pairwright.session import shared_folder
+from pairwright.session import cut_lineage, delete_folder, shared_folder
 from pairwright.sources.tables import table
 from pairwright.streaming import sessions
 from pairwright.streaming.publish import publish_stream
@@ -95,6 +95,13 @@ def scratch(spark) -> str:
     return f"{shared_folder(spark)}/stream-{uuid4().hex}"
 
 
+def settled(spark, rows, folder):
+    """The result of a finished stream, without the tables it was made from."""
+    rows = cut_lineage(rows)
+    delete_folder(spark, folder)
+    return rows
+
+
 @query(
     "stream_publish",
     f"select o_orderkey, {order_id_sql()} as publication_id from orders",
@@ -111,7 +118,7 @@ def stream_publish(spark, sf):
     publish_stream(
         incoming, f"{folder}/store", f"{folder}/checkpoint", "o_orderkey", "publication_id", "ordinal"
     ).awaitTermination()
-    return spark.read.parquet(f"{folder}/store").select("o_orderkey", "publication_id")
+    return settled(spark, spark.read.parquet(f"{folder}/store").select("o_orderkey", "publication_id"), folder)
 
 
 @query(
@@ -128,7 +135,7 @@ def stream_session_counts(spark, sf):
     sessions.log_batches(events, added, f"{folder}/counts", f"{folder}/checkpoint").awaitTermination()
     logged = spark.read.parquet(f"{folder}/counts")
     day = F.floor(F.unix_micros("span_start") / 86_400_000_000).cast("long").alias("day")
-    return sessions.total_counts(logged.select("user_id", "event_type", day, "n"), ["user_id", "event_type", "day"])
+    return settled(spark, sessions.total_counts(logged.select("user_id", "event_type", day, "n"), ["user_id", "event_type", "day"]), folder)
 
 
 @query(
@@ -147,4 +154,4 @@ def stream_late_activity(spark, sf):
         return late.select("event_id", "user_id", "event_type")
 
     sessions.log_batches(stream_of(spark, sf, "events"), added, f"{folder}/late", f"{folder}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{folder}/late").drop("batch")
+    return settled(spark, spark.read.parquet(f"{folder}/late").drop("batch"), folder)

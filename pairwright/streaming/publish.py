@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from pairwright.session import cut_lineage
 from pairwright.sources.publish import publish
 
 
@@ -18,13 +19,11 @@ def publish_stream(
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        batch.persist()
-        try:
-            decided = publish(batch.sparkSession, batch, store, key, publication, ordinal)
-            if decisions is not None:
-                decided.write.mode("overwrite").parquet(f"{decisions}/batch={number}")
-        finally:
-            batch.unpersist()
+        # the batch is looked at more than once
+        rows = cut_lineage(batch)
+        decided = publish(batch.sparkSession, rows, store, key, publication, ordinal)
+        if decisions is not None:
+            decided.write.mode("overwrite").parquet(f"{decisions}/batch={number}")
 
     return (
         incoming.writeStream.foreachBatch(merge)
