@@ -54,6 +54,23 @@ def matrix_audit(spark, sf):
     return factorial.matrix_audit(supplier_plan(spark, sf), actual, ["s_suppkey", "p_brand", "relation"])
 
 
+@query(
+    "matrix_order",
+    f"""with p as (select s_suppkey, p_brand, relation, row_number() over (order by s_suppkey, p_brand, relation) - 1 as cell
+                   from supplier, (select distinct p_brand from part), {RELATIONS_SQL}),
+             a as (select *, case when s_suppkey % 17 = 3 and relation = 'O' then cell * 10 + 55 when s_suppkey % 19 = 5 and p_brand = 'Brand#1' then cell * 10 - 333 else cell * 10 end as place from p),
+             w as (select *, max(cell) over (order by place, cell rows between unbounded preceding and 1 preceding) as before from a)
+        select s_suppkey, p_brand, relation, place, 'cell.order' as code from w where before > cell""",
+)
+def matrix_order(spark, sf):
+    plan = supplier_plan(spark, sf)
+    late = (F.col("s_suppkey") % 17 == 3) & (F.col("relation") == "O")
+    early = (F.col("s_suppkey") % 19 == 5) & (F.col("p_brand") == "Brand#1")
+    place = F.col("cell") * 10 + F.when(late, 55).when(early, -333).otherwise(0)
+    actual = plan.select("s_suppkey", "p_brand", "relation", place.alias("place"))
+    return factorial.order_audit(plan, actual, ["s_suppkey", "p_brand", "relation"], "place", 4096)
+
+
 @query(
     "coverage_once",
     """with p as (select doc_id, unnest(['fused', 'pixel']) as model from labels),

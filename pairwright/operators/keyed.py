@@ -134,18 +134,20 @@ def blocked_window(
     position: str | None = None,
     running: Mapping[str, Column] | None = None,
     previous: Mapping[str, Column] | None = None,
+    highest: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Ordered window values without holding a whole key group in one task.
 
     ``block`` must not decrease along ``order`` inside a group. ``position`` is zero-based,
-    ``running`` sums include the current row, ``previous`` is the value one row earlier. Null keys and
-    null blocks are values like any other. ``block`` None means one block per group, for groups bounded by a closed vocabulary.
+    ``running`` sums include the current row, ``previous`` is the value one row earlier, ``highest`` the largest
+    value of all earlier rows (null when there is none). Null keys and null blocks are values like any other. ``block`` None means one block per group, for groups bounded by a closed vocabulary.
     """
     running = dict(running or {})
     previous = dict(previous or {})
+    highest = dict(highest or {})
     keys = list(keys)
     if block is None:
-        return _whole_window(rows, keys, order, position, running, previous)
+        return _whole_window(rows, keys, order, position, running, previous, highest)
     cut = [*keys, _BLOCK]
     rows = rows.withColumn(_BLOCK, block)
     inside = Window.partitionBy(*cut).orderBy(*order)
@@ -153,6 +155,7 @@ def blocked_window(
 
     totals = [F.count(F.lit(1)).alias("_n")]
     totals += [F.sum(value).alias(f"_sum_{name}") for name, value in running.items()]
+    totals += [F.max(value).alias(f"_max_{name}") for name, value in highest.items()]
     if previous:
         last = F.struct(*[value.alias(name) for name, value in previous.items()])
         totals.append(F.max_by(last, F.struct(*order)).alias("_last"))
@@ -160,6 +163,7 @@ def blocked_window(
     before_sum = before.rowsBetween(Window.unboundedPreceding, -1)
     carried = [F.coalesce(F.sum("_n").over(before_sum), F.lit(0)).alias("_base")]
     carried += [F.coalesce(F.sum(f"_sum_{n}").over(before_sum), F.lit(0)).alias(f"_base_{n}") for n in running]
+    carried += [F.max(f"_max_{n}").over(before_sum).alias(f"_top_{n}") for n in highest]
     if previous:
         carried.append(F.lag("_last").over(before).alias("_prior"))
     carry = rows.groupBy(*cut).agg(*totals).select(*cut, *carried)
@@ -169,6 +173,8 @@ def blocked_window(
         local["_pos"] = F.row_number().over(inside)
     for name, value in running.items():
         local[f"_run_{name}"] = F.sum(value).over(upto)
+    for name, value in highest.items():
+        local[f"_high_{name}"] = F.max(value).over(inside.rowsBetween(Window.unboundedPreceding, -1))
     for name, value in previous.items():
         local[f"_lag_{name}"] = F.lag(F.struct(value.alias("v"))).over(inside)
     joined = null_safe_join(rows.withColumns(local), carry, cut)
@@ -178,6 +184,8 @@ def blocked_window(
         out[position] = (F.col("_base") + F.col("_pos") - 1).cast("long")
     for name in running:
         out[name] = (F.col(f"_base_{name}") + F.col(f"_run_{name}")).cast("long")
+    for name in highest:
+        out[name] = F.greatest(f"_high_{name}", f"_top_{name}")
     for name in previous:
         within = F.col(f"_lag_{name}")
         out[name] = F.when(within.isNotNull(), within["v"]).otherwise(F.col("_prior")[name])
@@ -185,12 +193,13 @@ def blocked_window(
     return joined.select(*kept, *[value.alias(name) for name, value in out.items()])
 
 
-def _whole_window(rows, keys, order, position, running, previous) -> DataFrame:
+def _whole_window(rows, keys, order, position, running, previous, highest) -> DataFrame:
     window = Window.partitionBy(*keys).orderBy(*order)
     upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = {} if position is None else {position: (F.row_number().over(window) - 1).cast("long")}
     out.update({name: F.sum(value).over(upto).cast("long") for name, value in running.items()})
     out.update({name: F.lag(value).over(window) for name, value in previous.items()})
+    out.update({name: F.max(value).over(window.rowsBetween(Window.unboundedPreceding, -1)) for name, value in highest.items()})
     return rows.withColumns(out)
 
 

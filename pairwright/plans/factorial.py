@@ -8,7 +8,7 @@ from math import prod
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.operators.keyed import blocked_window, tally_sides
+from pairwright.operators.keyed import attach, blocked_window, tally_sides
 from pairwright.operators.rules import violations
 
 
@@ -52,6 +52,18 @@ def matrix_audit(plan: DataFrame, actual: DataFrame, keys: Sequence[str]) -> Dat
     )
 
 
+def order_audit(plan: DataFrame, actual: DataFrame, keys: Sequence[str], position: str, block_width: int = 1 << 16) -> DataFrame:
+    """``(keys..., position, code)`` of the executed cells that stand behind a cell the plan has later.
+
+    ``position`` orders the executed cells. A running maximum of plan indexes, carried from block to block, finds every such cell, not only
+    those behind their direct neighbour. Cells that are not planned are passed over; ``matrix_audit`` names them.
+    """
+    known = attach(actual.select(*keys, position), plan.select(*keys, "cell"), keys, spread=[position])
+    block = F.floor(F.col(position) / block_width)
+    seen = blocked_window(known, [], [position, "cell"], block, highest={"_before": F.col("cell")})
+    return violations(seen, [*keys, position], {"cell.order": F.col("_before") > F.col("cell")})
+
+
 def coverage_once(planned: DataFrame, predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Every planned row must be predicted exactly once: ``(keys..., n_predictions, code)``."""
     counts = tally_sides(keys, planned=planned, predictions=predictions)

@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pairwright.operators.keyed import attach, blocked_window, merge_sides, over_groups, tally_sides
+from pairwright.plans import factorial
 
 
 def rows_of(frame):
@@ -114,3 +115,22 @@ def test_a_key_with_a_sixtieth_of_the_rows_is_split(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_highest_of_all_earlier_rows(spark):
+    draw = random.Random(12)
+    rows = [(draw.choice(["a", "a", "b", None]), at, draw.choice([None, draw.randrange(100)])) for at in range(200)]
+    frame = spark.createDataFrame(rows, "k string, at long, v long").repartition(6)
+    for block in (F.expr("at div 7"), None):
+        found = blocked_window(frame, ["k"], ["at"], block, highest={"top": F.col("v")})
+        got = {(r["k"], r["at"]): r["top"] for r in found.collect()}
+        for k, at, _ in rows:
+            assert got[k, at] == max((v for j, t, v in rows if j == k and t < at and v is not None), default=None)
+
+
+def test_cells_out_of_order(spark):
+    plan = spark.createDataFrame([(c, f"k{c}") for c in range(6)], "cell long, k string")
+    actual = spark.createDataFrame([("k0", 0), ("k3", 1), ("k1", 2), ("k2", 3), ("zz", 4), ("k5", 5), ("k4", 60_000_000)], "k string, at long")
+    found = factorial.order_audit(plan, actual, ["k"], "at")
+    assert {(r["k"], r["code"]) for r in found.collect()} == {("k1", "cell.order"), ("k2", "cell.order"), ("k4", "cell.order")}
+    assert factorial.order_audit(plan, actual.limit(0), ["k"], "at").isEmpty()
