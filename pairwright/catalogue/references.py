@@ -291,8 +291,8 @@ def commit_binding(spark, sf):
     )
     payloads = commit_records(documents.select("doc_id", stored.alias("text")), "text")
     bound = {
-        "commit.sha256": ("committed_sha256", "sha256"),
-        "commit.byte_length": ("committed_bytes", "byte_length"),
+        "commit.sha256": (F.col("committed_sha256"), F.col("sha256")),
+        "commit.byte_length": (F.col("committed_bytes"), F.col("byte_length")),
     }
     return bindings.pair_binding(commits, payloads, ["doc_id"], bound)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from pairwright.catalogue import references
 from pairwright.operators import bindings, sequence, trees
 
 
@@ -64,3 +65,11 @@ def test_state_values(spark):
     found = {(r["node"], r["code"].split(".")[1]) for r in trees.state_issues(frame, ["node"], "name", "value").collect()}
     expected = {(node, code) for node, _, _, codes in rows for code in codes}
     assert found == expected | {(15, "duplicate_property"), (17, "duplicate_property"), (17, "state_value")}
+
+
+def test_commit_binding_query(spark, tmp_path):
+    """A null text and an unknown language break nothing; a longer payload breaks both codes, a reversed one the digest alone."""
+    rows = [(1, "ab", "en"), (2, "ab", "fr"), (3, "ab", "de"), (4, "aa", "de"), (5, None, "fr"), (6, "ab", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = references.commit_binding(spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in found} == {(2, "commit.sha256"), (2, "commit.byte_length"), (3, "commit.sha256")}
