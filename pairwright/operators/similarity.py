@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.functions.binding import let
+from pairwright.operators import packedjoin
 from pairwright.operators.setjoin import PPM, similar_sets
 
 # Shingle width, similarity thresholds for review flags.
@@ -52,14 +53,19 @@ def shingle_similarity(
     ``(language, left, right, n_left, n_right, n_both, jaccard_ppm)``; applications with equal sets are paired with the smallest of them
     alone. Texts are the whole texts of an application; null ones have no shingles.
     """
-    held = documents.select(
-        F.col(language).alias("language"), F.col(application).alias("application"), F.explode(shingles(F.col(text))).alias("_s")
-    ).select("language", "application", F.col("_s.a").alias("_a"), F.col("_s.b").cast("long").alias("_b"))
-    per_language = held.distinct()
-    overall = per_language.select(F.lit(ALL_LANGUAGES).alias("language"), "application", "_a", "_b").distinct()
     limits = [round(threshold * PPM) for threshold in (aggregate_threshold, language_threshold)]
+    rows = documents.select(F.col(language).alias("language"), F.col(application).alias("application"), F.col(text).alias("text"))
+    if rows.groupBy("application").count().where("application is not null and count > 1").isEmpty():
+        named = rows.select(F.col("application").alias("owner"), F.col("language").alias("label"), "text")
+        keys = F.transform(shingles(F.col("text")), lambda shingle: shingle["a"])
+        return packedjoin.similar_documents(named, keys, *limits, ALL_LANGUAGES).withColumnRenamed("label", "language")
+    # an application of several rows may have a set of any size, so its shingles are rows
+    held = rows.select("language", "application", F.explode(shingles(F.col("text"))).alias("_s"))
+    per_language = held.select("language", "application", F.col("_s.a").alias("_a"), F.col("_s.b").cast("long").alias("_b")).distinct()
+    overall = per_language.select(F.lit(ALL_LANGUAGES).alias("language"), "application", "_a", "_b").distinct()
+    within = per_language.where(~F.col("language").eqNullSafe(ALL_LANGUAGES))
     limit = F.when(F.col("language").eqNullSafe(ALL_LANGUAGES), limits[0]).otherwise(limits[1])
-    return similar_sets(per_language.unionByName(overall), "language", "application", ["_a", "_b"], limit)
+    return similar_sets(within.unionByName(overall), "language", "application", ["_a", "_b"], limit)
 
 
 def matched_vectors(vectors: DataFrame, pair: Column, is_baseline: Column, vector: str) -> DataFrame:
