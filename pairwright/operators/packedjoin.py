@@ -12,7 +12,7 @@ Tokens are 64-bit hashes: sets are only ever compared two at a time, so the size
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,8 @@ PACK_TOKENS = 400_000
 PACK_SETS = 1 << 16
 BUCKET_TOKENS = 600_000
 FILTER_BITS = 1 << 23
+# later places count as this one, which makes what two sets may share larger and never smaller
+LAST_PLACE = (1 << 16) - 1
 
 
 def _arrays(column: pa.Array) -> Iterator[np.ndarray]:
@@ -38,6 +40,16 @@ def _arrays(column: pa.Array) -> Iterator[np.ndarray]:
         yield np.unique(values[offsets[at] : offsets[at + 1]]) if valid else np.zeros(0, "u8")
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """The first bytes of all values, then the second ones and so on: of sorted or small values whole planes compress away."""
+    return values.view("u1").reshape(-1, values.itemsize).T.tobytes()
+
+
+def _unpacked(data: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(data, "u1").reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind)[:, 0]
+
+
 def _digest(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
@@ -104,7 +116,7 @@ def prefix_index(documents: DataFrame, tokens: Column, total: int, threshold: in
         firsts = [first for first, _ in parts.values()]
         found = np.concatenate(firsts)
         sets = np.repeat(np.arange(len(firsts)), [len(f) for f in firsts]).astype("u2")
-        places = np.concatenate([np.arange(len(f), dtype="u4") for f in firsts])
+        places = np.concatenate([np.minimum(np.arange(len(f)), LAST_PLACE).astype("u2") for f in firsts])
         nodes, sizes = np.array(list(parts), "i8"), np.array([n for _, n in parts.values()], "u4")
         # common tokens need no partner in their bucket, so their packs spread
         place = ((found >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype("i8")
@@ -116,14 +128,14 @@ def prefix_index(documents: DataFrame, tokens: Column, total: int, threshold: in
         for bucket in np.flatnonzero(np.diff(cuts)):
             part = slice(cuts[bucket], cuts[bucket + 1])
             used, mine = np.unique(sets[part], return_inverse=True)
-            rows.append((int(bucket), found[part].tobytes(), mine.astype("u2").tobytes(), places[part].tobytes(), nodes[used].tobytes(), sizes[used].tobytes()))
+            rows.append((int(bucket), *map(_packed, (found[part], mine.astype("u2"), places[part], nodes[used], sizes[used]))))
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*rows, strict=True))], names=names)
 
     def meet(table: pa.Table) -> pa.Table:
         def whole(name: str, kind: str) -> list[np.ndarray]:
-            return [np.frombuffer(b, kind) for b in table[name].to_pylist()]
+            return [_unpacked(b, kind) for b in table[name].to_pylist()]
 
-        found, places, held = whole("tokens", "u8"), whole("places", "u4"), whole("sets", "u2")
+        found, places, held = whole("tokens", "u8"), whole("places", "u2"), whole("sets", "u2")
         nodes = np.concatenate([nodes[s] for nodes, s in zip(whole("nodes", "i8"), held, strict=True)])
         sizes = np.concatenate([sizes[s] for sizes, s in zip(whole("sizes", "u4"), held, strict=True)])
         found, places = np.concatenate(found), np.concatenate(places)
@@ -155,7 +167,7 @@ def candidates(index: DataFrame, threshold: int) -> DataFrame:
 
 
 def _of_owners(documents: DataFrame, owners: DataFrame) -> DataFrame:
-    """``documents`` of ``owners``. A bitmap of fixed size over the hashes of the owners keeps most other texts out of the shuffle."""
+    """``documents`` of ``owners`` and few others: a bitmap of fixed size over the hashes of the owners keeps texts out of a shuffle."""
     place = F.pmod(F.xxhash64("owner"), F.lit(FILTER_BITS))
     words = owners.select(F.floor(place / 32).alias("word"), F.expr("1L").alias("one"), (place % 32).cast("int").alias("bit"))
     rows = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias("bits")).toPandas()
@@ -169,19 +181,19 @@ def _of_owners(documents: DataFrame, owners: DataFrame) -> DataFrame:
             kept = batch.filter(pa.array((bits[at >> 5] >> (at & 31).astype("u4") & 1).astype(bool)))
             yield kept.select(columns)
 
-    near = documents.withColumn("_place", place).mapInArrow(run, documents.schema)
-    return near.join(owners, "owner")
+    return documents.withColumn("_place", place).mapInArrow(run, documents.schema)
 
 
-def similar_documents(documents: DataFrame, tokens: Column, general: int, labelled: int, everything: str) -> DataFrame:
+def similar_documents(documents: DataFrame, text: str, shingled: Callable[[Column], Column], general: int, labelled: int, everything: str) -> DataFrame:
     """``(label, left, right, n_left, n_right, n_both, jaccard_ppm)`` of the pairs at or over ``general`` ppm, under the label ``everything``, and of those of one
     label at or over ``labelled`` ppm.
 
-    ``documents`` are ``(owner, label, ...)`` with one row an owner; ``tokens`` makes a document's array of longs, repeats allowed. ``left`` is the smaller owner. Of
+    ``documents`` are ``(owner, label, text)`` with one row an owner; ``shingled`` makes an array of longs of a text, repeats allowed. ``left`` is the smaller owner. Of
     equal sets the smallest owner of the label stands for all: each further one is paired with it alone. Null labels are a label
     like others, documents without an owner or a token belong to no pair.
     """
-    documents = documents.where("owner is not null")
+    documents = documents.where("owner is not null").select("owner", "label", text)
+    tokens = shingled(F.col(text))
     rounds = Rounds(documents.sparkSession)
     held = rounds.keep(measured(documents, tokens), forget=False)
     total = held.agg(F.sum("n")).first()[0] or 0
@@ -194,12 +206,14 @@ def similar_documents(documents: DataFrame, tokens: Column, general: int, labell
     firsts = classes.where(F.col("owner") == F.col("_first")).select("label", "node", "owner")
 
     index = rounds.keep(prefix_index(documents, tokens, total, threshold), forget=False)
-    pairs = rounds.keep(candidates(index, threshold), forget=False)
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    owners = firsts.where(F.col("label") == everything).join(nodes, "node").select("owner", "node")
-    sets = rounds.keep(_of_owners(documents, owners).select("node", F.array_distinct(tokens).alias("set")), forget=False)
-    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("_x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("_y")), "b")
-    shared = met.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("_x", "_y")).cast("long").alias("n_both"))
+    pairs = rounds.keep(candidates(index, threshold))
+    # texts travel, not sets: they compress
+    owners = firsts.where(F.col("label") == everything).select("node", "owner")
+    named = pairs.join(owners.select(F.col("node").alias("a"), F.col("owner").alias("_o")), "a").join(owners.select(F.col("node").alias("b"), F.col("owner").alias("_p")), "b")
+    named = rounds.keep(named, forget=False)
+    texts = _of_owners(documents.select("owner", text), named.select(F.explode(F.array("_o", "_p")).alias("owner")))
+    met = named.join(texts.select(F.col("owner").alias("_o"), F.col(text).alias("_x")), "_o").join(texts.select(F.col("owner").alias("_p"), F.col(text).alias("_y")), "_p")
+    shared = met.select("a", "b", "n_a", "n_b", F.size(F.array_intersect(shingled(F.col("_x")), shingled(F.col("_y")))).cast("long").alias("n_both"))
     union = F.col("n_a") + F.col("n_b") - F.col("n_both")
     verified = rounds.keep(shared.where(F.col("n_both") * PPM >= union * threshold), forget=False)
 

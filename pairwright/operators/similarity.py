@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,16 +26,19 @@ def shingles(text: Column, width: int = SHINGLE_TOKENS) -> Column:
     Tokens are hashed one after the other, so no shingle text is built; two independent hashes keep
     accidental meetings out of reach at any corpus size.
     """
+    return _runs(text, width, lambda run: F.struct(F.xxhash64(*run).alias("a"), F.hash(*run).alias("b")))
 
+
+def shingle_hashes(text: Column, width: int = SHINGLE_TOKENS) -> Column:
+    """The first 64 bits of the same keys, for sets that are only compared two at a time."""
+    return _runs(text, width, lambda run: F.xxhash64(*run))
+
+
+def _runs(text: Column, width: int, key: Callable[[list[Column]], Column]) -> Column:
     def runs(tokens: Column) -> Column:
         count = F.size(tokens) - width + 1
         starts = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-
-        def key(i: Column) -> Column:
-            run = [F.get(tokens, i + offset) for offset in range(width)]
-            return F.struct(F.xxhash64(*run).alias("a"), F.hash(*run).alias("b"))
-
-        return F.transform(starts, key)
+        return F.transform(starts, lambda i: key([F.get(tokens, i + offset) for offset in range(width)]))
 
     return let(F.filter(F.split(text, r"[ \t\r\n]+"), lambda token: token != ""), runs)
 
@@ -57,8 +60,7 @@ def shingle_similarity(
     rows = documents.select(F.col(language).alias("language"), F.col(application).alias("application"), F.col(text).alias("text"))
     if rows.groupBy("application").count().where("application is not null and count > 1").isEmpty():
         named = rows.select(F.col("application").alias("owner"), F.col("language").alias("label"), "text")
-        keys = F.transform(shingles(F.col("text")), lambda shingle: shingle["a"])
-        return packedjoin.similar_documents(named, keys, *limits, ALL_LANGUAGES).withColumnRenamed("label", "language")
+        return packedjoin.similar_documents(named, "text", shingle_hashes, *limits, ALL_LANGUAGES).withColumnRenamed("label", "language")
     # an application of several rows may have a set of any size, so its shingles are rows
     held = rows.select("language", "application", F.explode(shingles(F.col("text"))).alias("_s"))
     per_language = held.select("language", "application", F.col("_s.a").alias("_a"), F.col("_s.b").cast("long").alias("_b")).distinct()

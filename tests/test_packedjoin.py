@@ -38,8 +38,7 @@ def test_equals_brute_force(spark, monkeypatch, general, labelled):
     sets |= {500 + k: ("x" if k % 3 else "y", frozenset({7, 8, 9})) for k in range(30)} | {900: ("x", frozenset())}
     rows = [(owner, label, [*s, *s]) for owner, (label, s) in sets.items()] + [(None, "x", [7, 8, 9]), (901, "x", None)]
     frame = spark.createDataFrame(rows, "owner long, label string, ids array<long>").repartition(5)
-    tokens = F.transform("ids", lambda i: F.xxhash64(i))
-    found = packedjoin.similar_documents(frame, tokens, general, labelled, "all")
+    found = packedjoin.similar_documents(frame, "ids", lambda ids: F.transform(ids, lambda i: F.xxhash64(i)), general, labelled, "all")
     got = [tuple(r) for r in found.select("label", "left", "right", "n_left", "n_right", "n_both").collect()]
     assert len(got) == len(set(got)) and set(got) == brute(sets, general, labelled)
 
