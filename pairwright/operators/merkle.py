@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pairwright.functions.canonical import sha256_hex
 from pairwright.operators.keyed import attach
-from pairwright.session import cut_lineage
+from pairwright.session import Rounds, cut_lineage
 
 LEAF_ROWS = 64
 
@@ -42,7 +42,11 @@ def trie(held: DataFrame, package: Sequence[str], depth: int) -> DataFrame:
     level = held.groupBy(*package, F.substring("digest", 1, depth).alias("prefix")).agg(
         sha256_hex(F.array_join(F.array_sort(F.collect_list(leaf)), "\n")).alias("digest"), F.sum("n").alias("n")
     )
-    level = cut_lineage(level)
+    return _upwards(cut_lineage(level), package, depth)
+
+
+def _upwards(level: DataFrame, package: list[str], depth: int) -> DataFrame:
+    """Leaves ``(package..., prefix, digest, n)`` and every node above them."""
     out = level.select(*package, F.lit(depth).alias("level"), "prefix", "digest", "n")
     for digits in range(depth - 1, -1, -1):
         child = F.concat_ws(":", "prefix", "digest")
@@ -76,23 +80,52 @@ def differing_leaves(now: DataFrame, pin: DataFrame, package: Sequence[str]) ->
     return wrong
 
 
-def changed_rows(now: DataFrame, pin: DataFrame, leaves: DataFrame, package: Sequence[str], depth: int) -> DataFrame:
-    """``(package..., digest, n_now, n_pin)`` of the rows that two ``entries`` hold differently, read from differing ``leaves`` alone."""
+def paired_entries(rows: DataFrame, pinned: DataFrame, package: Sequence[str], row_digest: Column) -> DataFrame:
+    """``(package..., digest, n_now, n_pin)``: the distinct rows of both tables, counted together; digests are bytes, half as long as their hex digits."""
+    package = list(package)
+
+    def side(frame: DataFrame, now: int) -> DataFrame:
+        named = frame.select(*package, row_digest.alias("digest")).where("digest is not null")
+        digest = F.coalesce(F.unhex("digest"), F.raise_error(F.lit("row digests are hex digits")).cast("binary"))
+        return named.select(*package, digest.alias("digest"), F.lit(now).cast("long").alias("n_now"), F.lit(1 - now).cast("long").alias("n_pin"))
+
+    both = side(rows, 1).unionByName(side(pinned, 0))
+    return both.groupBy(*package, "digest").agg(F.sum("n_now").alias("n_now"), F.sum("n_pin").alias("n_pin"))
+
+
+def paired_tries(held: DataFrame, package: Sequence[str], depth: int) -> tuple[DataFrame, DataFrame]:
+    """The tries of both sides of ``paired_entries``, node for node those of ``trie``; the rows are dealt to their leaves once for both."""
     package = list(package)
+    names = ("n_now", "n_pin")
+    prefix = F.lower(F.substring(F.hex("digest"), 1, depth))
+    leaves = held.groupBy(*package, prefix.alias("prefix")).agg(F.array_sort(F.collect_list(F.struct("digest", *names))).alias("_rows"), *[F.sum(n).alias(n) for n in names])
+
+    def digest(n: str) -> Column:
+        mine = F.transform(F.filter("_rows", lambda row: row[n] > 0), lambda row: F.concat_ws(":", F.lower(F.hex(row["digest"])), row[n].cast("string")))
+        return sha256_hex(F.array_join(mine, "\n"))
+
+    level = cut_lineage(leaves.select(*package, "prefix", *[F.when(F.col(n) > 0, F.struct(digest(n).alias("digest"), F.col(n).alias("n"))).alias(n) for n in names]))
+    out = []
+    for name in names:
+        nodes = level.where(F.col(name).isNotNull()).select(*package, "prefix", f"{name}.digest", f"{name}.n")
+        out.append(_upwards(nodes, package, depth))
+    return out[0], out[1]
 
-    def side(held: DataFrame, mine: str, other: str) -> DataFrame:
-        named = held.withColumn("prefix", F.substring("digest", 1, depth))
-        kept = attach(named, leaves, [*package, "prefix"], how="left_semi", spread=["digest"])
-        return kept.select(*package, "digest", F.col("n").alias(mine), F.lit(0).cast("long").alias(other))
 
-    both = side(now, "n_now", "n_pin").unionByName(side(pin, "n_pin", "n_now"))
-    counted = both.groupBy(*package, "digest").agg(F.sum("n_now").alias("n_now"), F.sum("n_pin").alias("n_pin"))
-    return counted.where("n_now <> n_pin")
+def changed_rows(held: DataFrame, leaves: DataFrame, package: Sequence[str], depth: int) -> DataFrame:
+    """``(package..., digest, n_now, n_pin)`` of the rows of ``paired_entries`` that the sides hold differently, in the differing ``leaves``."""
+    package = list(package)
+    named = held.where("n_now <> n_pin").withColumn("digest", F.lower(F.hex("digest"))).withColumn("prefix", F.substring("digest", 1, depth))
+    return attach(named, leaves, [*package, "prefix"], how="left_semi", spread=["digest"]).select(*package, "digest", "n_now", "n_pin")
 
 
 def pinned_differences(rows: DataFrame, pinned: DataFrame, package: Sequence[str], row_digest: Column, leaf_rows: int = LEAF_ROWS) -> DataFrame:
-    """``(package..., digest, n_now, n_pin)``: the rows by which each package differs from its pin; nothing for packages that agree."""
-    now, pin = (cut_lineage(entries(frame, package, row_digest)) for frame in (rows, pinned))
-    depth = max(trie_depth(now, package, leaf_rows), trie_depth(pin, package, leaf_rows))
-    leaves = differing_leaves(trie(now, package, depth), trie(pin, package, depth), package)
-    return changed_rows(now, pin, leaves, package, depth)
+    """``(package..., digest, n_now, n_pin)``: the rows by which each package differs from its pin; nothing for packages that agree.
+
+    ``row_digest`` is lower-case hex, two digits a byte.
+    """
+    rounds = Rounds(rows.sparkSession)
+    held = rounds.keep(paired_entries(rows, pinned, package, row_digest), forget=False)
+    depth = max(trie_depth(held.where(f"{n} > 0"), package, leaf_rows) for n in ("n_now", "n_pin"))
+    leaves = differing_leaves(*paired_tries(held, package, depth), package)
+    return rounds.close(changed_rows(held, leaves, package, depth))

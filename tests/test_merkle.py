@@ -58,3 +58,32 @@ def test_descent_reads_only_below_what_differs(spark, monkeypatch):
     monkeypatch.setattr(merkle, "cut_lineage", counted)
     assert merkle.differing_leaves(left, right, ["p"]).count() == 1
     assert wrong == [1, 1, 1, 1]
+
+
+@pytest.mark.parametrize("depth", [0, 2])
+def test_paired_tries_are_the_single_ones(spark, depth):
+    rows, pinned = ([(p, n % m) for n in range(300) for p in ("a", None)] for m in (90, 100))
+    held = merkle.paired_entries(frame(spark, rows), frame(spark, pinned + [("new", 1)]), ["p"], row_digest())
+    tries = merkle.paired_tries(held, ["p"], depth)
+    for got, one in zip(tries, (rows, pinned + [("new", 1)]), strict=True):
+        want = merkle.trie(merkle.entries(frame(spark, one), ["p"], row_digest()), ["p"], depth)
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_rows_of_both_sides_are_written_once(spark, monkeypatch):
+    """A thousand rows and their pin are one table of entries; nothing else that is written has a row for each of them."""
+    sizes = []
+
+    def measured(keep):
+        def kept(*given, **named):
+            frame = keep(*given, **named)
+            sizes.append(frame.count())
+            return frame
+
+        return kept
+
+    monkeypatch.setattr(merkle, "cut_lineage", measured(merkle.cut_lineage))
+    monkeypatch.setattr("pairwright.session.Rounds.keep", measured(__import__("pairwright.session").session.Rounds.keep))
+    rows = [("a", n) for n in range(1_000)]
+    assert merkle.pinned_differences(frame(spark, rows), frame(spark, rows[1:]), ["p"], row_digest()).count() == 1
+    assert sum(size >= 999 for size in sizes) == 1
