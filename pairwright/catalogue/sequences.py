@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pairwright.catalogue.registry import query
 from pairwright.functions.scalars import epoch_micros
 from pairwright.operators import automata, sequence
-from pairwright.operators.keyed import blocked_window, over_groups
+from pairwright.operators.keyed import attach, blocked_window, over_groups
 from pairwright.sources.tables import table
 
 
@@ -200,7 +200,10 @@ def recipe_actions(spark, sf):
     grammar = F.when(F.col("o_orderkey") % 2 == 1, F.concat_ws("/", setup, entry)).otherwise(setup)
     wanted = F.when(status == "F", "A").when(status == "O", "N").otherwise("R")
     workflows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), grammar.alias("grammar"), wanted.alias("wanted"))
-    rows = over_groups(placed, ["l_orderkey"], spread=["p"], n=F.count(F.lit(1))).join(workflows.select("l_orderkey", "wanted"), "l_orderkey")
+    # sizes come from the raw lines and meet the orders first, so that the placed lines are joined once
+    sizes = lines.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    bound = sizes.join(workflows.select("l_orderkey", "wanted"), "l_orderkey")
+    rows = attach(placed, bound, ["l_orderkey"], spread=["p"], hot_from=lines.select("l_orderkey"))
     part, supplier, p, n = F.col("l_partkey"), F.col("l_suppkey"), F.col("p"), F.col("n")
     letter = (
         F.when(p == 0, F.when(supplier % 13 == 0, "k").otherwise("f"))
@@ -224,7 +227,7 @@ def recipe_actions(spark, sf):
 )
 def recipe_automaton(spark, sf):
     rows, workflows = recipe_actions(spark, sf)
-    return automata.recipe_issues(rows, workflows, ["l_orderkey"], "p", "letter", "grammar")
+    return automata.recipe_issues(rows, workflows, ["l_orderkey"], "p", "letter", "grammar", counted=table(spark, sf, "lineitem"))
 
 
 @query(

@@ -112,11 +112,11 @@ def compiled(grammars: dict[str, tuple], alphabet: str) -> Automaton:
     return Automaton(alphabet, tuple(moves), starts, tuple(k for grammar, k in numbers.items() if _ends(grammar)))
 
 
-def runs(rows: DataFrame, keys: Sequence[str], position: str, letter: str, automaton: Automaton, block: int = BLOCK) -> DataFrame:
+def runs(rows: DataFrame, keys: Sequence[str], position: str, letter: str, automaton: Automaton, block: int = BLOCK, counted: DataFrame | None = None) -> DataFrame:
     """``(keys..., n, ends)``: rows per sequence and, for each state the automaton may start in, the state it ends in.
 
     ``position`` counts the rows of a sequence from 0 without gaps or repeats, as ``blocked_window`` does, so a block holds at most ``block`` rows.
-    Null keys are keys like others.
+    Null keys are keys like others. ``counted`` is a cheaper table with as many rows for every key, if positions and letters are costly to make twice.
     """
     keys = list(keys)
     width = len(automaton.alphabet) + 1
@@ -130,7 +130,10 @@ def runs(rows: DataFrame, keys: Sequence[str], position: str, letter: str, autom
         return table[state * width + row["code"]]
 
     maps = blocks.select(*keys, "_block", "n", F.transform(every, lambda s: F.aggregate("_rows", s, read)).alias("ends"))
-    last = rows.agg(F.max(position)).first()[0]
+    if counted is None:
+        last = rows.agg(F.max(position)).first()[0]
+    else:
+        last = counted.groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("_last")).agg(F.max("_last")).first()[0]
     levels, blocks_left = 0, (last or 0) // block
     while blocks_left:
         levels, blocks_left = levels + 1, blocks_left // block
@@ -185,14 +188,14 @@ def recipe_grammars() -> dict[str, tuple]:
 RECIPES = compiled(recipe_grammars(), RECIPE_LETTERS)
 
 
-def recipe_issues(rows: DataFrame, workflows: DataFrame, keys: Sequence[str], position: str, letter: str, grammar: str) -> DataFrame:
+def recipe_issues(rows: DataFrame, workflows: DataFrame, keys: Sequence[str], position: str, letter: str, grammar: str, counted: DataFrame | None = None) -> DataFrame:
     """``(keys..., n_actions, code)`` of the workflows whose actions are not the closed recipe that their expectations name.
 
     ``workflows`` has one row per workflow; those without any action are violations too. ``letter`` tells what an action is, once its
-    text is compared with the expectation bound to it.
+    text is compared with the expectation bound to it. ``counted`` is as in ``runs``.
     """
     keys = list(keys)
-    found = runs(rows, keys, position, letter, RECIPES)
+    found = runs(rows, keys, position, letter, RECIPES, counted=counted)
     # one row a workflow on either side
     nothing = F.array(*[F.lit(state) for state in range(RECIPES.states)])
     renamed = found.withColumnsRenamed({key: f"_run_{key}" for key in keys})

@@ -97,3 +97,13 @@ def test_pilot_schedule(spark):
     actions = spark.createDataFrame([(plan, 5) for plan in cases], "plan string, n_actions long")
     found = sequence.pilot_schedule_issues(schedule, actions, "plan", "ordinal", "key", "after")
     assert {(r["plan"], r["n_checkpoints"]) for r in found.collect()} == {(plan, len(listed)) for plan, listed in cases.items() if plan != "good"}
+
+
+def test_runs_reads_costly_rows_once(spark):
+    """With a cheaper table to count, positions and letters are made once: no job runs over them before the result is asked for."""
+    reads = spark.sparkContext.accumulator(0)
+    letters = F.udf(lambda k: reads.add(1) or "a")
+    placed = spark.range(40).select(F.lit(1).alias("k"), F.col("id").alias("p")).withColumn("letter", letters("p"))
+    made = a.runs(placed.where("letter = 'a'"), ["k"], "p", "letter", AUTOMATON, 4, counted=spark.range(40).select(F.lit(1).alias("k")))
+    assert reads.value == 0
+    assert [tuple(r)[:2] for r in made.collect()] == [(1, 40)]
