@@ -161,37 +161,42 @@ def draws(resample: int, clusters: int, seed: int) -> np.ndarray:
     return np.bincount(picked, minlength=clusters)
 
 
+def weighed_precision(cluster: np.ndarray, score: np.ndarray, pos: np.ndarray, n: np.ndarray, clusters: int, resamples: Sequence[int], seed: int) -> list:
+    """``(resample, average precision)`` of one model. Memory follows the rows of the histogram, not clusters x scores."""
+    order = np.argsort(-score, kind="stable")
+    cluster, score, pos, n = (a[order] for a in (cluster, score, pos, n))
+    starts = np.flatnonzero(np.r_[True, score[1:] != score[:-1]])
+    out = []
+    for resample in resamples:
+        weight = draws(resample, clusters, seed)[cluster]
+        hits, rows = np.add.reduceat(weight * pos, starts), np.add.reduceat(weight * n, starts)
+        taken = np.cumsum(rows)
+        positives = hits.sum()
+        if 0 < positives < taken[-1]:
+            gain = (hits * (np.cumsum(hits) / np.maximum(taken, 1))).sum()
+            out.append((resample, gain / positives))
+        else:
+            out.append((resample, None))
+    return out
+
+
 def bootstrap_precision(
     counts: DataFrame, models: Sequence[str], resamples: int = RESAMPLES, seed: int = BOOTSTRAP_SEED
 ) -> DataFrame:
     """``(resample, <model>...)``: average precision of each model on each cluster resample.
 
     ``counts`` holds ``(cluster, model, score, pos, n)`` with clusters numbered from zero. Resamples are cut into chunks; a
-    task takes one model's histograms (clusters x scores, not rows) and weighs them by each resample's draws.
+    task takes one model's histogram (a row for each cluster and score that occur together) and weighs them by each resample's draws.
     """
     clusters = counts.agg(F.max("cluster") + 1).first()[0]
     chunks = -(-resamples // RESAMPLE_CHUNK)
     spread = counts.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
 
     def weigh(pdf: pd.DataFrame) -> pd.DataFrame:
-        scores, at = np.unique(-pdf["score"].to_numpy(), return_inverse=True)
-        pos, n = np.zeros((2, clusters, len(scores)), "i8")
-        np.add.at(pos, (pdf["cluster"], at), pdf["pos"])
-        np.add.at(n, (pdf["cluster"], at), pdf["n"])
         first = int(pdf["chunk"].iloc[0]) * RESAMPLE_CHUNK
-        out = []
-        for resample in range(first, min(first + RESAMPLE_CHUNK, resamples)):
-            weight = draws(resample, clusters, seed)
-            hits, rows = weight @ pos, weight @ n
-            taken = np.cumsum(rows)
-            positives = hits.sum()
-            if 0 < positives < taken[-1]:
-                gain = (hits * (np.cumsum(hits) / np.maximum(taken, 1))).sum()
-                out.append((resample, gain / positives))
-            else:
-                out.append((resample, None))
-        found = pd.DataFrame(out, columns=["resample", "value"])
-        return found.assign(model=pdf["model"].iloc[0])
+        chosen = range(first, min(first + RESAMPLE_CHUNK, resamples))
+        out = weighed_precision(*[pdf[c].to_numpy() for c in ("cluster", "score", "pos", "n")], clusters, chosen, seed)
+        return pd.DataFrame(out, columns=["resample", "value"]).assign(model=pdf["model"].iloc[0])
 
     scored = spread.groupBy("chunk", "model").applyInPandas(weigh, "resample long, value double, model string")
     return scored.groupBy("resample").agg(*[F.max(F.when(F.col("model") == m, F.col("value"))).alias(m) for m in models])

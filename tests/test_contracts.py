@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pairwright.functions import canonical as C
 from pairwright.functions import scalars as S
 from pairwright.functions.jsontext import defect_code, nfc
-from pairwright.operators import audit, bindings, labels, refs, sequence, splits
+from pairwright.operators import audit, bindings, labels, refs, scoring, sequence, splits
 from pairwright.operators.rules import reference_rules, violations
 from pairwright.operators.visible import visible_features
 from pairwright.plans import factorial, policy
@@ -323,3 +323,26 @@ def test_percentiles_leave_nulls_out(spark):
     rows = spark.createDataFrame([("a", 1), ("a", 2), ("a", None), ("a", None), ("b", None)], "k string, v long")
     found = audit.percentile_report(rows, ["k"], "v", {"p50": 500}, F.expr("v div 8"))
     assert sorted(map(tuple, found.collect())) == [("a", 2, 2, 2, 3, 1), ("b", 0, 1, None, None, None)]
+
+
+def test_bootstrap_memory_follows_the_histogram():
+    """Two thousand clusters with a score of their own: 2,000 cells, where a dense table would have four million."""
+    import tracemalloc
+
+    import numpy as np
+
+    size = 2_000
+    at = np.arange(size)
+    tracemalloc.start()
+    found = scoring.weighed_precision(at, at * 7 % size, at % 2, np.ones(size, "i8"), size, range(2), 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2_000_000
+    for resample, value in found:
+        weight = scoring.draws(resample, size, 5)
+        ranked = sorted(range(size), key=lambda c: -(c * 7 % size))
+        hits = taken = gain = 0
+        for c in ranked:
+            hits, taken = hits + weight[c] * (c % 2), taken + weight[c]
+            gain += weight[c] * (c % 2) * hits / max(taken, 1)
+        assert value == pytest.approx(gain / hits)
