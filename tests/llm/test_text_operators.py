@@ -393,3 +393,30 @@ def test_secrets_of_edge_rows(spark):
     given_labels = spark.createDataFrame([([1.0] * len(secrets.FEATURES), 0.0)], "features array<double>, label double")
     only_clean = secrets.scan(frame(spark, rows), "source", given_labels)
     assert only_clean.where("is_secret").isEmpty() and not only_clean.isEmpty()
+
+
+def test_toxicity_search_of_a_batch_reads_few_blocks_and_loses_no_neighbour():
+    draw = random.Random(16)
+    vectors, labels = [], []
+    for i in range(4_000):
+        topic = 100 + 30 * (i % 12)
+        terms = {*draw.sample(range(20), 8), *draw.sample(range(topic, topic + 30), 10)}
+        weights = {t: (0.1 if t < 20 else 1.0) * (0.5 + draw.random()) for t in terms}
+        norm = math.sqrt(sum(w * w for w in weights.values()))
+        vectors.append({t: w / norm for t, w in weights.items()})
+        labels.append(draw.randrange(2))
+    index = toxicity.ExampleIndex(vectors, labels, np.ones(500))
+    read, step = [], index._read
+    index._read = lambda sums, asked, chosen: (read.append(int(chosen.sum())), step(sums, asked, chosen))
+    asked = [*range(0, 4_000, 40)]
+    found = index.nearest_of([vectors[i] for i in asked], asked)
+    assert sum(read) < len(asked) * index.blocks / 2
+    whole = np.zeros((4_000, 500))
+    for row, vector in zip(whole, vectors, strict=True):
+        row[list(vector)] = list(vector.values())
+    for i, near in zip(asked, found, strict=True):
+        scores = whole @ whole[i]
+        scores[i] = -1
+        best = sorted(((-s, j) for j, s in enumerate(scores.tolist()) if s > 0), key=lambda x: (round(x[0], 12), x[1]))[:15]
+        assert [j for _, j in near] == [j for _, j in best]
+    assert index.nearest({499: 1.0}) == [] and index.nearest({}) == []
