@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from pairwright.llm.registry import query
-from pairwright.llm.text import map_rows, tidy
+from pairwright.llm.text import SLICE, map_rows, settle, tidy
 from pairwright.operators.keyed import attach
 from pairwright.session import cut_lineage
 from pairwright.sources.tables import table
@@ -109,6 +109,11 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype("i8")
 
 
+def seed_bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of seeds. A seed is the lowest hash around, so most hashes are low: they are mixed first."""
+    return _bucket(hashes * np.uint64(0xC2B2AE3D27D4EB4F), buckets)
+
+
 def repeated_seeds(texts: DataFrame) -> DataFrame:
     """``key, rows``: per text the segments to look at, as packed ``PLACE`` rows.
 
@@ -143,13 +148,14 @@ def repeated_seeds(texts: DataFrame) -> DataFrame:
 
     def send(parts: list[np.ndarray]) -> dict:
         rows = np.concatenate(parts)
-        place = _bucket(rows["seed"], buckets)
+        place = seed_bucket(rows["seed"], buckets)
         rows = rows[np.argsort(place, kind="stable")]
         cuts = np.searchsorted(np.sort(place), np.arange(buckets + 1))
         used = [b for b in range(buckets) if cuts[b + 1] > cuts[b]]
         return {"bucket": used, "rows": [rows[cuts[b] : cuts[b + 1]].tobytes() for b in used]}
 
     def meet(table: pa.Table) -> pa.Table:
+        settle("repeated_seeds")
         rows = np.frombuffer(b"".join(table["rows"].to_pylist()), row)
         rows = rows[np.lexsort((rows["pos"], rows["key"], rows["second"], rows["first"], rows["seed"]))]
         alike = np.r_[False, (rows["seed"][1:] == rows["seed"][:-1]) & (rows["first"][1:] == rows["first"][:-1]) & (rows["second"][1:] == rows["second"][:-1])]
@@ -192,6 +198,7 @@ def _by_key(dealt: DataFrame, kind: np.dtype) -> DataFrame:
     """``key, rows``: one row per key with its packed rows."""
 
     def run(table: pa.Table) -> pa.Table:
+        settle("by_key")
         rows = np.frombuffer(b"".join(table["rows"].to_pylist()), kind)
         words = np.ascontiguousarray(rows["key"]).view("u8").reshape(-1, 2)
         order = np.lexsort((words[:, 1], words[:, 0]))
@@ -209,6 +216,21 @@ def _by_key(dealt: DataFrame, kind: np.dtype) -> DataFrame:
     return dealt.groupBy("part").applyInArrow(run, "key binary, rows binary")
 
 
+def aligned(flat: np.ndarray, sizes: np.ndarray, shifts: np.ndarray, order: np.ndarray, wide: int) -> np.ndarray:
+    """Segments, one after the other in ``flat``, as rows in the given order, each moved right by its shift; -1 where there is none.
+
+    ``SLICE`` rows at a time: the numbers that place a byte take many times the room of the byte.
+    """
+    out = np.full((len(sizes), wide), -1, "i2")
+    starts = np.cumsum(sizes) - sizes
+    for at in range(0, len(order), SLICE):
+        some = order[at : at + SLICE]
+        inside = np.arange(sizes[some].sum()) - np.repeat(np.cumsum(sizes[some]) - sizes[some], sizes[some])
+        rows = np.repeat(np.arange(at, at + len(some)), sizes[some])
+        out[rows, np.repeat(shifts[some], sizes[some]) + inside] = flat[np.repeat(starts[some], sizes[some]) + inside]
+    return out
+
+
 def column_repeats(segments: np.ndarray, groups: np.ndarray, length: int) -> np.ndarray:
     """Segments as rows of symbols aligned in columns (-1: none), rows of a group adjacent: which windows of ``length`` columns
     ending at each column occur in another row of the group."""
@@ -272,15 +294,12 @@ def repeats(texts: DataFrame, looked_at: DataFrame) -> DataFrame:
             yield {"bucket": list(held), "rows": [b"".join(r) for r, _ in held.values()], "bytes": [b"".join(t) for _, t in held.values()]}
 
     def compare(table: pa.Table) -> pa.Table:
+        settle("compare_segments")
         rows = np.frombuffer(b"".join(table["rows"].to_pylist()), body)
         flat = np.frombuffer(b"".join(table["bytes"].to_pylist()), "u1")
         sizes = rows["hi"].astype("i8") + LENGTH
-        rank = np.empty(len(rows), "i8")
         order = np.argsort(rows["seed"], kind="stable")
-        rank[order] = np.arange(len(rows))
-        matrix = np.full((len(rows), wide), -1, "i2")
-        inside = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        matrix[np.repeat(rank, sizes), np.repeat(left - rows["lo"], sizes) + inside] = flat
+        matrix = aligned(flat, sizes, left - rows["lo"].astype("i8"), order, wide)
         rows = rows[order]
         groups = np.cumsum(np.r_[False, rows["seed"][1:] != rows["seed"][:-1]])
         found = column_repeats(matrix, groups, LENGTH)

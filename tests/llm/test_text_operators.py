@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -420,3 +421,26 @@ def test_toxicity_search_of_a_batch_reads_few_blocks_and_loses_no_neighbour():
         best = sorted(((-s, j) for j, s in enumerate(scores.tolist()) if s > 0), key=lambda x: (round(x[0], 12), x[1]))[:15]
         assert [j for _, j in near] == [j for _, j in best]
     assert index.nearest({499: 1.0}) == [] and index.nearest({}) == []
+
+
+def test_segments_are_aligned_in_little_memory():
+    draw = np.random.default_rng(9)
+    sizes = draw.integers(200, 351, 20_000)
+    shifts, order = 350 - sizes, draw.permutation(20_000)
+    flat = draw.integers(0, 256, sizes.sum()).astype("u1")
+    tracemalloc.start()
+    matrix = suffix_dedup.aligned(flat, sizes, shifts, order, 350)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2.5 * matrix.nbytes
+    starts = np.cumsum(sizes) - sizes
+    for row, segment in list(enumerate(order))[::97]:
+        assert (matrix[row, : shifts[segment]] == -1).all()
+        assert (matrix[row, shifts[segment] :] == flat[starts[segment] : starts[segment] + sizes[segment]]).all()
+
+
+def test_seeds_are_dealt_evenly():
+    found = suffix_dedup.segments_of(np.random.default_rng(3).integers(0, 256, 300_000).astype("u1"))
+    counts = np.bincount(suffix_dedup.seed_bucket(found["seed"], 20), minlength=20)
+    assert counts.max() < 2 * counts.mean()
+    assert np.bincount(suffix_dedup._bucket(found["seed"], 20), minlength=20).max() > 10 * counts.mean()
