@@ -124,6 +124,12 @@ def _edges(u: np.ndarray, v: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray
     return u[at], v[at], np.add.reduceat(shared, at)
 
 
+def token_bucket(tokens: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of prefix shingles. Prefixes hold the lowest hashes of their sets, so these are mixed first."""
+    mixed = tokens * np.uint64(0xC2B2AE3D27D4EB4F)
+    return ((mixed >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype("i8")
+
+
 def chained(documents: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
     """``u, v, shared``: node u meets v, the smallest node of some of its prefix shingles, and how many those are."""
     common, frequency = sampled_frequencies(documents, nodes)
@@ -165,8 +171,10 @@ def chained(documents: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFram
                 mine = place == bucket
                 put(int(bucket) - buckets, u[mine], v[mine], shared[mine])
         tokens, nodes, settled = tokens[starts], nodes[starts], (sizes > 1).astype("i1")
-        place = ((tokens >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype("i8")
-        cuts = np.searchsorted(place, np.arange(buckets + 1))
+        place = token_bucket(tokens, buckets)
+        order = np.argsort(place, kind="stable")
+        tokens, nodes, settled = tokens[order], nodes[order], settled[order]
+        cuts = np.searchsorted(place[order], np.arange(buckets + 1))
         for bucket in range(buckets):
             lo, hi = cuts[bucket], cuts[bucket + 1]
             if hi > lo:

@@ -444,3 +444,11 @@ def test_seeds_are_dealt_evenly():
     counts = np.bincount(suffix_dedup.seed_bucket(found["seed"], 20), minlength=20)
     assert counts.max() < 2 * counts.mean()
     assert np.bincount(suffix_dedup._bucket(found["seed"], 20), minlength=20).max() > 10 * counts.mean()
+
+
+def test_prefix_shingles_are_dealt_evenly():
+    none = np.zeros(0, "u8")
+    sets = [np.unique(np.random.default_rng(i).integers(0, 1 << 64, 400, "u8")) for i in range(60)]
+    tokens = np.concatenate([jaccard_join.prefix(s, none, none) for s in sets])
+    counts = np.bincount(jaccard_join.token_bucket(tokens, 20), minlength=20)
+    assert counts.min() > 0.8 * counts.mean() and counts.max() < 1.2 * counts.mean()
