@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pairwright.llm import jaccard_join, packing, secrets, suffix_dedup, toxicity
+from pairwright.llm.text import tidy
 from pairwright.session import delete_folder, shared_folder
 from pairwright.sources.tables import table
 
@@ -50,6 +51,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}-{name}"
         stage(spark, docs, sf_dir).write.parquet(folder)
+        tidy(name)  # a stage's fit does not stay with the driver
         if before is not None:
             delete_folder(spark, before)
         docs, before = spark.read.parquet(folder), folder

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pairwright.llm import jaccard_join, lattice, packing, quality, secrets, sentencepiece_bpe, suffix_dedup, toxicity
+from pairwright.llm.text import keep
 from pairwright.sources.tables import table
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -452,3 +453,16 @@ def test_prefix_shingles_are_dealt_evenly():
     tokens = np.concatenate([jaccard_join.prefix(s, none, none) for s in sets])
     counts = np.bincount(jaccard_join.token_bucket(tokens, 20), minlength=20)
     assert counts.min() > 0.8 * counts.mean() and counts.max() < 1.2 * counts.mean()
+
+def test_pipeline_gives_back_what_a_stage_held(spark, monkeypatch):
+    import corpus_pipeline
+
+    held = keep({})
+
+    def stage(spark, docs, folder):
+        held["fit"] = 1
+        return docs.limit(3)
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", stage)])
+    assert corpus_pipeline.run(spark, FOLDER).count() == 3
+    assert not held
