@@ -1,19 +1,19 @@
 """Exact n-gram Jaccard join by signature trees; links become components.
 
 1. Documents with equal shingle sets are one node from here on.
-2. Coarse groups. Shingles get one global order: by how often a bounded sample of documents holds them, then by hash, so that
+2. Hubs. Shingles get one global order: by how often a bounded sample of documents holds them, then by hash, so that
    common passages come last. Of a set of n, the first n - ceil(.75 n) + ceil(n / 8) shingles are its prefix. Two sets that
-   link share at least ceil(n / 8) prefix shingles of the smaller set, so nodes that share fewer with any others drop out, and nodes that
-   share a prefix shingle are chained to the smallest such node. Links never leave the chained groups. Shingles
-   travel as packed arrays; what several nodes of one task share is settled there and travels once, with the smallest of these
-   nodes. Where that node drops out, its chains stay, because those of the others run through it.
-3. Inside a group, sets are compared by a dual traversal of signature trees: a node of the tree holds the OR of its sets' token bitmaps, the
+   link share at least ceil(n / 8) prefix shingles of the smaller set, so nodes that share fewer with any others drop out. The hub of a
+   prefix shingle is the smallest node that holds it: two sets that link share as many shingles of common hubs. Hubs get one
+   global order too, those with few nodes first, and a node goes to its first hubs until the shingles left are fewer than a link needs; two
+   sets that link meet in the first hub of what they share. Shingles travel as packed arrays.
+3. Inside a hub, sets are compared by a dual traversal of signature trees: a node of the tree holds the OR of its sets' token bitmaps, the
    range of their sizes and the most tokens that one bitmap loses to collisions. A pair of tree nodes is pruned when the
    bits they share and the lost tokens are too few for the smallest sets under them, when their size ranges exclude a
    link, or when all their sets are connected already. Pairs of sets that remain are intersected exactly.
-4. Sets are ordered by the node they share most with. A group with more tokens than ``BLOCK`` (a set counts ``SET_WEIGHT`` more, so that blocks of short sets stay small) is cut into blocks and block pairs become tasks; a set goes to another block only if that block's bitmap holds
-   three quarters of its tokens. Sets are first compared with one leader, and blocks whose sets all link to it need no
-   comparison with each other. No set of candidates is capped.
+4. A hub with more tokens than ``BLOCK`` (a set counts ``SET_WEIGHT`` more, so that blocks of short sets stay small) is dealt into blocks
+   that all hold one leader. What a block connects to the leader is one component already; only the rest goes to other blocks, and only to
+   those whose bitmap holds three quarters of a set's tokens. No set of candidates is capped.
 
 Empty and null texts have no shingles, link with nothing and are their own component. A row with a null id takes part in no
 link and has a null component. Rows with one id and different texts share the id and are each given the component of
@@ -25,9 +25,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -35,7 +34,7 @@ from pairwright.llm.components import components
 from pairwright.llm.registry import query
 from pairwright.llm.shingles import Shingler, node_of, set_digest
 from pairwright.llm.text import map_rows, utf8
-from pairwright.operators.keyed import attach, blocked_window
+from pairwright.operators.keyed import attach
 from pairwright.session import cut_lineage
 from pairwright.sources.tables import table
 
@@ -97,31 +96,26 @@ def prefix(shingles: np.ndarray, common: np.ndarray, frequency: np.ndarray) -> n
     return shingles[:size]
 
 
-def _star(tokens: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of distinct (token, node) pairs in this order: the smallest node beside each pair, where tokens start, pairs per token."""
-    starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
-    sizes = np.diff(np.r_[starts, len(tokens)])
-    return np.repeat(nodes[starts], sizes), starts, sizes
-
-
-def _pairs(tokens: np.ndarray, nodes: np.ndarray, extra: np.ndarray | None = None):
+def _pairs(tokens: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (token, node) pairs in this order."""
     order = np.lexsort((nodes, tokens))
     tokens, nodes = tokens[order], nodes[order]
     fresh = np.r_[True, (tokens[1:] != tokens[:-1]) | (nodes[1:] != nodes[:-1])]
-    if extra is None:
-        return tokens[fresh], nodes[fresh], None
-    at = np.flatnonzero(fresh)
-    return tokens[fresh], nodes[fresh], np.maximum.reduceat(extra[order], at)
+    return tokens[fresh], nodes[fresh]
 
 
-def _edges(u: np.ndarray, v: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Edges with the number of shared prefix shingles that they settle, added up."""
+def _edges(tokens: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of distinct pairs in this order: nodes, the hubs of shingles that several nodes hold, and how many shingles those are."""
+    starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+    sizes = np.diff(np.r_[starts, len(tokens)])
+    hubs, many = np.repeat(nodes[starts], sizes), np.repeat(sizes > 1, sizes)
+    u, v = nodes[many], hubs[many]
     if not len(u):
-        return u, v, shared
+        return u, v, u
     order = np.lexsort((v, u))
-    u, v, shared = u[order], v[order], shared[order]
+    u, v = u[order], v[order]
     at = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])])
-    return u[at], v[at], np.add.reduceat(shared, at)
+    return u[at], v[at], np.diff(np.r_[at, len(u)])
 
 
 def token_bucket(tokens: np.ndarray, buckets: int) -> np.ndarray:
@@ -130,13 +124,12 @@ def token_bucket(tokens: np.ndarray, buckets: int) -> np.ndarray:
     return ((mixed >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype("i8")
 
 
-def chained(documents: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``u, v, shared``: node u meets v, the smallest node of some of its prefix shingles, and how many those are."""
+def hub_edges(documents: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``u, v, shared``: the hubs v of node u's prefix shingles, and how many of these shingles belong to each."""
     common, frequency = sampled_frequencies(documents, nodes)
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     width = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = int(max(width, total // 2 // BUCKET_TOKENS + 1))
-    packed = "bucket int, tokens binary, nodes binary, settled binary"
 
     def local(batches: Iterator[dict]) -> Iterator[dict]:
         shingler, parts, held = Shingler(), [], 0
@@ -155,50 +148,41 @@ def chained(documents: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFram
             yield pack(parts)
 
     def pack(parts) -> dict:
-        tokens, nodes, _ = _pairs(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-        centre, starts, sizes = _star(tokens, nodes)
-        many = np.repeat(sizes > 1, sizes)
-        out: dict[str, list] = {"bucket": [], "tokens": [], "nodes": [], "settled": []}
-
-        def put(bucket, *arrays):
-            for name, value in zip(out, (bucket, *[a.tobytes() for a in arrays]), strict=True):
-                out[name].append(value)
-
-        if many.any():
-            u, v, shared = _edges(nodes[many], centre[many], np.ones(many.sum(), "i8"))
-            place = (u.view("u8") % np.uint64(buckets)).astype("i8")
-            for bucket in np.unique(place):
-                mine = place == bucket
-                put(int(bucket) - buckets, u[mine], v[mine], shared[mine])
-        tokens, nodes, settled = tokens[starts], nodes[starts], (sizes > 1).astype("i1")
+        tokens, nodes = _pairs(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
         place = token_bucket(tokens, buckets)
         order = np.argsort(place, kind="stable")
-        tokens, nodes, settled = tokens[order], nodes[order], settled[order]
+        tokens, nodes = tokens[order], nodes[order]
         cuts = np.searchsorted(place[order], np.arange(buckets + 1))
-        for bucket in range(buckets):
-            lo, hi = cuts[bucket], cuts[bucket + 1]
-            if hi > lo:
-                put(bucket, tokens[lo:hi], nodes[lo:hi], settled[lo:hi])
-        return out
+        filled = np.flatnonzero(np.diff(cuts)).tolist()
+        spans = [slice(cuts[bucket], cuts[bucket + 1]) for bucket in filled]
+        return {"bucket": filled, "tokens": [tokens[at].tobytes() for at in spans], "nodes": [nodes[at].tobytes() for at in spans]}
 
     def meet(table: pa.Table) -> pa.Table:
         def whole(name: str, kind: str) -> np.ndarray:
             return np.frombuffer(b"".join(table[name].to_pylist()), kind)
 
-        if table["bucket"][0].as_py() < 0:  # settled inside a task
-            found = _edges(whole("tokens", "i8"), whole("nodes", "i8"), whole("settled", "i8"))
-        else:
-            tokens, nodes, settled = _pairs(whole("tokens", "u8"), whole("nodes", "i8"), whole("settled", "i1"))
-            centre, _, sizes = _star(tokens, nodes)
-            many = np.repeat(sizes > 1, sizes)
-            found = _edges(nodes[many], centre[many], 1 - settled[many].astype("i8"))
-        return pa.table(list(found), names=["u", "v", "shared"])
+        return pa.table(list(_edges(*_pairs(whole("tokens", "u8"), whole("nodes", "i8")))), names=["u", "v", "shared"])
 
-    sent = map_rows(documents.where("doc_id is not null"), [utf8()], packed, local)
+    sent = map_rows(documents.where("doc_id is not null"), [utf8()], "bucket int, tokens binary, nodes binary", local)
     met = sent.groupBy("bucket").applyInArrow(meet, "u long, v long, shared long")
     return met.groupBy("u", "v").agg(F.sum("shared").alias("shared"))
 
 
+def hub_members(edges: DataFrame, classes: DataFrame) -> DataFrame:
+    """``hub, node, doc_id, n``: every node in its first hubs, those with few nodes first, up to the last that a link may need.
+
+    What a node leaves out holds fewer shingles than any link of the node shares.
+    """
+    need = F.greatest(F.lit(1), F.ceil(F.ceil(F.col("n") * 3 / 4) / 8))
+    mine = Window.partitionBy("u")
+    met = edges.withColumn("met", F.sum("shared").over(mine)).join(classes.select(F.col("node").alias("u"), "doc_id", "n"), "u")
+    alive = cut_lineage(met.where(F.col("met") >= need))
+    sizes = alive.groupBy("v").agg(F.count(F.lit(1)).alias("size"))
+    upto = F.sum("shared").over(mine.orderBy("size", "v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    kept = alive.join(sizes, "v").withColumn("upto", upto).where(F.col("met") - F.col("upto") + F.col("shared") >= need)
+    return kept.select(F.col("v").alias("hub"), F.col("u").alias("node"), "doc_id", "n")
+
+
 class SignatureTree:
     """Binary tree over sets in a given order: OR of bitmaps, sizes and collisions per tree node."""
 
@@ -324,98 +308,114 @@ def _with_tokens(documents: DataFrame, members: DataFrame) -> DataFrame:
     return rows.join(members, ["doc_id", "node"]).dropDuplicates(["doc_id", "node"]).select(*kept, "tokens")
 
 
-def link_groups(documents: DataFrame, members: DataFrame) -> DataFrame:
-    """``u, v``: star edges inside the true components of the coarse groups in ``members`` (component, node, doc_id, n)."""
-    placed = blocked_window(
-        members, ["component"], ["cluster", "node"], F.floor(F.col("cluster") / (1 << 48)), running={"upto": F.col("n") + SET_WEIGHT}
-    ).withColumn("blk", F.floor((F.col("upto") - F.col("n") - SET_WEIGHT) / BLOCK).cast("int"))
-    placed = cut_lineage(placed.drop("upto", "cluster"))
-    large = placed.where("blk > 0").select("component").distinct()
-    leads = cut_lineage(placed.where("blk = 0").groupBy("component").agg(F.min_by(F.struct("node", "doc_id", "n"), "node").alias("lead")).join(large, "component", "left_semi"))
-    edges = None
-    led = placed.withColumn("led", F.lit(False))
-    if not leads.isEmpty():
-        near = cut_lineage(_near_leaders(documents, placed, leads))
-        edges = near.select(F.col("node").alias("u"), F.col("lead").alias("v"))
-        led = placed.join(near.select("node", F.lit(True).alias("_led")), "node", "left").withColumn("led", F.coalesce("_led", F.lit(False))).drop("_led")
-    pure = led.groupBy("component", "blk").agg(F.bool_and("led").alias("pure"))
-    plans = pure.groupBy("component").agg(F.transform(F.array_sort(F.collect_list(F.struct("blk", "pure"))), lambda x: x["pure"]).alias("pure"))
-    tasks = attach(led, plans, ["component"], spread=["node"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.size("pure") - 1)))
-    # blocks that wholly link to the leader are one component already
-    tasks = tasks.where("size(pure) = 1 or not (pure[blk] and pure[other])")
-    total = placed.agg(F.sum("n")).first()[0] or 0
-    buckets = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_TOKENS + 1)
-    wanted = tasks.groupBy("doc_id", "node", "component", "led", "blk").agg(F.collect_set("other").alias("others"))
-    held = cut_lineage(_with_tokens(documents, wanted))
-    single = "size(others) = 1 and others[0] = blk"
-    sets = held.where(single).withColumn("other", F.col("blk")).drop("others").unionByName(_reaching(held.where(f"not ({single})")))
-    sets = sets.withColumn("pair", F.least("blk", "other").cast("long") * (1 << 24) + F.greatest("blk", "other")).drop("other")
-    sets = sets.withColumn("bucket", F.pmod(F.xxhash64("component", "pair"), F.lit(buckets)))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+def link_hubs(documents: DataFrame, members: DataFrame) -> DataFrame:
+    """``u, v``: star edges inside the components of the sets that meet in the hubs of ``members``."""
+    weight = F.sum(F.col("n") + SET_WEIGHT)
+    hubs = members.groupBy("hub").agg(F.count(F.lit(1)).alias("size"), F.ceil(weight / BLOCK).cast("int").alias("blocks"), F.min("node").alias("lead"))
+    placed = members.join(hubs.where("size > 1").drop("size"), "hub").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = cut_lineage(placed)
+    # the leader is in every block of its hub
+    every = F.when(F.col("node") == F.col("lead"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("blk"))
+    wanted = placed.withColumn("others", every).groupBy("doc_id", "node").agg(F.collect_list(F.struct("hub", "lead", "blocks", "others")).alias("places"))
+    held = _with_tokens(documents, wanted).withColumn("place", F.explode("places")).select("node", "tokens", "place.*")
+    sets = held.withColumn("blk", F.explode("others")).drop("others")
+
+    def inside(table: pa.Table) -> pa.Table:
         out = []
-        for (_, pair), part in pdf.groupby(["component", "pair"]):
-            if len(part) > 1:
-                nodes = part["node"].to_numpy()
-                names = np.where(part["led"], part["component"], nodes)
-                start = np.unique(names, return_inverse=True)[1]
-                sides = part["blk"].to_numpy() if pair >> 24 != pair % (1 << 24) else None
-                labels = link_sets([np.frombuffer(t, "u8") for t in part["tokens"]], start, sides)
-                for label in np.unique(labels):
-                    mine = nodes[labels == label]
-                    out.append(pd.DataFrame({"u": mine, "v": mine.min()}))
-        return pd.concat(out) if out else pd.DataFrame({"u": [], "v": []}, dtype="int64")
-
-    found = sets.groupBy("bucket").applyInPandas(run, "u long, v long").where("u <> v")
-    return found if edges is None else found.unionByName(edges.where("u <> v"))
+        for part in _parts(table, ["hub", "blk"]):
+            nodes = part["node"].to_numpy()
+            labels = link_sets([np.frombuffer(t, "u8") for t in part["tokens"].to_pylist()], np.arange(len(nodes)))
+            lead, blocks = part["lead"][0].as_py(), part["blocks"][0].as_py()
+            smallest = _smallest(nodes, labels)
+            settled = np.isin(labels, labels[nodes == lead]) if blocks > 1 else np.ones(len(nodes), bool)
+            out.append((nodes, smallest, np.full(len(nodes), part["hub"][0].as_py()), settled))
+        return pa.table([np.concatenate(column) for column in zip(*out, strict=True)], names=["u", "v", "hub", "settled"])
+
+    near = cut_lineage(_dealt(sets, placed, ["hub", "blk"]).applyInArrow(inside, "u long, v long, hub long, settled boolean").where("u <> v or not settled"))
+    edges = near.where("u <> v").select("u", "v")
+    loose = near.where("not settled").select("hub", F.col("u").alias("node"), F.col("v").alias("label"))
+    if loose.isEmpty():
+        return edges
+    # written first: a task that joins components too would hold a second Python worker
+    return edges.unionByName(cut_lineage(_link_blocks(documents, placed, loose)))
+
+
+def _link_blocks(documents: DataFrame, placed: DataFrame, loose: DataFrame) -> DataFrame:
+    """``u, v``: star edges between blocks of a hub, from sets that their own block leaves ``loose`` (hub, node, label) of its leader."""
+    open_ = placed.join(loose.select("hub").distinct(), "hub", "left_semi").join(loose, ["hub", "node"], "left")
+    open_ = open_.withColumn("loose", F.col("label").isNotNull()).withColumn("label", F.coalesce("label", "lead"))
+    wanted = open_.groupBy("doc_id", "node").agg(F.collect_list(F.struct("hub", "blk", "label", "loose")).alias("places"))
+    held = cut_lineage(_with_tokens(documents, wanted).withColumn("place", F.explode("places")).select("node", "tokens", "place.*"))
+    sets = held.withColumn("other", F.col("blk")).unionByName(_reaching(held))
+
+    def between(table: pa.Table) -> pa.Table:
+        out = []
+        for part in _parts(table, ["hub", "other"]):
+            nodes = part["node"].to_numpy()
+            sides = (part["blk"].to_numpy() != part["other"].to_numpy()).astype("i8")
+            if sides.any():
+                start = np.unique(part["label"].to_numpy(), return_inverse=True)[1]
+                labels = link_sets([np.frombuffer(t, "u8") for t in part["tokens"].to_pylist()], start, sides)
+                out.append((nodes, _smallest(nodes, labels)))
+        columns = [np.concatenate(column) for column in zip(*out, strict=True)] if out else [np.zeros(0, "i8")] * 2
+        return pa.table(columns, names=["u", "v"])
+
+    return _dealt(sets, placed, ["hub", "other"]).applyInArrow(between, "u long, v long").where("u <> v")
+
+
+def _smallest(nodes: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """The smallest node with the label of each node."""
+    _, at = np.unique(labels, return_inverse=True)
+    low = np.full(at.max() + 1, np.iinfo("i8").max)
+    np.minimum.at(low, at, nodes)
+    return low[at]
+
+
+def _dealt(sets: DataFrame, placed: DataFrame, key: list[str]):
+    """``sets`` grouped into buckets of whole keys; most keys are far too small for a group of their own."""
+    total = placed.agg(F.sum("n")).first()[0] or 0
+    buckets = max(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_TOKENS + 1)
+    return sets.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets))).groupBy("bucket")
+
+
+def _parts(table: pa.Table, key: list[str]) -> Iterator[pa.Table]:
+    table = table.sort_by([(name, "ascending") for name in key])
+    first, second = (table[name].to_numpy() for name in key)
+    starts = np.flatnonzero(np.r_[True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
+    for lo, hi in zip(starts, np.r_[starts[1:], len(first)], strict=True):
+        yield table.slice(lo, hi - lo)
 
 
 def _reaching(held: DataFrame) -> DataFrame:
-    """Sets of groups with several blocks, once for each block (``other``) that may hold a partner.
+    """Loose sets, once for each other block of their hub (``other``) that may hold a partner.
 
     The blocks are the top of the signature trees: a block's OR of token bitmaps must hold three quarters of a set's tokens. Only
-    bitmaps travel to every block of their group.
+    bitmaps travel to every block of their hub.
     """
-    key = ["component", "blk"]
+    key = ["hub", "blk"]
 
     def bitmap(table: pa.Table) -> pa.Table:
         bits = np.zeros(BLOCK_BITS, bool)
         for tokens in table["tokens"].to_pylist():
             bits[(np.frombuffer(tokens, "u8") % np.uint64(BLOCK_BITS)).astype("i8")] = True
-        return pa.table({"component": table["component"][:1], "other": table["blk"][:1], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+        return pa.table({"hub": table["hub"][:1], "other": table["blk"][:1], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
 
-    maps = cut_lineage(held.groupBy(*key).applyInArrow(bitmap, "component long, other int, bits binary"))
-    each = maps.select("component", F.col("other").alias("blk")).join(maps, "component")
-    to_block = each.select(F.col("component").alias("_c"), F.col("blk").alias("_b"), "other", "bits")
-    schema = held.drop("others").schema
+    maps = cut_lineage(held.groupBy(*key).applyInArrow(bitmap, "hub long, other int, bits binary"))
+    loose = held.where("loose")
+    to_block = loose.select("hub", "blk").distinct().join(maps, "hub").where("blk <> other")
+    to_block = to_block.select(F.col("hub").alias("_h"), F.col("blk").alias("_b"), "other", "bits")
 
     def send(sets: pa.Table, near: pa.Table) -> pa.Table:
-        out = []
-        rows = [np.frombuffer(tokens, "u8") for tokens in sets["tokens"].to_pylist()]
-        places = [(tokens % np.uint64(BLOCK_BITS)).astype("i8") for tokens in rows]
-        others = sets["others"].to_pylist()
+        out = [sets.slice(0, 0).append_column("other", pa.array([], pa.int32()))]
+        places = [(np.frombuffer(tokens, "u8") % np.uint64(BLOCK_BITS)).astype("i8") for tokens in sets["tokens"].to_pylist()]
         for other, packed in zip(near["other"].to_pylist(), near["bits"].to_pylist(), strict=True):
             bits = np.unpackbits(np.frombuffer(packed, "u1"))
-            keep = [other in others[i] and 4 * int(bits[p].sum()) >= 3 * len(p) for i, p in enumerate(places)]
-            part = sets.filter(pa.array(keep, pa.bool_())).drop_columns(["others"])
+            part = sets.filter(pa.array([4 * int(bits[p].sum()) >= 3 * len(p) for p in places], pa.bool_()))
             out.append(part.append_column("other", pa.array([other] * part.num_rows, pa.int32())))
         return pa.concat_tables(out)
 
-    return held.groupBy(*key).cogroup(to_block.groupBy("_c", "_b")).applyInArrow(send, StructType([*schema, StructField("other", IntegerType())]))
-
-
-def _near_leaders(documents: DataFrame, placed: DataFrame, leads: DataFrame) -> DataFrame:
-    """``node, lead``: members that link to the leader of their group."""
-    heads = _with_tokens(documents, leads.select("component", "lead.node", "lead.doc_id")).select("component", F.col("node").alias("lead"), F.col("tokens").alias("head"))
-    rows = _with_tokens(documents, placed.select("component", "node", "doc_id").join(leads.select("component"), "component", "left_semi"))
-    met = attach(rows, cut_lineage(heads), ["component"], spread=["node"], hot_from=placed.select("component"))
-
-    def run(batches: Iterator[dict]) -> Iterator[dict]:
-        for batch in batches:
-            near = [linked(np.frombuffer(t, "u8"), np.frombuffer(h, "u8")) for t, h in zip(batch["tokens"], batch["head"], strict=True)]
-            yield {c: [value for value, keep in zip(batch[c], near, strict=True) if keep] for c in ("node", "lead")}
-
-    return map_rows(met, ["node", "lead", "tokens", "head"], "node long, lead long", run)
+    schema = StructType([*held.schema, StructField("other", IntegerType())])
+    return loose.groupBy(*key).cogroup(to_block.groupBy("_h", "_b")).applyInArrow(send, schema)
 
 
 def join_components(documents: DataFrame) -> DataFrame:
@@ -423,20 +423,8 @@ def join_components(documents: DataFrame) -> DataFrame:
     sets = cut_lineage(document_sets(documents))
     usable = sets.where("doc_id is not null and n_shingles > 0")
     classes = cut_lineage(usable.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("node").alias("node"), F.first("n_shingles").alias("n")))
-    edges = cut_lineage(chained(documents, sets, classes))
-    need = F.greatest(F.lit(1), F.ceil(F.ceil(F.col("n") * 3 / 4) / 8))
-    counted = edges.groupBy(F.col("u").alias("node")).agg(F.sum("shared").alias("met")).join(classes.select("node", "n"), "node")
-    alive = cut_lineage(counted.where(F.col("met") >= need).select("node"))
-    met = edges.join(alive.select(F.col("node").alias("u")), "u", "left_semi").where("u <> v").select("u", "v")
-    # the node of a task that stands for an alive one may itself be dropped; its own edges lead on to the shingles' other tasks
-    hubs = met.select(F.col("v").alias("u")).distinct().join(alive.select(F.col("node").alias("u")), "u", "left_anti")
-    chains = met.unionByName(edges.join(hubs, "u", "left_semi").where("u <> v").select("u", "v"))
-    groups = components(chains)
-    clusters = edges.groupBy(F.col("u").alias("node")).agg(F.max_by("v", F.struct("shared", "v")).alias("cluster"))
-    members = groups.join(alive, "node", "left_semi").join(classes.select("node", "doc_id", "n"), "node").join(clusters, "node")
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1").select("component")
-    members = cut_lineage(attach(members, sizes, ["component"], spread=["node"]))
-    true_groups = components(link_groups(documents, members))
+    edges = cut_lineage(hub_edges(documents, sets, classes))
+    true_groups = components(link_hubs(documents, hub_members(edges, classes)))
     named = classes.select("digest", "node", "doc_id").join(true_groups, "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))

@@ -149,6 +149,40 @@ def test_linking_equals_all_pairs():
     assert jaccard_join.link_sets(sets, np.arange(len(sets))).tolist() == expected.tolist()
 
 
+def test_a_passage_of_many_documents_makes_no_large_group(spark, monkeypatch):
+    # as in a sample that holds none of these texts: a passage joins all documents, a chapter the ten of a group, which link in pairs
+    monkeypatch.setattr(jaccard_join, "SAMPLE_DF", 1_000)
+    draw, rows = random.Random(4), []
+    some = lambda n: [f"w{draw.randrange(10**9)}" for _ in range(n)]
+    passage = some(30)
+    for group in range(40):
+        chapter = some(80)
+        for pair in range(5):
+            text = [*passage, *chapter, *some(120)]
+            rows += [(100 * group + 2 * pair, " ".join(text)), (100 * group + 2 * pair + 1, " ".join([*text[:-4], *some(4)]))]
+    documents = frame(spark, rows)
+    sets = jaccard_join.document_sets(documents)
+    nodes = sets.select("doc_id", "node", F.col("n_shingles").alias("n"))
+    members = jaccard_join.hub_members(jaccard_join.hub_edges(documents, sets, nodes), nodes)
+    sizes = [row["count"] for row in members.groupBy("hub").count().collect()]
+    assert max(sizes) < 40 and sum(sizes) < 3 * len(rows)
+    assert set(map(tuple, jaccard_join.join_components(documents).collect())) == components(rows)
+
+
+def test_blocks_of_a_family_send_only_what_their_leader_leaves(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 12_000)
+    draw = random.Random(6)
+    base = [f"w{draw.randrange(10**9)}" for _ in range(80)]
+    rows = [(i, " ".join([*base, f"tail{i}"])) for i in range(200)]
+    held, reaching = [], jaccard_join._reaching
+    monkeypatch.setattr(jaccard_join, "_reaching", lambda sets: held.append(sets) or reaching(sets))
+    assert set(map(tuple, jaccard_join.join_components(frame(spark, rows)).collect())) == components(rows)
+    assert not held  # all are one component with the leader of their block
+    # half of them quote too little of it to link with the rest
+    rows += [(1000 + i, " ".join([*base[:55], *[f"other{j}" for j in range(20)], f"end{i}"])) for i in range(60)]
+    assert set(map(tuple, jaccard_join.join_components(frame(spark, rows)).collect())) == components(rows)
+
+
 def test_one_document_of_each_group_stays(spark):
     rows = [(5, BASE), (3, BASE.upper()), (8, "other words here"), (None, BASE), (8, "other words here")]
     found = jaccard_join.one_of_each(frame(spark, rows))
