@@ -183,6 +183,18 @@ def test_blocks_of_a_family_send_only_what_their_leader_leaves(spark, monkeypatc
     assert set(map(tuple, jaccard_join.join_components(frame(spark, rows)).collect())) == components(rows)
 
 
+def test_links_are_written_before_components_are_joined(spark, monkeypatch):
+    # a task that finds links and joins components holds two Python workers, which an executor of the pipeline has no room for
+    monkeypatch.setattr(jaccard_join, "BLOCK", 12_000)
+    base, seen, joined = [f"w{i}" for i in range(80)], [], jaccard_join.components
+    rows = [(i, " ".join([*base, f"tail{i}"])) for i in range(60)]
+    rows += [(1000 + i, " ".join([*base[:55], *[f"other{j}" for j in range(20)], f"end{i}"])) for i in range(60)]
+    monkeypatch.setattr(jaccard_join, "components", lambda edges: seen.append(edges) or joined(edges))
+    jaccard_join.join_components(frame(spark, rows))
+    plans = [edges._jdf.queryExecution().toString() for edges in seen]
+    assert plans and not any("InArrow" in plan or "InPandas" in plan for plan in plans)
+
+
 def test_one_document_of_each_group_stays(spark):
     rows = [(5, BASE), (3, BASE.upper()), (8, "other words here"), (None, BASE), (8, "other words here")]
     found = jaccard_join.one_of_each(frame(spark, rows))
