@@ -124,12 +124,34 @@ def token_bucket(tokens: np.ndarray, buckets: int) -> np.ndarray:
     return ((mixed >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype("i8")
 
 
+def needed(n: np.ndarray) -> np.ndarray:
+    """How many prefix shingles a set of ``n`` shares with any set that links to it: ceil(ceil(.75 n) / 8)."""
+    return np.maximum(1, -(-(-(-3 * n // 4)) // 8))
+
+
+def _packed(place: np.ndarray, places: int, *columns: np.ndarray) -> tuple[list, ...]:
+    """The filled places, and of each column the bytes that go to each of them."""
+    order = np.argsort(place, kind="stable")
+    cuts = np.searchsorted(place[order], np.arange(places + 1))
+    filled = np.flatnonzero(np.diff(cuts)).tolist()
+    return filled, *[[c[cuts[at] : cuts[at + 1]].tobytes() for at in filled] for c in (column[order] for column in columns)]
+
+
+def _whole(table: pa.Table, name: str, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(table[name].to_pylist()), kind)
+
+
 def hub_edges(documents: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``u, v, shared``: the hubs v of node u's prefix shingles, and how many of these shingles belong to each."""
+    """``u, v, shared``: the hubs v of node u's prefix shingles, and how many of these shingles belong to each.
+
+    Only nodes that share as many as a link needs come out. Each bucket of shingles counts a part of what a node shares, and parts travel as
+    packed arrays to the bucket of their node. In a larger table ever more texts have a few shingles in common; they make no rows.
+    """
     common, frequency = sampled_frequencies(documents, nodes)
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     width = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = int(max(width, total // 2 // BUCKET_TOKENS + 1))
+    owners = max(width, buckets // 4)
 
     def local(batches: Iterator[dict]) -> Iterator[dict]:
         shingler, parts, held = Shingler(), [], 0
@@ -149,37 +171,47 @@ def hub_edges(documents: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFr
 
     def pack(parts) -> dict:
         tokens, nodes = _pairs(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-        place = token_bucket(tokens, buckets)
-        order = np.argsort(place, kind="stable")
-        tokens, nodes = tokens[order], nodes[order]
-        cuts = np.searchsorted(place[order], np.arange(buckets + 1))
-        filled = np.flatnonzero(np.diff(cuts)).tolist()
-        spans = [slice(cuts[bucket], cuts[bucket + 1]) for bucket in filled]
-        return {"bucket": filled, "tokens": [tokens[at].tobytes() for at in spans], "nodes": [nodes[at].tobytes() for at in spans]}
+        return dict(zip(["bucket", "tokens", "nodes"], _packed(token_bucket(tokens, buckets), buckets, tokens, nodes), strict=True))
 
     def meet(table: pa.Table) -> pa.Table:
-        def whole(name: str, kind: str) -> np.ndarray:
-            return np.frombuffer(b"".join(table[name].to_pylist()), kind)
-
-        return pa.table(list(_edges(*_pairs(whole("tokens", "u8"), whole("nodes", "i8")))), names=["u", "v", "shared"])
+        u, v, shared = _edges(*_pairs(_whole(table, "tokens", "u8"), _whole(table, "nodes", "i8")))
+        columns = _packed(np.mod(u, owners), owners, u, v, shared.astype("i4"))
+        return pa.table([pa.array(c, t) for c, t in zip(columns, [pa.int32()] + [pa.binary()] * 3, strict=True)], names=["owner", "u", "v", "shared"])
+
+    def add_up(parts: pa.Table, known: pa.Table) -> pa.Table:
+        u, v, shared = _whole(parts, "u", "i8"), _whole(parts, "v", "i8"), _whole(parts, "shared", "i4").astype("i8")
+        if len(u):
+            order = np.lexsort((v, u))
+            u, v, shared = u[order], v[order], shared[order]
+            at = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])])
+            u, v, shared = u[at], v[at], np.add.reduceat(shared, at)
+            at = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
+            met = np.repeat(np.add.reduceat(shared, at), np.diff(np.r_[at, len(u)]))
+            node, n = known["node"].to_numpy(), known["n"].to_numpy()
+            order = np.argsort(node)
+            alive = met >= needed(n[order][np.searchsorted(node[order], u)])
+            u, v, shared = u[alive], v[alive], shared[alive]
+        return pa.table([u, v, shared], names=["u", "v", "shared"])
 
     sent = map_rows(documents.where("doc_id is not null"), [utf8()], "bucket int, tokens binary, nodes binary", local)
-    met = sent.groupBy("bucket").applyInArrow(meet, "u long, v long, shared long")
-    return met.groupBy("u", "v").agg(F.sum("shared").alias("shared"))
+    met = sent.groupBy("bucket").applyInArrow(meet, "owner int, u binary, v binary, shared binary")
+    known = nodes.select(F.pmod("node", F.lit(owners)).cast("int").alias("owner"), "node", "n")
+    return met.groupBy("owner").cogroup(known.groupBy("owner")).applyInArrow(add_up, "u long, v long, shared long")
 
 
 def hub_members(edges: DataFrame, classes: DataFrame) -> DataFrame:
     """``hub, node, doc_id, n``: every node in its first hubs, those with few nodes first, up to the last that a link may need.
 
-    What a node leaves out holds fewer shingles than any link of the node shares.
+    What a node leaves out holds fewer shingles than any link of the node shares. A hub that one node alone has left joins nothing, so its
+    shingles do not count.
     """
     need = F.greatest(F.lit(1), F.ceil(F.ceil(F.col("n") * 3 / 4) / 8))
     mine = Window.partitionBy("u")
-    met = edges.withColumn("met", F.sum("shared").over(mine)).join(classes.select(F.col("node").alias("u"), "doc_id", "n"), "u")
-    alive = cut_lineage(met.where(F.col("met") >= need))
-    sizes = alive.groupBy("v").agg(F.count(F.lit(1)).alias("size"))
+    sizes = edges.groupBy("v").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     upto = F.sum("shared").over(mine.orderBy("size", "v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    kept = alive.join(sizes, "v").withColumn("upto", upto).where(F.col("met") - F.col("upto") + F.col("shared") >= need)
+    met = edges.join(sizes, "v").join(classes.select(F.col("node").alias("u"), "doc_id", "n"), "u")
+    met = met.withColumn("met", F.sum("shared").over(mine)).withColumn("upto", upto)
+    kept = met.where(F.col("met") - F.col("upto") + F.col("shared") >= need)
     return kept.select(F.col("v").alias("hub"), F.col("u").alias("node"), "doc_id", "n")
 
 

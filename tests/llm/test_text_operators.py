@@ -169,6 +169,26 @@ def test_a_passage_of_many_documents_makes_no_large_group(spark, monkeypatch):
     assert set(map(tuple, jaccard_join.join_components(documents).collect())) == components(rows)
 
 
+@pytest.mark.parametrize("tokens", [600_000, 500])
+def test_a_few_shingles_in_common_make_no_rows(spark, monkeypatch, tokens):
+    # every text has one phrase in common with another, which is too little for a link; ten pairs link; 500 makes many buckets
+    monkeypatch.setattr(jaccard_join, "BUCKET_TOKENS", tokens)
+    draw, rows = random.Random(9), []
+    some = lambda n: [f"w{draw.randrange(10**9)}" for _ in range(n)]
+    for pair in range(100):
+        phrase, text = some(5), some(120)
+        rows += [(2 * pair, " ".join([*text, *phrase])), (2 * pair + 1, " ".join([*some(120), *phrase]))]
+        if pair < 10:
+            rows.append((1000 + pair, " ".join([*text, "end"])))
+    documents = frame(spark, rows)
+    sets = jaccard_join.document_sets(documents)
+    nodes = sets.select("doc_id", "node", F.col("n_shingles").alias("n"))
+    edges = jaccard_join.hub_edges(documents, sets, nodes)
+    linking = {row["node"] for row in nodes.collect() if row["doc_id"] >= 1000 or row["doc_id"] < 20 and row["doc_id"] % 2 == 0}
+    assert {row["u"] for row in edges.collect()} == linking
+    assert set(map(tuple, jaccard_join.join_components(documents).collect())) == components(rows)
+
+
 def test_blocks_of_a_family_send_only_what_their_leader_leaves(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 12_000)
     draw = random.Random(6)
