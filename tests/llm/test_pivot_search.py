@@ -8,7 +8,8 @@ import random
 import numpy as np
 import pytest
 
-from pairwright.llm.pivot_search import Tile, farthest_first, top_k
+from pairwright.llm import pivot_search
+from pairwright.llm.pivot_search import Block, Tile, farthest_first, top_k
 
 SCHEMA = "vec_id long, embedding array<double>, label int, tile int"
 LIMITS = -(2**63), 2**63 - 1
@@ -73,3 +74,49 @@ def test_stops_early():
     order = np.lexsort((np.arange(len(vectors)), -exact))
     assert ids.tolist() == [i for i in order.tolist() if i != 123][:5]
     assert sum(seen) < len(vectors) / 4
+
+
+def test_queries_do_not_travel_with_tiles(spark):
+    """Many queries that every tile may answer: what is shuffled follows the rows, not queries times tiles."""
+    rng = np.random.default_rng(5)
+    rows = [(n, v.tolist()) for n, v in enumerate(rng.normal(0, 1, (4_000, 12)))]
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = written()
+    assert len(found(spark, rows, step=4, tile_rows=64, count=8)) == 5 * 1_000
+    assert written() - before < 3 * 4_000 * 12 * 8
+
+
+@pytest.mark.parametrize("hits", [1, 40, 1 << 18])
+@pytest.mark.parametrize("spread", [1, 3, 60])
+def test_blocks_of_queries_equal_brute_force(monkeypatch, hits, spread):
+    """Chunks in which most scores tie, and queries whose home gave fewer than k rows."""
+    monkeypatch.setattr(pivot_search, "CHUNK_HITS", hits)
+    monkeypatch.setattr(pivot_search, "LEAF_ROWS", 16)
+    rng = np.random.default_rng(spread)
+    vectors = rng.integers(-spread, spread, (700, 6)).astype("f8")
+    ids, tiles = rng.permutation(700), np.arange(700) // 100
+    top = float((vectors * vectors).sum(axis=1).max())
+    pivots, extra = farthest_first(vectors[::7], top, 4)
+    space = pivot_search.Space(6, top, "<i2", pivots, extra)
+    gaps, asked = space.candidates(vectors), np.arange(0, 700, 9)
+    exact = (vectors[asked] @ vectors.T).astype("i8")
+    k, least, cut = 5, np.full(len(asked), LIMITS[0]), np.full(len(asked), LIMITS[1])
+    for n, own in enumerate(asked[: len(asked) // 2]):
+        home = [(-exact[n, r], ids[r]) for r in range(700) if tiles[r] == tiles[own] and r != own]
+        least[n], cut[n] = -sorted(home)[k - 1][0], sorted(home)[k - 1][1]
+    block = Block(ids[asked], vectors[asked], space.queries(vectors[asked]), tiles[asked], least, cut, least == LIMITS[0], top, space.dense, k)
+    for tile in range(7):
+        mine = np.flatnonzero(tiles == tile)
+        starts = np.arange(0, len(mine), 16)
+        lows, highs = np.minimum.reduceat(gaps[mine], starts), np.maximum.reduceat(gaps[mine], starts)
+        block.meet(tile, ids[mine], vectors[mine].astype(space.dense), lows, highs)
+    slots, got, scores = block.best()
+    for n, own in enumerate(asked):
+        away = sorted((-exact[n, r], ids[r]) for r in range(700) if tiles[r] != tiles[own])[:k]
+        away = [pair for pair in away if least[n] == LIMITS[0] or pair < (-least[n], cut[n])]
+        assert list(zip((-scores[slots == n]).tolist(), got[slots == n].tolist(), strict=True)) == away
+
+
+def test_norms_beyond_doubles(spark):
+    rows = [(50 * n, [(-1.0) ** n * 10.0 ** (n % 7 * 50), float(n)]) for n in range(20)] + [(n + 1, [1e200, -float(n)]) for n in range(20)]
+    assert found(spark, rows, tile_rows=4) == brute(rows)
