@@ -4,7 +4,9 @@ The sets of ``setjoin`` are rows; here a document's set is one array and only ha
 Equal sets are one node, named by its digest. Tokens are ordered by how often a bounded sample of documents holds them, then by
 hash; any order is exact, and this one puts boilerplate last. Of a set of n the first n - ceil(t n) + 1 tokens are its prefix, and two
 sets at or over t share one of these. Prefixes travel as packed arrays; tokens of one node leave, the others meet in a join.
-Sizes and positions bound what two sets can still share; what passes is intersected exactly.
+Sizes, the number of shared prefix tokens and the places of the last ones bound what two sets can still share; what passes is intersected
+exactly. For that, pairs are dealt over a square of cells by both their nodes, and a text travels once to each cell where it has a
+pair: at most twice the side of the square, however many pairs it is in.
 
 Tokens are 64-bit hashes: sets are only ever compared two at a time, so the size of the corpus does not make a false meeting likelier.
 """
@@ -12,6 +14,7 @@ Tokens are 64-bit hashes: sets are only ever compared two at a time, so the size
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,6 +32,7 @@ PACK_TOKENS = 400_000
 PACK_SETS = 1 << 16
 BUCKET_TOKENS = 600_000
 FILTER_BITS = 1 << 23
+CELL_TOKENS = 4_000_000
 # later places count as this one, which makes what two sets may share larger and never smaller
 LAST_PLACE = (1 << 16) - 1
 
@@ -155,15 +159,22 @@ def prefix_index(documents: DataFrame, tokens: Column, total: int, threshold: in
 
 
 def candidates(index: DataFrame, threshold: int) -> DataFrame:
-    """``a, b, n_a, n_b``: pairs of nodes that may be at or over the threshold, by sizes and by the place of the first token they share."""
+    """``a, b, n_a, n_b``: pairs of nodes that may be at or over the threshold, by sizes and by the number and last places of the prefix tokens they share.
+
+    Of the two prefixes, take the one whose last token comes first in the order: up to it every shared token is in both prefixes and counted, so what
+    else they share stands behind this prefix, and behind the last shared place of the other set. Which one it is is not known; the
+    larger bound holds. Copies of a set in other tasks may repeat a common token, which makes the count larger and never smaller.
+    """
     left = index.select("token", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("_a"))
     right = index.select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("_b"))
     sized = F.least("n_a", "n_b") * PPM >= F.greatest("n_a", "n_b") * threshold
     met = left.join(right, "token").where("a < b").where(sized)
-    rest = F.least(F.col("n_a") - F.col("_a"), F.col("n_b") - F.col("_b"))
     needed = F.ceil((F.col("n_a") + F.col("n_b")) * threshold / (PPM + threshold))
-    first = met.groupBy("a", "b", "n_a", "n_b").agg(F.max(rest).alias("_rest"))
-    return first.where(F.col("_rest") >= needed).drop("_rest")
+    found = met.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("_both"), F.max("_a").alias("_a"), F.max("_b").alias("_b"))
+    behind = {side: F.expr(f"(n_{side} * {threshold} + {PPM - 1}) div {PPM} - 1") for side in "ab"}
+    after = {side: F.col(f"n_{side}") - F.col(f"_{side}") - 1 for side in "ab"}
+    rest = F.greatest(F.least(behind["a"], after["b"]), F.least(behind["b"], after["a"]))
+    return found.where(F.col("_both") + rest >= needed).select("a", "b", "n_a", "n_b")
 
 
 def _of_owners(documents: DataFrame, owners: DataFrame) -> DataFrame:
@@ -184,6 +195,30 @@ def _of_owners(documents: DataFrame, owners: DataFrame) -> DataFrame:
     return documents.withColumn("_place", place).mapInArrow(run, documents.schema)
 
 
+def verified_pairs(pairs: DataFrame, owners: DataFrame, documents: DataFrame, text: str, shingled: Callable[[Column], Column], threshold: int, rounds: Rounds) -> DataFrame:
+    """``a, b, n_a, n_b, n_both`` of the pairs at or over the threshold; ``owners`` are ``(node, owner)``."""
+    size = pairs.agg(F.sum(F.col("n_a") + F.col("n_b"))).first()[0] or 0
+    side = max(1, math.ceil(math.sqrt(size / CELL_TOKENS)))
+    row, column = (F.pmod(F.xxhash64(node), F.lit(side)) for node in "ab")
+    placed = pairs.withColumn("cell", row * side + column)
+    nodes = placed.select("cell", F.explode(F.array("a", "b")).alias("node")).distinct()
+    members = rounds.keep(nodes.join(owners, "node"), forget=False)
+    texts = _of_owners(documents.select("owner", text), members).join(members, "owner")
+    parts = min(side * side, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # texts travel, not sets: they compress
+    sets = texts.select("cell", "node", text).repartition(parts, "cell").select("cell", "node", shingled(F.col(text)).alias("_t"))
+
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        found = dict(zip(held["node"].to_pylist(), _arrays(held["_t"].combine_chunks()), strict=True))
+        n_a, n_b = asked["n_a"].to_numpy(), asked["n_b"].to_numpy()
+        meet = zip(asked["a"].to_pylist(), asked["b"].to_pylist(), strict=True)
+        both = np.fromiter((len(np.intersect1d(found[a], found[b], assume_unique=True)) for a, b in meet), "i8", len(asked))
+        kept = pa.array(both * PPM >= (n_a + n_b - both) * threshold)
+        return asked.drop_columns(["cell"]).append_column("n_both", pa.array(both)).filter(kept)
+
+    return placed.repartition(parts, "cell").groupBy("cell").cogroup(sets.groupBy("cell")).applyInArrow(run, "a long, b long, n_a long, n_b long, n_both long")
+
+
 def similar_documents(documents: DataFrame, text: str, shingled: Callable[[Column], Column], general: int, labelled: int, everything: str) -> DataFrame:
     """``(label, left, right, n_left, n_right, n_both, jaccard_ppm)`` of the pairs at or over ``general`` ppm, under the label ``everything``, and of those of one
     label at or over ``labelled`` ppm.
@@ -207,16 +242,10 @@ def similar_documents(documents: DataFrame, text: str, shingled: Callable[[Colum
 
     index = rounds.keep(prefix_index(documents, tokens, total, threshold), forget=False)
     pairs = rounds.keep(candidates(index, threshold))
-    # texts travel, not sets: they compress
     owners = firsts.where(F.col("label") == everything).select("node", "owner")
-    named = pairs.join(owners.select(F.col("node").alias("a"), F.col("owner").alias("_o")), "a").join(owners.select(F.col("node").alias("b"), F.col("owner").alias("_p")), "b")
-    named = rounds.keep(named, forget=False)
-    texts = _of_owners(documents.select("owner", text), named.select(F.explode(F.array("_o", "_p")).alias("owner")))
-    met = named.join(texts.select(F.col("owner").alias("_o"), F.col(text).alias("_x")), "_o").join(texts.select(F.col("owner").alias("_p"), F.col(text).alias("_y")), "_p")
-    shared = met.select("a", "b", "n_a", "n_b", F.size(F.array_intersect(shingled(F.col("_x")), shingled(F.col("_y")))).cast("long").alias("n_both"))
-    union = F.col("n_a") + F.col("n_b") - F.col("n_both")
-    verified = rounds.keep(shared.where(F.col("n_both") * PPM >= union * threshold), forget=False)
+    verified = rounds.keep(verified_pairs(pairs, owners, documents, text, shingled, threshold, rounds), forget=False)
 
+    union = F.col("n_a") + F.col("n_b") - F.col("n_both")
     limit = F.when(F.col("label").eqNullSafe(everything), general).otherwise(labelled)
     one = verified.join(firsts.select("label", F.col("node").alias("a"), F.col("owner").alias("_p")), "a")
     both = null_safe_join(one, firsts.select("label", F.col("node").alias("b"), F.col("owner").alias("_q")), ["label", "b"])

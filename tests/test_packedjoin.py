@@ -67,3 +67,36 @@ def test_label_of_everything(spark):
     frame = spark.createDataFrame(docs, "app long, lang string, text string")
     found = similarity.shingle_similarity(frame, "app", "lang", "text")
     assert sorted(tuple(r)[:3] for r in found.collect()) == [("all", 1, 2), ("all", 1, 3)]
+
+
+def test_a_shared_passage_makes_no_candidates(spark, monkeypatch):
+    """A passage outside the sample stands in prefixes like any text; sets that have little else in common are no candidates for it."""
+    monkeypatch.setattr(packedjoin, "SAMPLE", 1)
+    passage = [f"p{i}" for i in range(20)]
+    docs = [(d, "en", " ".join([f"w{d}x{i}" for i in range(100)] + passage)) for d in range(60)]
+    docs += [(60, "en", " ".join([f"w7x{i}" for i in range(2, 100)] + passage)), (61, "en", docs[9][2] + " more")]
+    frame = spark.createDataFrame(docs, "owner long, label string, text string").repartition(3)
+    tokens = similarity.shingle_hashes(F.col("text"))
+    index = packedjoin.prefix_index(frame, tokens, 60 * 116, 550_000)
+    assert packedjoin.candidates(index, 550_000).count() == 2
+    found = packedjoin.similar_documents(frame, "text", similarity.shingle_hashes, 550_000, 700_000, "all")
+    assert sorted(tuple(r)[:3] for r in found.collect()) == [("all", 7, 60), ("all", 9, 61), ("en", 7, 60), ("en", 9, 61)]
+
+
+@pytest.mark.parametrize("tokens", [4_000_000, 20_000])
+def test_a_text_does_not_travel_with_each_of_its_pairs(spark, monkeypatch, tokens):
+    monkeypatch.setattr(packedjoin, "CELL_TOKENS", tokens, raising=False)
+    draw = random.Random(3)
+    base = [f"{draw.getrandbits(64):x}" for _ in range(200)]
+    docs = [(d, "en", " ".join([*(f"{draw.getrandbits(64):x}" for _ in range(30)), *base])) for d in range(100)]
+    frame = spark.createDataFrame(docs, "app long, lang string, text string").repartition(4)
+    size = sum(len(text) for _, _, text in docs)
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    setting = "spark.sql.autoBroadcastJoinThreshold"
+    threshold, before = spark.conf.get(setting), written()
+    spark.conf.set(setting, "-1")
+    try:
+        assert similarity.shingle_similarity(frame, "app", "lang", "text").count() == 2 * 100 * 99 // 2
+    finally:
+        spark.conf.set(setting, threshold)
+    assert written() - before < 8 * size
